@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, sharding
+from . import decontaminate, mixing, quality, scoring, sharding, token_counts
 from .common import table
 
 
@@ -22,3 +22,21 @@ def op9_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op3_spaced_seed_decontamination, op4_hash_tree_sharding, op9_raked_mixing)}
 ORACLES: dict[str, str] = {"op9_raked_mixing": mixing.mix_sql(0.7, 0.8, 12)}
+
+
+def op2_context_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES[op2_context_tree_scoring.__name__] = op2_context_tree_scoring
+
+
+def op5_boosted_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_offset_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {f.__name__: f for f in (op5_boosted_quality_rules, op10_offset_token_counts)}
