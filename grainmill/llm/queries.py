@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality, scoring, sharding, token_counts
+from . import decontaminate, mixing, quality, scoring, sharding, substring_dedup, suffix_dedup, token_counts
 from .common import table
 
 
@@ -40,3 +40,14 @@ def op10_offset_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op5_boosted_quality_rules, op10_offset_token_counts)}
+
+
+def op6_doubling_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
+
+
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
+
+
+QUERIES |= {f.__name__: f for f in (op6_doubling_substring_dedup, op8_suffix_array_dedup)}
