@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality, scoring, sharding, substring_dedup, suffix_dedup, token_counts
+from . import decontaminate, mixing, near_dedup, quality, scoring, sharding, substring_dedup, suffix_dedup, token_counts
 from .common import table
 
 
@@ -51,3 +51,10 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op6_doubling_substring_dedup, op8_suffix_array_dedup)}
+
+
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("__doc", "__component")
+
+
+QUERIES[op1_minhash_near_dedup.__name__] = op1_minhash_near_dedup

@@ -22,22 +22,24 @@ _CODEC = "zstd"
 SALT = 256
 
 
+NULL_ID = -(1 << 63)
+
+
 def with_row_ids(docs: DataFrame) -> DataFrame:
     """(doc_id, text, __doc): a long for each document, in the order of doc_id; a null id comes first.
 
     Where ids repeat, rows of one id are numbered by their text's hash (equal rows alike), so that different texts are
     different documents; doc_id * repeats must then fit a long.
     """
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     docs = docs.select("doc_id", "text")
     most = docs.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 0
     if most <= 1:
-        return docs.withColumn("__doc", own)
+        return docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
     texts = docs.select("doc_id", F.xxhash64("text").alias("__t")).distinct()
     numbers = texts.withColumn("__j", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("__t")) - 1)
     numbers = numbers.select(F.col("doc_id").alias("__i"), "__t", "__j")
     joined = docs.withColumn("__x", F.xxhash64("text")).join(numbers, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__x") == F.col("__t")))
-    low = F.lit(-(1 << 63) // most + 1)
+    low = F.lit(NULL_ID // most + 1)
     return joined.select("doc_id", "text", (F.coalesce(F.col("doc_id").cast("long"), low) * most + F.col("__j")).alias("__doc"))
 
 
