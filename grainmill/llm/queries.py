@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, near_dedup, quality, scoring, sharding, substring_dedup, suffix_dedup, token_counts
+from . import decontaminate, mixing, near_dedup, quality, scoring, sharding, substring_dedup, suffix_dedup, token_counts, wrappers
 from .common import table
 
 
@@ -58,3 +58,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES[op1_minhash_near_dedup.__name__] = op1_minhash_near_dedup
+
+
+def op7_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES[op7_wrapper_induction.__name__] = op7_wrapper_induction
