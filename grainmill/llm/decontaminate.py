@@ -97,3 +97,10 @@ def flag_documents(docs: DataFrame, benchmark: DataFrame, digest: bool = True, *
     left = docs.select("doc_id", F.xxhash64("text").alias("__text")) if digest else docs.withColumn("__text", F.xxhash64("text"))
     out = left.join(per_doc, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__t")), "left").drop("__id", "__t", "__text")
     return out.withColumn("contaminated", F.col("n_items").isNotNull()).withColumn("n_items", F.coalesce("n_items", F.lit(0).cast("long"))).withColumn("matched", F.coalesce("matched", F.lit(0).cast("long")))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """docs less the documents that hold text of the benchmark."""
+    leaks = materialize(find_leaks(docs, benchmark, **options).select("__id", F.col("__text").alias("__t")).distinct(), "leaks")
+    rows = docs.withColumn("__text", F.xxhash64("text"))
+    return rows.join(leaks, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__t")), "left_anti").drop("__text")

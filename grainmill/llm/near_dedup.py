@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .blocks import LOWER, Block, Spans, blocks, chain, mix, signed, words
 from .common import materialize
 from .components import components
-from .repeats import first_of_owner, packed, unpacked, with_row_ids
+from .repeats import first_of_owner, most_repeats, packed, unpacked, with_row_ids
 
 
 def shingles(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -222,3 +222,16 @@ def _with_component_id(members: DataFrame, docs: DataFrame) -> DataFrame:
         ids = docs.select(F.col("__doc").alias("__component"), F.col("doc_id").cast("long").alias("component_id")).distinct()
         out = members.join(ids, "__component")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").cast("long").eqNullSafe(F.col("component_id")).alias("kept"), "__doc", "__component")
+
+
+def keep_first(docs: DataFrame, **options) -> DataFrame:
+    """docs less all but the first document of each group of near duplicates; of rows equal in id and text one stays.
+
+    Documents without words are in no group and stay.
+    """
+    found = near_duplicates(docs, **options)
+    gone = materialize(found.where("__doc <> __component").select("__doc").distinct(), "copies")
+    rows = with_row_ids(docs, whole=True)
+    if most_repeats(docs) > 1:
+        rows = rows.dropDuplicates(["__doc"])
+    return rows.join(gone, "__doc", "left_anti").select(*docs.columns)

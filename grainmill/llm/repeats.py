@@ -25,14 +25,19 @@ SALT = 256
 NULL_ID = -(1 << 63)
 
 
-def with_row_ids(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, __doc): a long for each document, in the order of doc_id; a null id comes first.
+def most_repeats(docs: DataFrame) -> int:
+    """How many rows the most frequent doc_id has."""
+    return docs.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 0
 
-    Where ids repeat, rows of one id are numbered by their text's hash (equal rows alike), so that different texts are
+
+def with_row_ids(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """(doc_id, text, __doc), or all columns and __doc: a long for each document, in the order of doc_id; a null id comes first.
+
+    Where ids repeat, rows of one id are numbered by their text's hash (equal texts alike), so that different texts are
     different documents; doc_id * repeats must then fit a long.
     """
-    docs = docs.select("doc_id", "text")
-    most = docs.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 0
+    docs = docs if whole else docs.select("doc_id", "text")
+    most = most_repeats(docs)
     if most <= 1:
         return docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
     texts = docs.select("doc_id", F.xxhash64("text").alias("__t")).distinct()
@@ -40,7 +45,7 @@ def with_row_ids(docs: DataFrame) -> DataFrame:
     numbers = numbers.select(F.col("doc_id").alias("__i"), "__t", "__j")
     joined = docs.withColumn("__x", F.xxhash64("text")).join(numbers, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__x") == F.col("__t")))
     low = F.lit(NULL_ID // most + 1)
-    return joined.select("doc_id", "text", (F.coalesce(F.col("doc_id").cast("long"), low) * most + F.col("__j")).alias("__doc"))
+    return joined.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), low) * most + F.col("__j")).drop("__x", "__i", "__t", "__j")
 
 
 def _slide_min(x: np.ndarray, width: int) -> np.ndarray:

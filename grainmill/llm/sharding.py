@@ -101,7 +101,8 @@ def shard_documents(docs: DataFrame, shards: int = 24, base: int = 24, buckets:
         place(hash_tree(shards, base, weights=weights), key).alias("shard"),
         place(hash_tree(shards + 1, base, weights=weights), key).alias("grown_shard"),
     ).withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(buckets)).cast("int"))
-    placed = materialize(placed, "placed")
+    if digest:  # else the texts would be written once more; they are placed twice instead
+        placed = materialize(placed, "placed")
     counts = placed.groupBy("shard", "__bucket").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
