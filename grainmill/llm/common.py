@@ -53,7 +53,3 @@ def unit(*parts: Column) -> Column:
 def hex_unit(digest: Column, k: int) -> Column:
     """The k-th 32 bits of an md5 digest as a number in (0, 1)."""
     return (F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
-
-
-def sql_hex_unit(digest: str, k: int) -> str:
-    return f"((('0x' || substr({digest}, {8 * k + 1}, 8))::BIGINT)::DOUBLE + 0.5) / 4294967296.0"

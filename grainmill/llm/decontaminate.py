@@ -19,7 +19,7 @@ Input columns named like the output are replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, without
@@ -53,10 +53,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = M
     """Confirmed hits: __id, __text (hash), item_id and matched (most agreeing tokens in a window), a row for each document and item."""
     span = max(map(len, masks))
     items = benchmark.select("item_id", token_hashes(F.col("text")).alias("item")).withColumn("len", F.size("item")).where(F.col("len") >= SHORT_SPAN)
-    items = materialize(items.withColumn("item_no", F.row_number().over(Window.orderBy("item_id", "item"))), "items")
+    items = materialize(items.withColumn("item_no", F.monotonically_increasing_id()), "items")
     sizes = items.agg(F.count("*"), F.sum("len"), F.min("len"), F.sum(F.when(F.col("len") < span, 1).otherwise(0))).first()
     if not sizes[0]:
-        return docs.select(F.col("doc_id").alias("__id"), F.lit(0).cast("long").alias("__text"), F.lit(0).cast("int").alias("matched"), F.lit(0).alias("item_no")).where(F.lit(False)).join(items.select("item_no", "item_id"), "item_no").drop("item_no")
+        return docs.select(F.col("doc_id").alias("__id"), F.lit(0).cast("long").alias("__text"), F.lit(0).cast("int").alias("matched"), F.lit(0).cast("long").alias("item_no")).where(F.lit(False)).join(items.select("item_no", "item_id"), "item_no").drop("item_no")
     used = masks + (("1" * SHORT_SPAN,) if sizes[3] else ())
     length = F.element_at(F.array(*[F.lit(len(m)) for m in used]), F.col("mask") + 1)
 

@@ -1,8 +1,8 @@
 """Operator 4: shards from a hierarchical weighted hash tree (region, rack, shard), in built-in functions only.
 
-At each level a row draws -ln(u) / weight for every child, u from a hash of its id and the child's name, and goes down
+At each level a row draws -ln(u) / weight for every child, u from an md5 of the child's name and the row's id, and goes down
 to the least draw. A child's draw depends on nothing else, so when a weight changes, rows move only into or out of that
-child's subtree. The draws of one level come from md5 digests, four to a digest.
+child's subtree.
 
 Growing adds the new shard as a region of its own ("annex") beside the old ones: no old node changes its weight, so a
 row either keeps its place or moves to the new shard.
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hex_unit, id_text, materialize, sql_hex_unit, without
+from .common import hex_unit, id_text, materialize, without
 
 
 @dataclass(frozen=True)
@@ -56,34 +56,31 @@ def hash_tree(shards: int, base: int = 24, regions: int = 2, racks: int = 3, wei
     return _inner("root", tuple(top))
 
 
-def place(node: Node, key: Column) -> Column:
-    """The shard that a row with this key descends to."""
-    if not node.children:
-        return F.lit(node.shard)
-    if len(node.children) == 1:
-        return place(node.children[0], key)
-    draws = []
-    for i, child in enumerate(node.children):
-        digest = F.md5(F.concat(F.lit(f"{node.name}/{i // 4}:"), key).cast("binary"))
-        draws.append(F.struct((-F.log(hex_unit(digest, i % 4)) / F.lit(child.weight)).alias("d"), F.lit(i).alias("i")))
-    best = F.array_min(F.array(*draws))["i"]
-    if all(not c.children for c in node.children):
-        return F.element_at(F.array(*[F.lit(c.shard) for c in node.children]), best + 1)
-    out = None
-    for i, child in enumerate(node.children):
-        out = F.when(best == i, place(child, key)) if out is None else out.when(best == i, place(child, key))
-    return out
-
-
-def place_sql(node: Node, key: str) -> str:
-    """place() in DuckDB's SQL."""
-    if not node.children:
-        return str(node.shard)
-    if len(node.children) == 1:
-        return place_sql(node.children[0], key)
-    draws = [f"-ln({sql_hex_unit(f'md5({chr(39)}{node.name}/{i // 4}:{chr(39)} || {key})', i % 4)}) / {c.weight!r}" for i, c in enumerate(node.children)]
-    best = f"list_position([{', '.join(draws)}], list_min([{', '.join(draws)}]))"
-    return f"(CASE {best} " + " ".join(f"WHEN {i + 1} THEN {place_sql(c, key)}" for i, c in enumerate(node.children)) + " END)"
+def _levels(root: Node) -> tuple[list[Node], list[list[int]], int]:
+    """Nodes level by level, each one's children (a leaf's is itself), and the number of levels below the root."""
+    nodes, depth, level = [root], 0, [root]
+    while any(n.children for n in level):
+        level = [c for n in level for c in n.children]
+        nodes += level
+        depth += 1
+    number = {id(n): i for i, n in enumerate(nodes)}
+    return nodes, [[number[id(c)] for c in n.children] or [i] for i, n in enumerate(nodes)], depth
+
+
+def descend(df: DataFrame, root: Node, key: str, out: str) -> DataFrame:
+    """df with the shard that the row's key descends to. The tree is a few literal arrays, indexed by the current node."""
+    nodes, children, depth = _levels(root)
+    below = F.array(*[F.lit(row) for row in children])
+    weight, name, shard = F.lit([n.weight for n in nodes]), F.lit([n.name for n in nodes]), F.lit([n.shard for n in nodes])
+
+    def draw(child: Column) -> Column:
+        digest = F.md5(F.concat(F.get(name, child), F.lit(":"), F.col(key)).cast("binary"))
+        return F.struct((-F.log(hex_unit(digest, 0)) / F.get(weight, child)).alias("draw"), child.alias("child"))
+
+    df = df.withColumn("__node", F.lit(0))
+    for _ in range(depth):
+        df = df.withColumn("__node", F.array_min(F.transform(F.get(below, F.col("__node")), draw))["child"])
+    return df.withColumn(out, F.get(shard, F.col("__node"))).drop("__node")
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, base: int = 24, buckets: int = 128, weights: dict[int, float] | None = None, digest: bool = True) -> DataFrame:
@@ -91,16 +88,13 @@ def shard_documents(docs: DataFrame, shards: int = 24, base: int = 24, buckets:
 
     digest=True keeps doc_id alone of the input's columns, so that no text is shuffled.
     """
-    key, text = id_text(), F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(F.col("text"), F.lit(""))
     docs = without(docs, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
-    kept = [F.col("doc_id")] if digest else [F.col(c) for c in docs.columns]
-    placed = docs.select(
-        *kept,
-        (F.octet_length(text) + 8).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        place(hash_tree(shards, base, weights=weights), key).alias("shard"),
-        place(hash_tree(shards + 1, base, weights=weights), key).alias("grown_shard"),
-    ).withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(buckets)).cast("int"))
+    kept = ["doc_id"] if digest else docs.columns
+    sized = docs.select(*kept, (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), id_text().alias("__key"))
+    placed = descend(sized, hash_tree(shards, base, weights=weights), "__key", "shard")
+    placed = descend(placed, hash_tree(shards + 1, base, weights=weights), "__key", "grown_shard").drop("__key")
+    placed = placed.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(buckets)).cast("int"))
     if digest:  # else the texts would be written once more; they are placed twice instead
         placed = materialize(placed, "placed")
     counts = placed.groupBy("shard", "__bucket").agg(F.count("*").alias("__n"))
