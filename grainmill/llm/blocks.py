@@ -35,7 +35,11 @@ class Block:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
 
-def blocks(column: pa.Array, limit: int = 1 << 20) -> Iterator[Block]:
+#: Bytes of a block: numbers of 8 bytes for each fit the processor's cache.
+BLOCK = 1 << 17
+
+
+def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[Block]:
     """Whole documents together up to `limit` bytes; a longer document is a block of its own."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -77,7 +81,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
     have = _POWERS.get(which)
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         base = int(_BASE[which])
         up = np.full(size, base, np.uint64)
         down = np.full(size, pow(base, -1, 1 << 64), np.uint64)

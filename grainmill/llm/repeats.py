@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import Block, mix
+from .blocks import BLOCK, Block, mix
 
 _CODEC = "zstd"
 #: Groups of more occurrences are dealt over salts of about this many.
@@ -101,7 +101,7 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "__doc", "text").mapInArrow(pack, f"doc_id {kind}, __doc long, size long, z binary")
 
 
-def unpacked(batch: pa.RecordBatch, limit: int = 1 << 20) -> Iterator[Block]:
+def unpacked(batch: pa.RecordBatch, limit: int = BLOCK) -> Iterator[Block]:
     """The packed texts of a batch as blocks."""
     sizes = batch.column("size").to_numpy()
     held: list[bytes] = []
