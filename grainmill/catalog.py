@@ -1,4 +1,665 @@
-"""The registered queries and, where SQL can express them, their DuckDB counterparts."""
+"""The registered queries over the test tables and, where SQL can express them, their DuckDB counterparts.
+
+There is no table of logs, so lines are rendered from `events` by an SQL expression that both engines read.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from grainmill.config import MinerConfig, to_env
+from grainmill.functions import adapters, anonymize, classify, postprocess, similarity
+from grainmill.functions import text as T
+from grainmill.operators import drain, evaluate, lookup, refine, tuning, vectors
+from grainmill.plans import control, prompts
+from grainmill.sources import readers, state
+from grainmill.streaming import mining
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+LINE = """CASE event_id % 6
+  WHEN 0 THEN concat('User u', cast(user_id AS string), ' ', event_type, ' from 10.0.', cast(user_id % 256 AS string), '.', cast(event_id % 256 AS string), ' path /api/v', cast(event_id % 3 AS string), '/', event_type, ' took ', cast(event_id % 5000 AS string), 'ms')
+  WHEN 1 THEN concat('Connection from 192.168.', cast(user_id % 256 AS string), '.', cast(event_id % 256 AS string), ' port ', cast(event_id % 60000 AS string), ' closed by node-', cast(user_id % 9 AS string), '.example.com')
+  WHEN 2 THEN concat('Failed to open /var/log/app', cast(user_id % 7 AS string), '/', event_type, '.log code ', cast(event_id % 17 AS string), ' retry true')
+  WHEN 3 THEN concat('Session 550e8400-e29b-41d4-a716-', lpad(cast(event_id AS string), 12, '0'), ' opened for user', cast(user_id % 50 AS string), '@example.org')
+  WHEN 4 THEN concat('Worker ', cast(user_id % 8 AS string), ' processed ', cast(event_id % 900 AS string), ' records  in 0x', lpad(cast(event_id % 77777 AS string), 8, '0'), ' blocks')
+  ELSE concat('state=', event_type, ', ratio=0.', cast(event_id % 97 AS string), ', owner=root; value null done.') END"""
+RAW = f"""CASE event_id % 4
+  WHEN 0 THEN concat('<134>Jan 15 10:30:', lpad(cast(event_id % 60 AS string), 2, '0'), ' myhost app', CASE WHEN event_id % 8 = 0 THEN concat('[', cast(user_id AS string), ']') ELSE '' END, ':   ', {LINE}, ' ')
+  WHEN 1 THEN concat('10.0.0.', cast(user_id % 256 AS string), ' - - [15/Jan/2024:10:30:00 +0000] "GET /', event_type, ' HTTP/1.1" ', cast(200 + event_id % 5 AS string), ' ', CASE WHEN event_id % 3 = 0 THEN '-' ELSE cast(event_id AS string) END, CASE WHEN event_id % 8 = 1 THEN ' "http://r" "agent x"' ELSE '' END)
+  WHEN 2 THEN concat('{{"level":"info","n":', cast(event_id AS string), ',"ok":true,"', CASE event_id % 3 WHEN 0 THEN 'message' WHEN 1 THEN 'msg' ELSE 'log' END, '":"', {LINE}, '"}}')
+  ELSE concat('  ', {LINE}, ' ') END"""
+TEMPLATES = ["User <*> <*> from <IP> path <*> took <*>", "Connection from <IP> port <NUM> closed by <*>", "Failed to open <*> code <NUM> retry true", "Failed to open <*> code <*> retry <*>", "Session <UUID> opened for <EMAIL>", "Worker <NUM> processed <NUM> records in <HEX> blocks", "Worker <*> processed <*> records in <*> blocks", "never seen <*> here"]
+SQL_TEMPLATES = "templates AS (SELECT template_id, template, string_split(template, ' ') AS pattern FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(TEMPLATES, 1)) + ") v(template_id, template))"
+
+
+def logs(spark: SparkSession, sf_dir: str, line: str = LINE) -> DataFrame:
+    """log_order, content, and the columns of events."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("content", F.expr(line)).withColumn("log_order", F.col("event_id"))
+
+
+def sql_logs(line: str = LINE) -> str:
+    return f"logs AS (SELECT *, event_id AS log_order, {line} AS content FROM events)"
+
+
+def templates(spark: SparkSession) -> DataFrame:
+    rows = [(i, t, t.split(" "), 0) for i, t in enumerate(TEMPLATES, 1)]
+    return spark.createDataFrame(rows, "template_id long, template string, tokens array<string>, size long")
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def scalar(name: str, value, sql: str, line: str = LINE) -> None:
+    """A query of one expression over the lines: value(content) in Spark, `sql` over content in DuckDB."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return logs(spark, sf_dir, line).select("log_order", value(F.col("content")).alias("value"))
+
+    run.__name__ = name
+    query(f"WITH {sql_logs(line)} SELECT log_order, {sql} AS value FROM logs")(run)
+
+
+def sub(text: str, pattern: str, to: str) -> str:
+    flags = "g"
+    if pattern.startswith("(?i)"):
+        pattern, flags = pattern[4:], "gi"
+    pattern = pattern.replace(r"\z", "$").replace("'", "''")
+    return f"regexp_replace({text}, '{pattern}', '{to}', '{flags}')"
+
+
+def subs(text: str, rules) -> str:
+    for pattern, to in rules:
+        text = sub(text, pattern, to)
+    return text
+
+
+def mask_sql(text: str, masks) -> str:
+    return subs(text, [(p, f"<{n}>") for p, n in masks])
+
+
+WORDS = r"list_filter(regexp_split_to_array(content, '\s+'), lambda x: x <> '')"
+
+# --- masks, tokens and rewrites ---------------------------------------------------------------------------------------
+for _name in ("default", "extended", "enhanced"):
+    scalar(f"mask_{_name}", lambda c, n=_name: T.mask(c, T.MASKS[n]), mask_sql("content", T.MASKS[_name]))
+for _short, _one in (("hostname", T.HOSTNAME_MASK), ("bare_hex", T.BARE_HEX_MASK), ("uuid_nodash", T.UUID_NODASH_MASK)):
+    scalar(f"mask_{_short}", lambda c, m=_one: T.mask(c, [m]), mask_sql("content", [_one]))
+_COLLAPSE = ((r"\d+", "<n>"), (r"app<n>", "app"))
+scalar("collapse_patterns", lambda c: T.collapse(c, _COLLAPSE), r"regexp_replace(regexp_replace(content, '\d+', '<n>'), 'app<n>', 'app')")
+scalar("collapse_all_patterns", lambda c: T.collapse(c, _COLLAPSE, True), r"regexp_replace(regexp_replace(content, '\d+', '<n>', 'g'), 'app<n>', 'app', 'g')")
+scalar("extra_delimiters", lambda c: T.split_delimiters(c, ("=", ",")), "replace(replace(content, '=', ' '), ',', ' ')")
+scalar("tokens_ws", lambda c: F.array_join(T.tokens(c), "|"), f"array_to_string({WORDS}, '|')")
+scalar("preprocessed", lambda c: T.prepare(F.lower(c), MinerConfig(extra_delimiters=("=",))), mask_sql("replace(lower(content), '=', ' ')", T.DEFAULT_MASKS))
+
+
+@query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))::BIGINT AS n FROM documents")
+def token_counts(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n"))
+
+
+@query(f"WITH {sql_logs()}, t AS (SELECT {WORDS} AS w FROM logs), p AS (SELECT unnest(list_zip(w[:-2], w[2:])) AS z FROM t) SELECT z[1] AS first, z[2] AS second, count(*)::BIGINT AS n FROM p GROUP BY ALL")
+def bigrams(spark, sf_dir):
+    return drain.bigrams(logs(spark, sf_dir).select(T.tokens(F.col("content")).alias("tokens")))
+
+
+@query(f"WITH {sql_logs()} SELECT log_order, len(list_filter(regexp_split_to_array({mask_sql('content', T.DEFAULT_MASKS)}, '\\s+'), lambda x: x LIKE '<_%>'))::BIGINT AS bin FROM logs")
+def param_binning_key(spark, sf_dir):
+    return logs(spark, sf_dir).select("log_order", F.size(F.filter(T.tokens(T.mask(F.col("content"), T.DEFAULT_MASKS)), T.is_masked)).cast("long").alias("bin"))
+
+
+# --- adapters -----------------------------------------------------------------------------------------------------------
+_SYS = adapters.SYSLOG.replace("(?s)", "")
+_APACHE = adapters.APACHE.replace('\\"', '"')
+
+
+def _sys(n: int) -> str:
+    return f"regexp_extract(content, '{_SYS}', {n}, 's')"
+
+
+def _apa(n: int) -> str:
+    return f"regexp_extract(content, '{_APACHE}', {n})"
+
+
+_SYSLOG_SQL = f"CASE WHEN {_sys(5)} <> '' THEN trim({_sys(5)}) ELSE trim(content) END"
+_APACHE_SQL = f"CASE WHEN regexp_matches(content, '{_APACHE}') THEN concat({_apa(3)}, ' ', {_apa(4)}, ' ', {_apa(5)}) ELSE trim(content) END"
+_JSON_SQL = "CASE WHEN trim(content) LIKE '{%' THEN coalesce(json_extract_string(trim(content), '$.message'), json_extract_string(trim(content), '$.msg'), json_extract_string(trim(content), '$.content'), json_extract_string(trim(content), '$.log'), content) ELSE content END"
+_FORMAT_SQL = f"CASE WHEN trim(content) LIKE '{{%' THEN 'json' WHEN regexp_matches(trim(content), '{adapters.SYSLOG_START}') THEN 'syslog' WHEN regexp_matches(trim(content), '{adapters.APACHE_START}') THEN 'apache' ELSE 'raw' END"
+scalar("syslog_content", adapters.syslog_content, _SYSLOG_SQL, RAW)
+scalar("apache_content", adapters.apache_content, _APACHE_SQL, RAW)
+scalar("json_content", adapters.json_content, _JSON_SQL, RAW)
+scalar("line_format", adapters.line_format, _FORMAT_SQL, RAW)
+scalar("auto_detect_content", lambda c: adapters.content(c, "auto"), f"CASE {_FORMAT_SQL} WHEN 'json' THEN {_JSON_SQL} WHEN 'syslog' THEN {_SYSLOG_SQL} WHEN 'apache' THEN {_APACHE_SQL} ELSE trim(content) END", RAW)
+
+
+@query(f"WITH {sql_logs(RAW)} SELECT log_order, {_sys(1)} AS timestamp, {_sys(2)} AS hostname, {_sys(3)} AS application, {_sys(4)} AS pid FROM logs WHERE regexp_matches(content, '{_SYS}', 's')")
+def syslog_metadata(spark, sf_dir):
+    rows = logs(spark, sf_dir, RAW).select("log_order", F.explode(F.filter(F.array(adapters.syslog_metadata(F.col("content"))), lambda m: F.size(m) > 0)).alias("m"))
+    return rows.select("log_order", *[F.col("m")[k].alias(k) for k in ("timestamp", "hostname", "application", "pid")])
+
+
+@query(f"WITH {sql_logs(RAW)} SELECT log_order, {_apa(1)} AS host, {_apa(3)} AS request, {_apa(4)} AS status, {_apa(5)} AS size, {_apa(6)} AS referer, {_apa(7)} AS agent FROM logs WHERE regexp_matches(content, '{_APACHE}')")
+def apache_metadata(spark, sf_dir):
+    rows = logs(spark, sf_dir, RAW).select("log_order", F.explode(F.filter(F.array(adapters.apache_metadata(F.col("content"))), lambda m: F.size(m) > 0)).alias("m"))
+    return rows.select("log_order", *[F.col("m")[k].alias(a) for k, a in (("host", "host"), ("request", "request"), ("status", "status"), ("size", "size"), ("referer", "referer"), ("userAgent", "agent"))])
+
+
+@query(f"WITH {sql_logs(RAW)} SELECT log_order, json_extract_string(trim(content), '$.level') AS level, json_extract_string(trim(content), '$.n') AS n, json_extract_string(trim(content), '$.ok') AS ok, (3 + (json_extract_string(trim(content), '$.log') IS NOT NULL)::INT)::BIGINT AS keys FROM logs WHERE trim(content) LIKE '{{%'")
+def json_metadata(spark, sf_dir):
+    rows = logs(spark, sf_dir, RAW).select("log_order", F.explode(F.filter(F.array(adapters.json_metadata(F.col("content"))), lambda m: F.size(m) > 0)).alias("m"))
+    return rows.select("log_order", F.col("m")["level"].alias("level"), F.col("m")["n"].alias("n"), F.col("m")["ok"].alias("ok"), F.size("m").cast("long").alias("keys"))
+
+
+@query("SELECT doc_id, CASE WHEN text IS NULL OR length(trim(text)) < 3 THEN 'other' WHEN regexp_matches(text, '[\\p{Hiragana}\\p{Katakana}]') THEN 'ja' WHEN regexp_matches(text, '\\p{Han}') THEN 'zh' WHEN regexp_matches(text, '\\p{Latin}') THEN 'en' ELSE 'other' END AS language FROM documents")
+def language(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.language(F.col("text")).alias("language"))
+
+
+# --- classification and correction ----------------------------------------------------------------------------------------
+_TYPE_SQL = "CASE WHEN t = '' THEN 'GENERIC' " + "".join(f"WHEN regexp_matches(t, '{p}') THEN 'TIMESTAMP' " for p in classify.TIMESTAMPS) + "".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}' " for n, p in classify.TYPES) + r"WHEN (t LIKE '/%' AND length(t) > 1) OR (contains(t, '\') AND length(t) > 2) OR (regexp_matches(t, '^[./]') AND contains(t, '/')) THEN 'PATH' WHEN NOT contains(t, ' ') AND regexp_matches(t, '\.[a-zA-Z]') AND length(t) > 4 THEN 'HOSTNAME' ELSE 'GENERIC' END"
+_TYPE_SQL = _TYPE_SQL.replace(r"\z", "$")
+
+
+@query(f"WITH {sql_logs()}, w AS (SELECT unnest({WORDS}) AS t FROM logs) SELECT {_TYPE_SQL} AS type, count(*)::BIGINT AS n FROM w GROUP BY ALL")
+def type_histogram(spark, sf_dir):
+    words = logs(spark, sf_dir).select(F.explode(T.tokens(F.col("content"))).alias("t"))
+    return words.groupBy(classify.variable_type(F.col("t")).alias("type")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT page_id, {_TYPE_SQL} AS type FROM (SELECT page_id, trim(url) AS t FROM pages)")
+def classify_urls(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", classify.variable_type(F.col("url")).alias("type"))
+
+
+_IPS, _UUIDS, _EMAILS, _PATHS = (r"\b(\d{1,3}\.){3}\d{1,3}\b", "<IP>"), (r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "<UUID>"), (r"\b[\w.-]+@[\w.-]+\.\w+\b", "<EMAIL>"), (r"[/\\][\w.\-/\\]+", "<PATH>")
+_PS = ((r"/[\w./-]{3,}", "<*>"), (r"(?i)([\w-]+\.){3,}[a-z]+", "<*>"))
+_BL = ((rf"(?i)\b({'|'.join(postprocess.VALUE_WORDS)})\b", "<*>"),)
+_WV = ((r"[^\s<]+<\*>[^\s<]*", "<*>"), (r"<\*>[\w.]+<\*>", "<*>"))
+_DV = tuple((rf"<\*>\{d}<\*>", "<*>") for d in postprocess.DELIMITERS)
+_CV = ((r"<\*> <\*>", "<*>"), (r"<\*>(<\*>)+", "<*>"), (r'" <\*> "', " <*> "), (r"' <\*> '", " <*> "), (r"<\*> [KMGTP]B\b", "<*>"))
+
+
+def _digits_sql(text: str) -> str:
+    n = r"len(regexp_extract_all(x, '\d'))"
+    return rf"array_to_string(list_transform(string_split({text}, ' '), lambda x: CASE WHEN x LIKE '<%' OR {n} = 0 OR regexp_matches(x, '^[a-zA-Z]') OR regexp_matches(substr(x, 2), '[A-Z]') THEN x WHEN {n} >= 4 OR {n} / length(x) > 0.3 THEN '<*>' ELSE x END), ' ')"
+
+
+_DS = r"trim(regexp_replace(content, '\s+', ' ', 'g'))"
+_STARRED = subs("content", [(r"\d+", "<*>")])
+_star = lambda c: F.regexp_replace(c, F.lit(r"\d+"), F.lit("<*>"))
+scalar("pp_ds", T.collapse_space, _DS)
+scalar("pp_type_ips", postprocess.type_ips, subs("content", [_IPS]))
+scalar("pp_type_uuids", postprocess.type_uuids, subs("content", [_UUIDS]))
+scalar("pp_type_emails", postprocess.type_emails, subs("content", [_EMAILS]))
+scalar("pp_type_paths", postprocess.type_paths, subs("content", [_PATHS]))
+scalar("pp_ps", postprocess.paths, subs("content", _PS))
+scalar("pp_dg", lambda c: postprocess.digits(T.collapse_space(c)), _digits_sql(_DS))
+scalar("pp_blus", postprocess.value_words, subs("content", _BL))
+scalar("pp_wv", lambda c: postprocess.word_variables(_star(c)), subs(_STARRED, _WV))
+scalar("pp_dv", lambda c: postprocess.delimited(_star(c)), subs(_STARRED, _DV))
+scalar("pp_cv", lambda c: postprocess.consecutive(F.regexp_replace(c, F.lit(r"[0-9a-z]+"), F.lit("<*>"))), subs(subs("content", [(r"[0-9a-z]+", "<*>")]), _CV))
+
+
+@query(f"WITH {sql_logs()} SELECT log_order, {sub('content', r'\b[\w.-]+\.[a-z]{2,}\b', '<HOSTNAME>')} AS value FROM logs WHERE event_id % 6 = 1")
+def pp_type_hostnames(spark, sf_dir):
+    return logs(spark, sf_dir).where("event_id % 6 = 1").select("log_order", postprocess.type_hostnames(F.col("content")).alias("value"))
+
+
+@query()
+def pp_correct(spark, sf_dir):
+    done = postprocess.correct(F.col("content"), F.array("content"))
+    return logs(spark, sf_dir).withColumn("r", done).select("log_order", F.col("r.template").alias("template"), F.array_join("r.rules", ",").alias("rules"))
+
+
+_IP_RE = postprocess.TAG_PATTERNS["IP"]
+
+
+@query(f"WITH {sql_logs()} SELECT event_type, bool_and(regexp_matches(content, '^Connection from {_IP_RE} port \\S+ closed by \\S+$')) AS consistent, count(*)::BIGINT AS n FROM logs WHERE event_id % 6 = 1 OR event_type = 'click' GROUP BY ALL")
+def consistency_check(spark, sf_dir):
+    fits = F.rlike("content", postprocess.template_regex(F.lit("Connection from <IP> port <NUM> closed by <*>")))
+    return logs(spark, sf_dir).where("event_id % 6 = 1 OR event_type = 'click'").groupBy("event_type").agg(F.bool_and(fits).alias("consistent"), F.count("*").alias("n"))
+
+
+# --- refinement tools -----------------------------------------------------------------------------------------------------
+_NUM_SQL = "(x <> '' AND (" + " OR ".join(f"regexp_matches(x, '{p}')" for p in anonymize.NUMBER_FORMS).replace(r"\z", "$") + " OR (len(regexp_extract_all(x, '[0-9]')) > len(regexp_extract_all(x, '[a-zA-Z]')))))"
+
+
+@query(f"WITH {sql_logs()}, w AS (SELECT unnest({WORDS}) AS x FROM logs) SELECT {_NUM_SQL} AS number, count(*)::BIGINT AS n FROM w GROUP BY ALL")
+def is_number(spark, sf_dir):
+    words = logs(spark, sf_dir).select(F.explode(T.tokens(F.col("content"))).alias("x"))
+    return words.groupBy(anonymize.is_number(F.col("x")).alias("number")).agg(F.count("*").alias("n"))
+
+
+_CLASS = r"\s,;!@#$%^&(){}\[\]=\-_:\"\\'+"
+_PIECES_SQL = "list_filter(list_concat(regexp_extract_all(regexp_replace(content, '\\.$', ''), '[" + _CLASS.replace("'", "''") + "]|[^" + _CLASS.replace("'", "''") + "]+'), CASE WHEN content LIKE '%.' THEN ['.'] ELSE [] END), lambda x: x <> '')"
+scalar("synlog_pieces", lambda c: F.array_join(anonymize.pieces(c), "|"), f"array_to_string({_PIECES_SQL}, '|')")
+scalar("anonymize_numbers", anonymize.numbers, f"array_to_string(list_transform({_PIECES_SQL}, lambda x: CASE WHEN {_NUM_SQL} THEN '<*>' ELSE x END), '')")
+scalar("anonymize_patterns", anonymize.with_patterns, subs("content", [(p, "<*>") for p in anonymize.VARIABLE_PATTERNS]))
+scalar("synlog_post", lambda c: anonymize.merged(_star(c)), subs(_STARRED, [(p, "<*>") for _ in range(3) for p in (r"(<\*>\s*)+<\*>", r"(<\*>,\s*)+<\*>", r"(<\*>\+\s*)+<\*>", r"(<\*>#+)<\*>", r"<\*>%\s*")]))
+
+
+@query()
+def template_hash(spark, sf_dir):
+    return logs(spark, sf_dir).select("log_order", anonymize.template_hash(F.col("content")).alias("value"))
+
+
+@query(f"WITH {sql_logs()} SELECT event_id % 6 AS shape, bool_and(contains(content, 'opened') AND contains(content, 'for')) AS fits FROM logs GROUP BY ALL")
+def template_guard(spark, sf_dir):
+    fits = F.forall(anonymize.constants(F.lit("<*> opened <IP> for")), lambda w: F.contains("content", w))
+    return logs(spark, sf_dir).groupBy((F.col("event_id") % 6).alias("shape")).agg(F.bool_and(fits).alias("fits"))
+
+
+@query()
+def synlog_refine(spark, sf_dir):
+    rows = logs(spark, sf_dir).select((F.col("event_id") % 6).alias("template_id"), "log_order", "content")
+    first = rows.groupBy("template_id").agg(F.min_by("content", "log_order").alias("template"))
+    return refine.refine(rows, first)
+
+
+# --- similarity, vectors, clustering ----------------------------------------------------------------------------------------
+_MASKED_TEXT = mask_sql("content", T.DEFAULT_MASKS)
+
+
+@query(f"WITH {sql_logs()} SELECT log_order, round(levenshtein(content, {_MASKED_TEXT}) / greatest(length(content), length({_MASKED_TEXT})), 9) AS ratio FROM logs")
+def levenshtein_ratio(spark, sf_dir):
+    return logs(spark, sf_dir).select("log_order", F.round(similarity.edit_ratio(F.col("content"), T.mask(F.col("content"), T.DEFAULT_MASKS)), 9).alias("ratio"))
+
+
+_BENCH_WORDS = r"list_distinct(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))"
+
+
+@query(f"WITH w AS (SELECT item_id, {_BENCH_WORDS} AS w FROM benchmark) SELECT a.item_id AS i, b.item_id AS j, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 9) AS score FROM w a JOIN w b ON a.item_id + 1 = b.item_id")
+def jaccard_pairs(spark, sf_dir):
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", T.tokens(F.col("text")).alias("w"))
+    pairs = b.select(F.col("item_id").alias("i"), F.col("w").alias("u")).join(b.select(F.col("item_id").alias("j"), F.col("w").alias("v")), F.col("i") + 1 == F.col("j"))
+    return pairs.select("i", "j", F.round(similarity.jaccard(F.col("u"), F.col("v")), 9).alias("score"))
+
+
+@query("SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id + 1 = b.vec_id")
+def cosine_pairs(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    pairs = e.select(F.col("vec_id").alias("i"), F.col("embedding").alias("u")).join(e.select(F.col("vec_id").alias("j"), F.col("embedding").alias("v")), F.col("i") + 1 == F.col("j"))
+    return pairs.select("i", "j", F.round(similarity.cosine(F.col("u"), F.col("v")), 6).alias("score"))
+
+
+_TFIDF = f"docs AS (SELECT item_id AS doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM benchmark), terms AS (SELECT doc_id, len(w) AS total, unnest(w) AS term FROM docs), idf AS (SELECT term, count(DISTINCT doc_id) AS df, ln((1 + (SELECT count(*) FROM docs)) / (1 + count(DISTINCT doc_id))) + 1 AS idf FROM terms GROUP BY term), weights AS (SELECT doc_id, term, count(*) / any_value(total) * any_value(idf) AS weight FROM terms JOIN idf USING (term) GROUP BY doc_id, term)"
+
+
+def _bench_docs(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), T.tokens(F.col("text")).alias("tokens"))
+
+
+@query(f"WITH {_TFIDF} SELECT term, df::BIGINT AS df, round(idf, 9) AS idf FROM idf")
+def idf_terms(spark, sf_dir):
+    return vectors.idf(_bench_docs(spark, sf_dir)).select("term", "df", F.round("idf", 9).alias("idf"))
+
+
+@query(f"WITH {_TFIDF} SELECT doc_id, term, round(weight, 9) AS weight FROM weights")
+def tfidf_weights(spark, sf_dir):
+    return vectors.tf_idf(_bench_docs(spark, sf_dir)).select("doc_id", "term", F.round("weight", 9).alias("weight"))
+
+
+@query(f"WITH {_TFIDF}, norms AS (SELECT doc_id, sqrt(sum(weight * weight)) AS norm FROM weights GROUP BY doc_id) SELECT a.doc_id AS i, b.doc_id AS j, round(1 - sum(a.weight * b.weight) / any_value(m.norm * n.norm), 9) AS distance FROM weights a JOIN weights b ON a.term = b.term AND a.doc_id < b.doc_id JOIN norms m ON m.doc_id = a.doc_id JOIN norms n ON n.doc_id = b.doc_id GROUP BY 1, 2")
+def sparse_distances(spark, sf_dir):
+    return vectors.sparse_distances(vectors.tf_idf(_bench_docs(spark, sf_dir))).select("i", "j", F.round("distance", 9).alias("distance"))
+
+
+def _points(spark, sf_dir):
+    """Embeddings in batches of 40."""
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.floor(F.col("vec_id") / 40).alias("batch"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+@query("SELECT a.vec_id // 40 AS batch, a.vec_id AS i, b.vec_id AS j, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance FROM embeddings a JOIN embeddings b ON a.vec_id // 40 = b.vec_id // 40 AND a.vec_id < b.vec_id")
+def distance_matrix(spark, sf_dir):
+    return vectors.dense_distances(_points(spark, sf_dir)).select("batch", "i", "j", F.round("distance", 6).alias("distance"))
+
+
+@query()
+def dbscan_batches(spark, sf_dir):
+    return vectors.dbscan(_points(spark, sf_dir), 0.7, 3)
+
+
+@query()
+def dbscan_graph(spark, sf_dir):
+    points = _points(spark, sf_dir)
+    return vectors.dbscan_graph(points.select("id"), vectors.dense_distances(points).where("distance <= 0.7"), 3)
+
+
+@query()
+def dpp_sample(spark, sf_dir):
+    return vectors.dpp_sample(_points(spark, sf_dir), 5)
+
+
+@query(f"WITH {sql_logs()} SELECT log_order, event_type, row_number() OVER (PARTITION BY event_type ORDER BY log_order)::BIGINT AS pick FROM logs QUALIFY pick <= 5")
+def first_k_sample(spark, sf_dir):
+    return vectors.first_sample(logs(spark, sf_dir), "event_type", "log_order", 5).select("log_order", "event_type", F.col("pick").cast("long").alias("pick"))
+
+
+@query(f"WITH {sql_logs()}, n AS (SELECT log_order, event_type, row_number() OVER (PARTITION BY event_type ORDER BY log_order) - 1 AS i, ceil(count(*) OVER (PARTITION BY event_type) / 5) AS step FROM logs) SELECT log_order, event_type, i::BIGINT AS i FROM n WHERE i % step = 0 AND i / step < 5")
+def stride_sample(spark, sf_dir):
+    return vectors.stride_sample(logs(spark, sf_dir), "event_type", "log_order", 5).select("log_order", "event_type", F.col("i").cast("long").alias("i"))
+
+
+@query(f"WITH {sql_logs()} SELECT event_type, ceil(sum(length(content)) / 4)::BIGINT AS tokens FROM logs GROUP BY ALL")
+def estimate_tokens(spark, sf_dir):
+    return logs(spark, sf_dir).groupBy("event_type").agg(F.ceil(F.sum(F.length("content")) / 4).cast("long").alias("tokens"))
+
+
+@query()
+def packed_clusters(spark, sf_dir):
+    sizes = logs(spark, sf_dir).groupBy((F.col("user_id") % 100).alias("template_id")).agg(F.ceil(F.sum(F.length("content")) / 4).cast("long").alias("tokens"))
+    return vectors.pack(sizes, 9000, 20)
+
+
+# --- miner ------------------------------------------------------------------------------------------------------------------
+_MASKED = f"list_filter(regexp_split_to_array({mask_sql('content', T.DEFAULT_MASKS)}, '\\s+'), lambda x: x <> '')"
+_FIT = "list_aggregate(list_transform(list_zip(l.tokens, t.pattern), lambda z: z[2] = '<*>' OR z[1] = z[2]), 'bool_and')"
+
+
+@query(f"WITH {sql_logs()}, {SQL_TEMPLATES}, l AS (SELECT log_order, {_MASKED} AS tokens FROM logs), m AS (SELECT l.log_order, t.template_id, t.template, row_number() OVER (PARTITION BY l.log_order ORDER BY len(list_filter(t.pattern, lambda p: p = '<*>')), t.template_id) AS k FROM l JOIN templates t ON len(l.tokens) = len(t.pattern) AND {_FIT}) SELECT l.log_order, coalesce(m.template_id, -1)::BIGINT AS template_id, coalesce(m.template, '') AS template FROM l LEFT JOIN m ON m.log_order = l.log_order AND m.k = 1")
+def match_templates(spark, sf_dir):
+    found = drain.match(logs(spark, sf_dir).select("log_order", "content"), templates(spark))
+    return found.select("log_order", F.coalesce("template_id", F.lit(-1)).alias("template_id"), F.coalesce("template", F.lit("")).alias("template"))
+
+
+@query(f"WITH {sql_logs()}, p AS (SELECT log_order, unnest(list_zip(string_split('Connection from <IP> port <NUM> closed by <*>', ' '), string_split(content, ' '))) AS z FROM logs WHERE event_id % 6 = 1) SELECT log_order, z[2] AS value, regexp_extract(z[1], '<([^<>]+)>', 1) AS mask_name FROM p WHERE z[1] LIKE '<%'")
+def params_extract(spark, sf_dir):
+    found = drain.parameters(F.split(F.lit("Connection from <IP> port <NUM> closed by <*>"), " "), T.tokens(F.col("content")))
+    return logs(spark, sf_dir).where("event_id % 6 = 1").select("log_order", F.explode(found).alias("p")).select("log_order", "p.value", "p.mask_name")
+
+
+@query(f"WITH {sql_logs()}, l AS (SELECT {_MASKED} AS t FROM logs), r AS (SELECT len(t)::BIGINT AS n_tokens, CASE WHEN regexp_matches(t[1], '[0-9]') THEN '<*>' ELSE t[1] END AS routed FROM l) SELECT n_tokens, routed, count(*)::BIGINT AS n FROM r GROUP BY ALL")
+def drain_key_histogram(spark, sf_dir):
+    keyed = drain.keyed(logs(spark, sf_dir).select("log_order", "content"), MinerConfig())
+    return keyed.groupBy(F.col("n_tokens").cast("long").alias("n_tokens"), F.element_at(F.split("branch", "\t"), -1).alias("routed")).agg(F.count("*").alias("n"))
+
+
+def _mined(spark, sf_dir, config=None):
+    return drain.mine(logs(spark, sf_dir).select("log_order", "content"), config or MinerConfig())
+
+
+@query()
+def drain_train(spark, sf_dir):
+    return drain.templates_of(_mined(spark, sf_dir)).select("template_id", "template", "size")
+
+
+@query()
+def drain_online(spark, sf_dir):
+    rows = drain.train(logs(spark, sf_dir).select("log_order", "content"))
+    return rows.select("log_order", "template_id", "template", F.size("parameters").alias("n_parameters"), "source", "kind")
+
+
+@query()
+def jaccard_train(spark, sf_dir):
+    return drain.templates_of(_mined(spark, sf_dir, MinerConfig(engine="jaccard"))).select("template_id", "template", "size")
+
+
+@query(f"WITH {sql_logs()} SELECT count(*)::BIGINT AS total FROM logs")
+def total_processed(spark, sf_dir):
+    return drain.templates_of(_mined(spark, sf_dir)).agg(F.sum("size").alias("total"))
+
+
+@query()
+def merged_clusters(spark, sf_dir):
+    return drain.merge_clusters(drain.templates_of(_mined(spark, sf_dir, MinerConfig(sim_th=0.9))), MinerConfig(cluster_merge=True))
+
+
+@query()
+def adjacent_fusion(spark, sf_dir):
+    rows = logs(spark, sf_dir).select("log_order", T.tokens(T.mask(F.col("content"), T.DEFAULT_MASKS)).alias("tokens"))
+    return drain.fuse_adjacent(rows).select("log_order", F.array_join("tokens", " ").alias("text"))
+
+
+@query(f"WITH {SQL_TEMPLATES} SELECT template_id::BIGINT AS template_id, template, len(pattern)::BIGINT AS n FROM templates UNION ALL SELECT {len(TEMPLATES)} + row_number() OVER (ORDER BY e), 'event ' || e || ' <*>', 3 FROM (SELECT DISTINCT event_type AS e FROM events)")
+def registered_templates(spark, sf_dir):
+    kinds = logs(spark, sf_dir).select("event_type").distinct().select(F.col("event_type").alias("at"), F.array(F.lit("event"), "event_type", F.lit("<*>")).alias("tokens"))
+    return drain.register(templates(spark), kinds).select("template_id", "template", F.size("tokens").cast("long").alias("n"))
+
+
+@query()
+def snapshot_round_trip(spark, sf_dir):
+    text = state.to_snapshot(drain.templates_of(_mined(spark, sf_dir))).first()[0]
+    return state.from_snapshot(spark, text).select("template_id", "template", "size")
+
+
+# --- lookups -------------------------------------------------------------------------------------------------------------------
+def _lines(spark, sf_dir):
+    return logs(spark, sf_dir).select("log_order", T.tokens(T.mask(F.col("content"), T.DEFAULT_MASKS)).alias("tokens"))
+
+
+_WALK = "list_transform(list_zip(l.tokens, t.pattern), lambda z: CASE WHEN z[1] = z[2] THEN '0' ELSE '1' END)"
+
+
+@query(f"WITH {sql_logs()}, {SQL_TEMPLATES}, l AS (SELECT log_order, {_MASKED} AS tokens FROM logs), m AS (SELECT l.log_order, t.template_id, row_number() OVER (PARTITION BY l.log_order ORDER BY array_to_string({_WALK}, '')) AS k FROM l JOIN templates t ON len(l.tokens) = len(t.pattern) AND {_FIT}) SELECT l.log_order, coalesce(m.template_id, -1)::BIGINT AS template_id FROM l LEFT JOIN m ON m.log_order = l.log_order AND m.k = 1")
+def cache_lookup(spark, sf_dir):
+    found = lookup.trie_lookup(_lines(spark, sf_dir), templates(spark).where("template_id <> 4"))
+    return found.select("log_order", F.coalesce("template_id", F.lit(-1)).alias("template_id"))
+
+
+ORACLES["cache_lookup"] = ORACLES["cache_lookup"].replace("JOIN templates t ON", "JOIN (SELECT * FROM templates WHERE template_id <> 4) t ON")
+
+
+def _cache(spark, sf_dir):
+    rows = logs(spark, sf_dir).groupBy((F.col("user_id") % 100).alias("template_id")).agg(F.count("*").alias("freq"), (F.max("event_id") * 100.0).alias("ts"), F.min("event_id").alias("seq"))
+    return rows.select("template_id", F.array(F.lit("t"), F.col("template_id").cast("string")).alias("tokens"), "freq", "ts", "seq")
+
+
+_CACHE = f"{sql_logs()}, cache AS (SELECT user_id % 100 AS template_id, count(*) AS freq, max(event_id) * 100.0 AS ts, min(event_id) AS seq FROM logs GROUP BY 1), e AS (SELECT *, freq * pow(0.95, (2000000.0 - ts) / 3600.0) AS effective FROM cache)"
+
+
+@query(f"WITH {_CACHE} SELECT template_id::BIGINT AS template_id, round(effective, 9) AS effective FROM e")
+def decayed_frequency(spark, sf_dir):
+    return lookup.effective_frequency(_cache(spark, sf_dir), 2_000_000.0).select("template_id", F.round("effective", 9).alias("effective"))
+
+
+@query(f"WITH {_CACHE} SELECT template_id::BIGINT AS template_id FROM e ORDER BY effective DESC, seq DESC LIMIT 40")
+def evict_top_n(spark, sf_dir):
+    return lookup.evict(_cache(spark, sf_dir), 40, 2_000_000.0).select("template_id")
+
+
+@query()
+def cache_put(spark, sf_dir):
+    cache = _cache(spark, sf_dir)
+    fresh = cache.where("template_id % 3 = 0").drop("freq").withColumn("seq", F.col("seq") + 1_000_000)
+    return lookup.put(cache, fresh).select("template_id", "freq", "seq")
+
+
+@query(f"WITH {sql_logs()}, {SQL_TEMPLATES}, l AS (SELECT log_order, {_MASKED} AS tokens FROM logs), h AS (SELECT log_order, EXISTS (SELECT 1 FROM templates t WHERE t.template_id <> 4 AND len(l.tokens) = len(t.pattern) AND {_FIT}) AS hit FROM l) SELECT round(avg(hit::INT), 9) AS hit_rate, sum(hit::INT)::BIGINT AS hits, count(*)::BIGINT AS lookups FROM h")
+def hit_rate(spark, sf_dir):
+    found = lookup.hit_rate(lookup.trie_lookup(_lines(spark, sf_dir), templates(spark).where("template_id <> 4")))
+    return found.select(F.round("hit_rate", 9).alias("hit_rate"), "hits", "lookups")
+
+
+_RAG = f"{sql_logs()}, {SQL_TEMPLATES}, l AS (SELECT log_order, list_distinct({_MASKED}) AS a FROM logs), s AS (SELECT log_order, template_id, len(list_intersect(a, pattern)) / (len(a) + len(list_distinct(pattern)) - len(list_intersect(a, pattern))) AS score FROM l, templates)"
+
+
+@query(f"WITH {_RAG}, b AS (SELECT *, row_number() OVER (PARTITION BY log_order ORDER BY score DESC, template_id) AS k FROM s) SELECT log_order, (CASE WHEN score >= 0.5 THEN template_id ELSE -1 END)::BIGINT AS template_id, CASE WHEN score >= 0.5 THEN round(score, 9) ELSE 0 END AS score FROM b WHERE k = 1")
+def rag_best(spark, sf_dir):
+    return lookup.most_similar(_lines(spark, sf_dir), templates(spark)).select("log_order", F.coalesce("template_id", F.lit(-1)).alias("template_id"), F.coalesce(F.round("score", 9), F.lit(0.0)).alias("score"))
+
+
+@query(f"WITH {_RAG} SELECT log_order, row_number() OVER (PARTITION BY log_order ORDER BY score DESC, template_id)::BIGINT AS rank, template_id::BIGINT AS template_id, round(score, 9) AS score FROM s QUALIFY rank <= 3")
+def rag_top_k(spark, sf_dir):
+    return lookup.top_k(_lines(spark, sf_dir), templates(spark), 3).select("log_order", F.col("rank").cast("long").alias("rank"), "template_id", F.round("score", 9).alias("score"))
+
+
+# --- evaluation ----------------------------------------------------------------------------------------------------------------
+_SHAPE = "CASE event_id % 6 WHEN 4 THEN 'E2' ELSE concat('E', cast(event_id % 6 AS string)) END"
+_PARSED = "concat('P', cast(event_id % 6 AS string), CASE WHEN event_id % 6 = 0 THEN event_type ELSE '' END)"
+_PTEXT = "CASE event_id % 6 WHEN 1 THEN 'Connection from <IP> port <NUM> closed by <*>' WHEN 2 THEN concat('Failed to open <*> code ', cast(event_id % 17 AS string), ' retry true') ELSE 'User <*> login now' END"
+_GTEXT = "CASE event_id % 6 WHEN 1 THEN 'Connection from <*> port <*> closed by <*>' WHEN 2 THEN 'Failed to open <*> code <*> retry true' ELSE 'User <*> login now' END"
+
+
+def _sides(spark, sf_dir):
+    rows = logs(spark, sf_dir)
+    side = lambda event, text: rows.select(F.col("event_id").cast("string").alias("log_id"), F.expr(text).alias("template"), F.expr(event).alias("event_id"), F.col("log_order").alias("at"))
+    return side(_PARSED, _PTEXT), side(_SHAPE, _GTEXT).where("at % 50 <> 7")
+
+
+_SIDES = f"p AS (SELECT event_id AS id, {_PARSED} AS e, {_PTEXT} AS t FROM events), g AS (SELECT event_id AS id, {_SHAPE} AS e, {_GTEXT} AS t FROM events WHERE event_id % 50 <> 7), j AS (SELECT p.e AS pe, g.e AS ge, p.t AS pt, g.t AS gt FROM p LEFT JOIN g USING (id)), ps AS (SELECT pe, count(*) AS n, count(DISTINCT ge) AS kinds, max(ge) AS ge FROM j GROUP BY pe), gs AS (SELECT e AS ge, count(*) AS n FROM g GROUP BY e), cell AS (SELECT pe, ge, count(*) AS n FROM j WHERE ge IS NOT NULL GROUP BY ALL)"
+
+
+@query(f"WITH {_SIDES} SELECT round(sum(CASE WHEN kinds = 1 AND ps.n = gs.n THEN ps.n ELSE 0 END) / sum(ps.n), 9) AS ga FROM ps LEFT JOIN gs USING (ge)")
+def ga(spark, sf_dir):
+    return evaluate.grouping_accuracy(evaluate.contingency(*_sides(spark, sf_dir))).select(F.round("ga", 9).alias("ga"))
+
+
+@query(f"WITH {_SIDES}, x AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM cell) AS b, (SELECT sum(n * (n - 1) / 2) FROM ps) AS p, (SELECT sum(n * (n - 1) / 2) FROM gs) AS g) SELECT round(2 * (b / p) * (b / g) / (b / p + b / g), 9) AS fga FROM x")
+def fga_pairs(spark, sf_dir):
+    return evaluate.pair_f1(evaluate.contingency(*_sides(spark, sf_dir))).select(F.round("fga", 9).alias("fga"))
+
+
+@query(f"WITH {_SIDES} SELECT round(avg(coalesce(pt = gt, false)::INT), 9) AS pa FROM j")
+def pa(spark, sf_dir):
+    return evaluate.parsing_accuracy(*_sides(spark, sf_dir)).select(F.round("pa", 9).alias("pa"))
+
+
+@query(f"WITH {_SIDES} SELECT round(avg(levenshtein(pt, gt) / greatest(length(pt), length(gt))), 9) AS ned FROM j WHERE gt IS NOT NULL")
+def ned(spark, sf_dir):
+    return evaluate.edit_distance(*_sides(spark, sf_dir)).select(F.round("ned", 9).alias("ned"))
+
+
+_FULL = f"p AS (SELECT {_PARSED} AS pe, {_SHAPE} AS ge FROM events), cell AS (SELECT pe, ge, count(*) AS n FROM p GROUP BY ALL), gg AS (SELECT ge, max(n) AS best, sum(n) AS size FROM cell GROUP BY ge), pp AS (SELECT pe, max(n) / sum(n) AS share FROM cell GROUP BY pe)"
+
+
+@query(f"WITH {_FULL}, x AS (SELECT sum(best) / sum(size) AS ga, avg(best / size) AS p, (SELECT avg(share) FROM pp) AS r FROM gg) SELECT round(ga, 9) AS ga, round(2 * p * r / (p + r), 9) AS fga FROM x")
+def ga_best_overlap(spark, sf_dir):
+    cells = logs(spark, sf_dir).groupBy(F.expr(_PARSED).alias("p"), F.expr(_SHAPE).alias("g")).agg(F.count("*").alias("n"))
+    return evaluate.best_overlap(cells).select(F.round("ga", 9).alias("ga"), F.round("fga", 9).alias("fga"))
+
+
+_M = "(z[1] LIKE '<_%>' AND z[2] LIKE '<_%>')"
+
+
+@query(f"WITH {_SIDES}, gf AS (SELECT e, string_split(arg_min(t, id), ' ') AS w FROM g GROUP BY e), pf AS (SELECT e, string_split(arg_min(t, id), ' ') AS w FROM p GROUP BY e), o AS (SELECT gf.e, len(gf.w) AS size, max(list_sum(list_transform(list_zip(gf.w, pf.w), lambda z: (z[1] = z[2] OR {_M})::INT))) AS best FROM gf JOIN pf ON len(gf.w) = len(pf.w) GROUP BY ALL) SELECT round(sum(best) / sum(size), 9) AS pta, round(sum(best) / sum(size), 9) AS rta, round(sum(best) / sum(size), 9) AS fta, round(avg(best / size), 9) AS fta_macro FROM o WHERE best > 0")
+def pta_rta_fta(spark, sf_dir):
+    one = evaluate.template_accuracy(*_sides(spark, sf_dir))
+    return one.select(*[F.round(c, 9).alias(c) for c in ("pta", "rta", "fta", "fta_macro")])
+
+
+@query()
+def evaluate_all(spark, sf_dir):
+    return evaluate.evaluate(*_sides(spark, sf_dir))
+
+
+@query(f"WITH r AS (SELECT event_type AS dataset, (count(*) % 100) / 100.0 AS ga, (sum(user_id) % 100) / 100.0 AS pta, count(*) AS lines, 2.0 AS seconds FROM events GROUP BY 1) SELECT count(*)::BIGINT AS datasets, round(avg(ga), 9) AS ga, round(avg(pta), 9) AS pta, sum((ga >= 0.5)::INT)::BIGINT AS ga_passed, sum((pta >= 0.4)::INT)::BIGINT AS pta_passed, round(sum(lines) / sum(seconds), 6) AS lines_per_second FROM r")
+def benchmark_summary(spark, sf_dir):
+    r = logs(spark, sf_dir).groupBy(F.col("event_type").alias("dataset")).agg((F.count("*") % 100 / 100.0).alias("ga"), (F.sum("user_id") % 100 / 100.0).alias("pta"), F.count("*").alias("lines"), F.lit(2.0).alias("seconds"))
+    targets = r.select("dataset", F.lit(0.5).alias("ga_target"), F.lit(0.4).alias("pta_target"))
+    s = evaluate.summary(r, targets)
+    return s.select("datasets", F.round("ga", 9).alias("ga"), F.round("pta", 9).alias("pta"), "ga_passed", "pta_passed", F.round("lines_per_second", 6).alias("lines_per_second"))
+
+
+# --- granularity, learning, tuning ---------------------------------------------------------------------------------------------
+@query(f"WITH {sql_logs()}, s AS (SELECT len(list_filter(string_split({_STARRED}, ' '), lambda x: x = '<*>')) / len(list_filter(regexp_split_to_array({_STARRED}, '\\s+'), lambda x: x <> '')) AS r FROM logs) SELECT CASE WHEN count(*) < 32 THEN NULL WHEN sum((r > 0.5)::INT) > 2 * sum((r < 0.2)::INT) THEN 'fine' WHEN sum((r < 0.2)::INT) > 2 * sum((r > 0.5)::INT) THEN 'coarse' ELSE 'balanced' END AS preference, count(*)::BIGINT AS samples FROM s")
+def calibrate_preference(spark, sf_dir):
+    return tuning.preference(logs(spark, sf_dir).select(_star(F.col("content")).alias("template")))
+
+
+@query("WITH RECURSIVE c AS (SELECT event_id AS at, row_number() OVER (ORDER BY event_id) AS k, event_type IN ('click', 'view') AS over FROM events WHERE event_id < 60), s(k, sim, depth) AS (SELECT 0::BIGINT, 0.4::DOUBLE, 4 UNION ALL SELECT c.k, CASE WHEN c.over THEN greatest(0.2, s.sim - 0.05) ELSE least(0.8, s.sim + 0.05) END, CASE WHEN c.over THEN least(8, s.depth + 1) ELSE greatest(3, s.depth - 1) END FROM s JOIN c ON c.k = s.k + 1) SELECT round(sim, 2) AS sim_th, depth::BIGINT AS depth, s.k::BIGINT AS corrections, (SELECT sum(over::INT) FROM c)::BIGINT AS over, (SELECT sum((NOT over)::INT) FROM c)::BIGINT AS under FROM s ORDER BY s.k DESC LIMIT 1")
+def learner_steps(spark, sf_dir):
+    rows = logs(spark, sf_dir).where("event_id < 60").select(F.col("event_id").alias("at"), F.lit("a <*> <*>").alias("expected"), F.when(F.col("event_type").isin("click", "view"), "a <*> b").otherwise("<*> <*> <*>").alias("actual"))
+    return tuning.learn(rows).drop("insight")
+
+
+@query()
+def granularity_distance(spark, sf_dir):
+    rows = templates(spark)
+    pairs = rows.select(F.col("template_id").alias("i"), F.col("tokens").alias("a")).join(rows.select(F.col("template_id").alias("j"), F.col("tokens").alias("b")), F.col("i") < F.col("j"))
+    return pairs.select("i", "j", F.round(tuning.granularity_distance(F.col("a"), F.col("b")), 9).alias("distance"))
+
+
+@query("SELECT i::BIGINT AS i, round(0.2 + 0.6 * i / 3, 9) AS sim_th, round(0.7 * (i / 4.0) + 0.3 * (1 - i / 4.0), 9) AS score FROM range(4) t(i)")
+def score_grid(spark, sf_dir):
+    rows = [(i, s, tuning.score(1 - i / 4, i / 4)) for i, s in enumerate(tuning.linspace(0.2, 0.8, 4))]
+    return spark.createDataFrame(rows, "i long, sim_th double, score double").select("i", F.round("sim_th", 9).alias("sim_th"), F.round("score", 9).alias("score"))
+
+
+@query()
+def autotune_small(spark, sf_dir):
+    rows = logs(spark, sf_dir)
+    truth = rows.select(F.col("event_id").cast("string").alias("log_id"), F.expr(_GTEXT).alias("template"), F.expr(_SHAPE).alias("event_id"), F.col("log_order").alias("at"))
+    found = tuning.tune(rows.select("log_order", "content"), truth, budget=3)
+    return spark.createDataFrame([(i, h["ga"], h["pta"], h["score"]) for i, h in enumerate(found["history"])], "trial long, ga double, pta double, score double")
+
+
+@query("SELECT 'LOG_PARSER_SIM_TH=0.4' || chr(10) || 'LOG_PARSER_DEPTH=4' || chr(10) || 'LOG_PARSER_EXTENDED_MASKING=true' || chr(10) || 'LOG_PARSER_ENGINE=Drain' AS env")
+def env_export(spark, sf_dir):
+    return spark.createDataFrame([(to_env({"sim_th": 0.4, "depth": 4, "masks": "extended", "engine": "drain"}),)], "env string")
+
+
+# --- control plane --------------------------------------------------------------------------------------------------------------
+_COMPLEX = f"{sql_logs()}, l AS (SELECT user_id % 200 AS batch, content, regexp_split_to_array(content, '\\s+') AS w FROM logs), a AS (SELECT batch, avg(length(content)) AS len, count(*) AS n FROM l GROUP BY batch), b AS (SELECT batch, count(DISTINCT t) / count(*) AS v FROM (SELECT batch, unnest(w) AS t FROM l) GROUP BY batch), c AS (SELECT batch, least(1, greatest(0, v * 0.4 + least(len / 200, 1) * 0.3 + least(n / 10, 1) * 0.3)) AS complexity FROM a JOIN b USING (batch))"
+
+
+def _batches(spark, sf_dir):
+    return control.complexity(logs(spark, sf_dir).select((F.col("user_id") % 200).alias("batch"), "content"))
+
+
+@query(f"WITH {_COMPLEX} SELECT batch, round(complexity, 9) AS complexity FROM c")
+def complexity_score(spark, sf_dir):
+    return _batches(spark, sf_dir).select("batch", F.round("complexity", 9).alias("complexity"))
+
+
+@query(f"WITH {_COMPLEX} SELECT batch, CASE WHEN complexity >= 0.7 THEN 'remote' ELSE 'local' END AS model FROM c")
+def route_model(spark, sf_dir):
+    return _batches(spark, sf_dir).select("batch", control.routed(F.col("complexity")).alias("model"))
+
+
+@query(f"WITH {sql_logs()}, f AS (SELECT event_type, content, row_number() OVER (PARTITION BY event_type ORDER BY log_order) AS k FROM logs QUALIFY k <= 3) SELECT event_type, string_agg('[' || k || '] ' || content, chr(10) ORDER BY k) || '{prompts.ASK.replace(chr(10), chr(39) + ' || chr(10) || ' + chr(39))}' AS prompt FROM f GROUP BY 1")
+def prompt_build(spark, sf_dir):
+    first = vectors.first_sample(logs(spark, sf_dir), "event_type", "log_order", 3)
+    samples = first.groupBy("event_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("pick", "content"))), lambda x: x["content"]).alias("s"))
+    return samples.select("event_type", prompts.prompt(F.col("s")).alias("prompt"))
+
+
+_REPLY = "CASE WHEN event_id % 2 = 0 THEN concat('Sure: <TEMPLATE> ', {0}, ' </TEMPLATE> <TEMPLATE>x</TEMPLATE>') ELSE concat(' ', {0}) END".format(LINE)
+scalar("template_tag_extract", prompts.tagged_template, "trim(CASE WHEN regexp_matches(content, '<TEMPLATE>.*?</TEMPLATE>', 's') THEN regexp_extract(content, '<TEMPLATE>(.*?)</TEMPLATE>', 1, 's') ELSE content END)", _REPLY)
+_JSON_REPLY = "concat(CASE WHEN event_id % 2 = 0 THEN '```json [' ELSE '[' END, '{\"cluster\":1,\"template\":\"<TEMPLATE>t ', event_type, '</TEMPLATE>\",\"confidence\":0.5},{\"cluster\":2,\"template\":\"u\"}', CASE WHEN event_id % 2 = 0 THEN ']```' ELSE ']' END)"
+
+
+@query("SELECT event_id AS log_order, i::BIGINT AS cluster, CASE WHEN i = 1 THEN 't ' || event_type ELSE 'u' END AS template, 0.5::DOUBLE AS confidence FROM events, range(1, 3) r(i)")
+def batch_reply(spark, sf_dir):
+    rows = logs(spark, sf_dir, _JSON_REPLY).select("log_order", F.explode(prompts.batch_reply(F.col("content"))).alias("r"))
+    return rows.select("log_order", F.col("r.cluster").cast("long").alias("cluster"), "r.template", "r.confidence")
+
+
+@query(f"WITH {sql_logs()} SELECT concat('m', cast(user_id % 3 AS string)) AS model, count(*)::BIGINT AS calls, sum(event_id % 100)::BIGINT AS tokens FROM logs GROUP BY 1")
+def model_stats(spark, sf_dir):
+    return control.model_stats(logs(spark, sf_dir).select(F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string")).alias("model"), (F.col("event_id") % 100).alias("tokens")))
+
+
+@query()
+def miss_batches(spark, sf_dir):
+    return mining.batches(logs(spark, sf_dir).select("log_order", (F.col("event_id") * 120).alias("ts")))
+
+
+@query()
+def control_batch(spark, sf_dir):
+    misses = logs(spark, sf_dir).select("log_order", "content", T.tokens(F.col("content")).alias("tokens"))
+    found = control.control_batch(misses, control.PatternProvider())
+    rows = [(i, x["template"], x["confidence"], len(x["lines"])) for i, x in enumerate(found)]
+    return spark.createDataFrame(rows, "n long, template string, confidence double, lines long")
+
+
+@query("SELECT name FROM (VALUES " + ", ".join(f"('{x}')" for x in readers.DATASETS) + ") v(name)")
+def dataset_names(spark, sf_dir):
+    return readers.datasets(spark)
+
+
+_CSV = "CASE WHEN event_id % 20 = 3 THEN 'only' ELSE concat(cast(event_id AS string), ',', content, ',template <*> ', event_type, ',E', cast(event_id % 6 AS string)) END".replace("content", LINE)
+
+
+@query("WITH l AS (SELECT event_id AS log_order, " + LINE + " AS content, event_type FROM events WHERE event_id % 20 <> 3) SELECT log_order, log_order::VARCHAR AS log_id, trim(content) AS content, 'template <*> ' || event_type AS template, 'E' || (log_order % 6) AS event_id FROM l")
+def labelled_csv(spark, sf_dir):
+    rows = logs(spark, sf_dir, _CSV).select("log_order", readers.labelled_line(F.col("content")).alias("r")).where(F.col("r").isNotNull())
+    return rows.select("log_order", "r.*")

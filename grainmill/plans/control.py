@@ -1,0 +1,126 @@
+"""The optional language-model step for lines that the miner has not seen before: route, ask, verify, register.
+
+A provider is any object with extract(samples) -> {"template", "variables", "confidence", "usage", "model"}. A batch is
+bounded (50 lines by default), so its orchestration runs on the driver; what surrounds it are DataFrames.
+"""
+
+from __future__ import annotations
+
+import re
+from typing import Protocol
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from grainmill.config import ControlConfig
+from grainmill.operators import vectors
+
+#: Patterns of the tags in a model's templates.
+TAGS = {
+    "IP": r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}", "NUM": r"-?\d+\.?\d*", "UUID": r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", "EMAIL": r"[\w.-]+@[\w.-]+\.\w+",
+    "TIMESTAMP": r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}", "HOSTNAME": r"[\w.-]+\.[a-z]{2,}", "PATH": r"[/\\][\w./-]*", "*": r"\S+",
+}
+
+
+class Provider(Protocol):
+    name: str
+
+    def extract(self, samples: list[str]) -> dict: ...
+
+
+def complexity(samples: DataFrame) -> DataFrame:
+    """complexity of each batch of samples (batch, content): 0.4 distinct share of the tokens, 0.3 mean length / 200, 0.3 samples / 10."""
+    words = samples.select("batch", F.explode(F.split("content", r"(?U)\s+")).alias("w")).groupBy("batch").agg((F.count_distinct("w") / F.count("*")).alias("variety"))
+    size = samples.groupBy("batch").agg(F.avg(F.length("content")).alias("length"), F.count("*").alias("n"))
+    value = F.col("variety") * 0.4 + F.least(F.col("length") / 200, F.lit(1.0)) * 0.3 + F.least(F.col("n") / 10, F.lit(1.0)) * 0.3
+    return words.join(size, "batch").select("batch", F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)).alias("complexity"))
+
+
+def routed(value: Column, remote: bool = True) -> Column:
+    """local or remote by complexity; without a remote provider always local."""
+    return F.when(F.lit(remote) & (value >= 0.7), "remote").otherwise("local")
+
+
+def pattern_of(template: str) -> re.Pattern:
+    """A template as an anchored expression; a '<' that begins no known tag is literal."""
+    parts = re.split(r"(<(?:" + "|".join(map(re.escape, TAGS)) + r")>)", template)
+    return re.compile("".join(TAGS[p[1:-1]] if i % 2 else re.escape(p) for i, p in enumerate(parts)) + r"\Z")
+
+
+def unmatched(template: str, lines: list[str]) -> list[str]:
+    pattern = pattern_of(template)
+    return [x for x in lines if not pattern.match(x)]
+
+
+def reflect(provider: Provider, samples: list[str], rounds: int = 3) -> dict:
+    """Ask, verify and ask again about what does not fit, up to `rounds` times; then a last time about the rest."""
+    rest = list(samples)
+    for _ in range(rounds):
+        reply = provider.extract(rest)
+        bad = unmatched(reply["template"], rest)
+        if not bad:
+            return reply
+        rest = bad
+    return provider.extract(rest)
+
+
+def control_batch(misses: DataFrame, local: Provider, remote: Provider | None = None, config: ControlConfig | None = None) -> list[dict]:
+    """New templates for one batch of misses (log_order, content, tokens): grouped by TF-IDF and density, sampled, asked.
+
+    Returns a record for each group: template, tokens, confidence, model, usage, lines (orders). A batch has at most
+    `max_batch` lines, so it is handled on the driver.
+    """
+    config = config or ControlConfig()
+    rows = misses.orderBy("log_order").limit(config.max_batch).select("log_order", "content", "tokens").collect()
+    if not config.enabled or not rows:
+        return []
+    spark = misses.sparkSession
+    batch = spark.createDataFrame([(r["log_order"], r["tokens"]) for r in rows], "doc_id long, tokens array<string>")
+    weights = vectors.tf_idf(batch)
+    terms = sorted(r["term"] for r in weights.select("term").distinct().collect())
+    place = {t: i for i, t in enumerate(terms)}
+    dense = {r["log_order"]: [0.0] * max(1, len(terms)) for r in rows}
+    for r in weights.collect():
+        dense[r["doc_id"]][place[r["term"]]] = r["weight"]
+    points = spark.createDataFrame([(0, k, v) for k, v in dense.items()], "batch int, id long, vector array<double>")
+    label = {r["id"]: r["label"] for r in vectors.dbscan(points, config.eps, config.min_points).collect()}
+    groups: dict[int, list] = {}
+    for r in rows:
+        if label[r["log_order"]] >= 0:
+            groups.setdefault(label[r["log_order"]], []).append(r)
+    out = []
+    for group in groups.values():
+        lines = [r["content"] for r in group]
+        if config.sampling == "dpp" and len(group) > config.samples:
+            import numpy as np
+
+            lines = [lines[i] for i in vectors.dpp_order(np.array([dense[r["log_order"]] for r in group]), config.samples)]
+        else:
+            lines = lines[: config.samples]
+        words = [w for x in lines for w in re.split(r"\s+", x)]
+        value = 0.4 * len(set(words)) / len(words) + 0.3 * min(sum(map(len, lines)) / len(lines) / 200, 1) + 0.3 * min(len(lines) / 10, 1)
+        provider = remote if remote is not None and value >= 0.7 else local
+        reply = reflect(provider, lines, config.max_iterations)
+        out.append({"template": reply["template"], "tokens": reply["template"].split(), "confidence": float(reply.get("confidence", 0.5)), "model": reply.get("model", provider.name), "usage": reply.get("usage", {}), "lines": [r["log_order"] for r in group]})
+    return out
+
+
+def model_stats(calls: DataFrame) -> DataFrame:
+    """calls and tokens by model of the calls' records (model, tokens)."""
+    return calls.groupBy("model").agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"))
+
+
+class PatternProvider:
+    """A provider without a model: it masks the samples and stars what differs between them."""
+
+    name = "patterns"
+
+    def extract(self, samples: list[str]) -> dict:
+        if not samples:
+            return {"template": "", "variables": [], "confidence": 0.0, "usage": {}, "model": self.name}
+        rows = [x.split() for x in samples]
+        if len({len(r) for r in rows}) > 1:
+            rows = rows[:1]
+        stars = [column[0] if len(set(column)) == 1 else "<*>" for column in zip(*rows, strict=True)]
+        variables = [{"position": i, "value": rows[0][i], "category": "GENERIC"} for i, s in enumerate(stars) if s == "<*>"]
+        return {"template": " ".join(stars), "variables": variables, "confidence": 0.5, "usage": {"promptTokens": sum(map(len, samples)) // 4, "completionTokens": len(stars)}, "model": self.name}
