@@ -2,18 +2,22 @@
 
 A document is its set of distinct shingles of `shingle` consecutive words (lower-cased A-Z); two documents are linked if
 the intersection of their sets is at least `percent` of the union. Documents with equal sets form a class, represented
-by its first. A class is posted under each of its `coordinates` (coordinate, least hash) pairs. Two classes are a
-candidate if they meet in `matches` coordinates or more:
+by its first. A coordinate's value is the two least hashes of the set under the coordinate's permutation (two, so that
+common shingles alone bring few documents together, however many there are); it is equal in two sets with about the
+square of their similarity as probability. A class is posted under each of its (coordinate, value) pairs. Two classes
+are a candidate if they meet in `matches` of the `coordinates` or more:
 
 - prefix: pairs that only one class has are dropped. A class's remaining pairs are ordered from the rarest to the most
   common over the corpus; two classes with `matches` pairs in common must meet in the first size - matches + 1 of each,
   so only these are joined, and a class with fewer pairs than `matches` left is done.
 - skip: a posting list is not expanded into all its pairs. In a round every class of a list meets the list's hubs only;
   confirmed links are merged into components, and members of one component are skipped from then on. When the lists
-  have little left between components, what is left is joined in full, so no link between components is lost.
+  have little left between components, what is left is joined in full, so no link between components is lost; this
+  join's condition counts the collisions and compares sketches of the sets, so it gives out hardly more than links.
 
-Collisions of a candidate are counted on all posted pairs, those with `matches` or more are confirmed on the full shingle
-sets of both whole texts. At 80 percent, 40 coordinates and 20 matches a true pair is missed with probability 1e-5.
+Candidates with `matches` collisions or more are confirmed on the full shingle sets of both whole texts. At 80 percent
+a pair right at the limit is missed with probability 3e-4, one of 84 percent with 5e-6, unless other links join their
+components.
 
 Shingles are compared by 64-bit hashes, sets of a class by two. Nulls: a null, empty or blank text has an empty set and
 is linked with nothing; a null doc_id comes before all others. Rows of one id with different texts are different
@@ -28,10 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import LOWER, Block, Spans, blocks, chain, mix, signed, words
+from .blocks import LOWER, Block, Spans, arrays, blocks, chain, mix, signed, words
 from .common import materialize
 from .components import components
 from .repeats import first_of_owner, most_repeats, packed, unpacked, with_row_ids
@@ -60,8 +64,8 @@ def shingles(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _sign(batches: Iterator[pa.RecordBatch], size: int, coordinates: int) -> Iterator[pa.RecordBatch]:
     random = np.random.default_rng(20_240_601)
-    masks = random.integers(0, 1 << 63, coordinates, dtype=np.uint64)
-    factors = random.integers(0, 1 << 63, coordinates, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    masks = random.integers(0, 1 << 32, coordinates, dtype=np.uint32)
+    factors = random.integers(0, 1 << 32, coordinates, dtype=np.uint32) | np.uint32(1)
     for batch in batches:
         for block in blocks(batch.column("text")):
             h, first = shingles(block, size)
@@ -71,14 +75,30 @@ def _sign(batches: Iterator[pa.RecordBatch], size: int, coordinates: int) -> Ite
             signature = np.zeros((len(some), coordinates), np.int64)
             s1, s2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
             if len(some):
+                short = (h >> np.uint64(32)).astype(np.uint32)
+                sizes = n[some]
                 for k in range(coordinates):
-                    signature[:, k] = (np.minimum.reduceat((h ^ masks[k]) * factors[k], at) >> np.uint64(32)).astype(np.int64) | k << 32
-                s1[some], s2[some] = np.add.reduceat(mix(h), at), np.add.reduceat(mix(h ^ masks[0]), at)
-            sizes = np.zeros(len(n), np.int64)
-            sizes[some] = coordinates
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(signature.ravel()))
+                    v = (short ^ masks[k]) * factors[k]
+                    least = np.minimum.reduceat(v, at)
+                    v[v == np.repeat(least, sizes)] = np.iinfo(np.uint32).max
+                    both = least.astype(np.uint64) << np.uint64(32) | np.minimum.reduceat(v, at)
+                    signature[:, k] = signed(mix(both + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15 >> 8)))
+                s1[some], s2[some] = np.add.reduceat(mix(h), at), np.add.reduceat(mix(h ^ np.uint64(0x9E3779B97F4A7C15)), at)
+            full = np.concatenate(([0], np.cumsum(n > 0)))
             rows = batch.slice(block.lo, block.hi - block.lo)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("__doc"), pa.array(n), pa.array(signed(s1)), pa.array(signed(s2)), lists], ["doc_id", "__doc", "n", "s1", "s2", "signature"])
+            columns = [rows.column("doc_id"), rows.column("__doc"), pa.array(n), pa.array(signed(s1)), pa.array(signed(s2))]
+            columns.append(arrays(signature.ravel(), full * coordinates, pa.int64()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "__doc", "n", "s1", "s2", "signature"])
+
+
+def _sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(rep, sketch): the SKETCH least 32-bit hashes of a class's shingles, all of them if there are no more."""
+    for batch in batches:
+        for block in unpacked(batch):
+            h, first = shingles(block, size)
+            parts = [np.unique(h[a:b].astype(np.uint32).view(np.int32))[:SKETCH] for a, b in zip(first[:-1], first[1:], strict=True)]
+            lists = arrays(np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts]))), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("rep").slice(block.lo, block.hi - block.lo), lists], ["rep", "sketch"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -111,6 +131,10 @@ def _confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iter
                 held.popitem(last=False)
 
 
+#: Most hashes in a sketch.
+SKETCH = 512
+
+
 class _Search:
     """The rounds over the posting lists of the classes that can have a partner."""
 
@@ -120,13 +144,15 @@ class _Search:
         counts = posted.groupBy("pair").agg(F.count("*").alias("f")).where("f > 1")
         shared = posted.join(counts, "pair").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("f", "pair"))).alias("pairs")).where(F.size("pairs") >= matches)
         shared = shared.join(classes.select("rep", "n"), "rep")
-        shared = shared.select("rep", "n", F.col("pairs.pair").alias("pairs"), F.slice("pairs.pair", F.lit(1), F.size("pairs") - matches + 1).alias("prefix"))
-        self.live = materialize(shared, "live")
-        self.lists = self.live.select("rep", "n", F.explode("prefix").alias("pair"))
+        self.live = materialize(shared.select("rep", "n", F.col("pairs.pair").alias("pairs")), "live")
+        self.lists = self.live.select("rep", "n", F.explode(self.prefix("pairs")).alias("pair"))
         self.texts = materialize(texts.join(self.live.select(F.col("rep").alias("__doc")), "__doc", "left_semi").select(F.col("__doc").alias("rep"), "size", "z").dropDuplicates(["rep"]), "texts")
         self.links: DataFrame | None = None
         self.tried: DataFrame | None = None
 
+    def prefix(self, pairs: str) -> Column:
+        return F.slice(pairs, F.lit(1), F.size(pairs) - self.matches + 1)
+
     def labelled(self, found: DataFrame | None) -> DataFrame:
         """The posting lists with each class's component, lists within one component left out."""
         if found is None:
@@ -150,10 +176,29 @@ class _Search:
         return best.select(F.least("rep", "hub").alias("u"), F.greatest("rep", "hub").alias("v")).distinct()
 
     def all_pairs(self, lists: DataFrame) -> DataFrame:
-        """Every two classes of one list that lie in different components and whose sizes allow a link."""
-        other = lists.select("pair", F.col("rep").alias("v"), F.col("n").alias("m"), F.col("component").alias("component_v"))
-        met = lists.withColumnRenamed("rep", "u").join(other, "pair").where("u < v and component <> component_v")
-        return met.where(100 * F.least("n", "m") >= self.percent * F.greatest("n", "m")).select("u", "v").distinct()
+        """Every two classes of one list that lie in different components and can be linked by their sizes and collisions, each once: from the first list that both share."""
+        size = self.size
+        sketches = self.texts.join(lists.select("rep").distinct(), "rep", "left_semi").mapInArrow(lambda it: _sketch(it, size), "rep long, sketch array<int>")
+        whole = lists.join(self.live.select("rep", F.transform("pairs", lambda x: F.hash(x)).alias("p")), "rep").join(sketches, "rep").withColumn("h", F.hash("pair"))
+        side = lambda x: whole.select("pair", "h", F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}"), F.col("p").alias(f"p_{x}"), F.col("sketch").alias(f"s_{x}"))
+        u, v = side("u"), side("v")
+        near = (F.col("u") < F.col("v")) & (F.col("c_u") != F.col("c_v")) & (100 * F.least("n_u", "n_v") >= self.percent * F.greatest("n_u", "n_v"))
+        first = F.get(F.array_intersect(self.prefix("p_u"), self.prefix("p_v")), F.lit(0)) == u["h"]
+        return u.join(v, (u["pair"] == v["pair"]) & near & first & self.meet() & self.alike()).select("u", "v")
+
+    def meet(self) -> Column:
+        """Whether the sides u and v meet in enough of the posted coordinates."""
+        return F.size(F.array_intersect("p_u", "p_v")) >= self.matches
+
+    def alike(self) -> Column:
+        """Whether the sketches of u and v allow a link: the sets themselves (less one for hashes that fall together) if they
+        are no larger than a sketch, else the least hashes of their union, 3.5 deviations below the limit."""
+        common = F.array_intersect("s_u", "s_v")
+        both, sizes = F.size(common), F.size("s_u") + F.size("s_v")
+        whole = 100 * (both + 1) >= self.percent * (sizes - both - 1)
+        share = F.size(F.array_intersect(F.slice(F.array_sort(F.array_union("s_u", "s_v")), 1, SKETCH), common)) / F.lit(float(SKETCH))
+        limit = self.percent / 100
+        return F.when((F.size("s_u") < SKETCH) & (F.size("s_v") < SKETCH), whole).otherwise(share >= limit - 3.5 * (limit * (1 - limit) / SKETCH) ** 0.5)
 
     def left_over(self, lists: DataFrame) -> tuple[int, int]:
         """Pairs between components that the lists still hold, and the lists' rows."""
@@ -161,27 +206,28 @@ class _Search:
         pairs, rows = each.agg(F.sum((F.col("s").cast("double") * F.col("s") - F.col("q")) / 2), F.sum("s")).first()
         return int(pairs or 0), int(rows or 0)
 
-    def confirm(self, pairs: DataFrame) -> None:
-        """Count the collisions of new pairs, check those above the threshold on the texts and keep the links."""
+    def confirm(self, pairs: DataFrame) -> float:
+        """Count the collisions of new pairs, check those above the threshold on the texts and keep the links; the share of the pairs that are links."""
         if self.tried is not None:
             pairs = pairs.join(self.tried, ["u", "v"], "left_anti")
         pairs = materialize(pairs, "pairs")
         self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
         side = lambda x: self.live.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("pairs").alias(f"p_{x}"))
         good = pairs.join(side("u"), "u").join(side("v"), "v")
-        good = good.where(100 * F.least("n_u", "n_v") >= self.percent * F.greatest("n_u", "n_v")).where(F.size(F.array_intersect("p_u", "p_v")) >= self.matches).select("u", "v")
+        good = good.where(100 * F.least("n_u", "n_v") >= self.percent * F.greatest("n_u", "n_v")).where(self.meet()).select("u", "v")
         text = lambda x: self.texts.select(F.col("rep").alias(x), F.col("size").alias(f"size_{x}"), F.col("z").alias(f"z{x}"))
         size, percent = self.size, self.percent
         found = good.join(text("u"), "u").join(text("v"), "v").mapInArrow(lambda it: _confirm(it, size, percent), "u long, v long")
         found = materialize(found, "found")
         self.links = found if self.links is None else self.links.unionByName(found)
+        return found.count() / max(1, pairs.count())
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, coordinates: int = 40, matches: int = 20, rounds: int = 5, slack: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, coordinates: int = 64, matches: int = 28, rounds: int = 2, slack: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, and __doc and __component, the row ids behind them (for joins).
 
     rounds: most hub rounds; they end as soon as the lists hold fewer than `slack` pairs between components for each of
-    their rows. Then all that are left are joined.
+    their rows, or when a round confirms few of its pairs. Then all that are left are joined.
     """
     docs = with_row_ids(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -196,9 +242,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, coordi
         left, rows = search.left_over(lists)
         if not left or (turn and left <= slack * rows):
             break
-        search.confirm(search.hub_pairs(lists, turn))
+        gain = search.confirm(search.hub_pairs(lists, turn))
         found = components(search.links)
         lists = search.labelled(found)
+        if gain < 0.02:
+            break
     if search.left_over(lists)[0]:
         search.confirm(search.all_pairs(lists))
         found = components(search.links)

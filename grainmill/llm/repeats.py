@@ -40,12 +40,12 @@ def with_row_ids(docs: DataFrame, whole: bool = False) -> DataFrame:
     most = most_repeats(docs)
     if most <= 1:
         return docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    texts = docs.select("doc_id", F.xxhash64("text").alias("__t")).distinct()
-    numbers = texts.withColumn("__j", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("__t")) - 1)
-    numbers = numbers.select(F.col("doc_id").alias("__i"), "__t", "__j")
-    joined = docs.withColumn("__x", F.xxhash64("text")).join(numbers, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__x") == F.col("__t")))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("__id_hash")).distinct()
+    numbers = texts.withColumn("__id_number", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("__id_hash")) - 1)
+    numbers = numbers.select(F.col("doc_id").alias("__id_same"), "__id_hash", "__id_number")
+    joined = docs.withColumn("__id_text", F.xxhash64("text")).join(numbers, F.col("doc_id").eqNullSafe(F.col("__id_same")) & (F.col("__id_text") == F.col("__id_hash")))
     low = F.lit(NULL_ID // most + 1)
-    return joined.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), low) * most + F.col("__j")).drop("__x", "__i", "__t", "__j")
+    return joined.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), low) * most + F.col("__id_number")).drop("__id_text", "__id_same", "__id_hash", "__id_number")
 
 
 def _slide_min(x: np.ndarray, width: int) -> np.ndarray:
