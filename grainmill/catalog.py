@@ -12,7 +12,7 @@ from grainmill.config import MinerConfig, to_env
 from grainmill.functions import adapters, anonymize, classify, postprocess, similarity
 from grainmill.functions import text as T
 from grainmill.operators import drain, evaluate, lookup, refine, tuning, vectors
-from grainmill.plans import control, prompts
+from grainmill.plans import control, prompts, reports
 from grainmill.sources import readers, state
 from grainmill.streaming import mining
 
@@ -663,3 +663,29 @@ _CSV = "CASE WHEN event_id % 20 = 3 THEN 'only' ELSE concat(cast(event_id AS str
 def labelled_csv(spark, sf_dir):
     rows = logs(spark, sf_dir, _CSV).select("log_order", readers.labelled_line(F.col("content")).alias("r")).where(F.col("r").isNotNull())
     return rows.select("log_order", "r.*")
+
+
+@query(f"WITH {sql_logs()}, t AS (SELECT {_GTEXT} AS template, min(log_order) AS f FROM logs GROUP BY 1) SELECT template, (row_number() OVER (ORDER BY f) - 1)::BIGINT AS id FROM t")
+def dense_ids(spark, sf_dir):
+    return reports.dense_ids(logs(spark, sf_dir).select("log_order", F.expr(_GTEXT).alias("template")))
+
+
+_PRINTED = "CASE WHEN event_id % 5 = 0 THEN concat('# ', event_type) ELSE concat(' ', event_type, ' 0.', cast(event_id % 90 + 10 AS string), ' 0.50 0.', cast(user_id % 90 + 10 AS string), ' 1.0 ok') END"
+
+
+@query("SELECT event_type AS dataset, ('0.' || arg_max(event_id % 90 + 10, event_id))::DOUBLE AS ga, 0.5::DOUBLE AS fga, ('0.' || arg_max(user_id % 90 + 10, event_id))::DOUBLE AS pta, 1.0::DOUBLE AS fta FROM events WHERE event_id % 5 <> 0 GROUP BY 1")
+def benchmark_report(spark, sf_dir):
+    return reports.report(logs(spark, sf_dir, _PRINTED).select("log_order", F.col("content").alias("value")))
+
+
+@query(r"SELECT doc_id, CASE WHEN lang = 'de' THEN len(string_split(text, ' ')) ELSE len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) END::BIGINT AS n FROM documents")
+def tokens_by_language(spark, sf_dir):
+    words = reports.by_language(F.col("text"), F.col("lang"), {"de": lambda c: F.split(c, " "), "default": T.tokens})
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.size(words).cast("long").alias("n"))
+
+
+@query()
+def run_all_datasets(spark, sf_dir):
+    rows = logs(spark, sf_dir).withColumn("dataset", F.concat(F.lit("d"), (F.col("event_id") % 2).cast("string")))
+    truth = rows.select("dataset", F.col("event_id").cast("string").alias("log_id"), F.expr(_GTEXT).alias("template"), F.expr(_SHAPE).alias("event_id"), F.col("log_order").alias("at"))
+    return reports.run_all(rows.select("dataset", "log_order", "content"), truth)

@@ -105,6 +105,31 @@ def control_batch(misses: DataFrame, local: Provider, remote: Provider | None =
     return out
 
 
+class Embedder(Protocol):
+    """embed(texts) -> a unit vector for each text."""
+
+    def embed(self, texts: list[str]) -> list[list[float]]: ...
+
+
+def embed(rows: DataFrame, embedder: Embedder, text: str = "content") -> DataFrame:
+    """rows with a vector of each text; the embedder is sent to the executors and fed whole Arrow batches."""
+    schema = rows.schema.add("vector", "array<double>")
+
+    def run(frames):
+        for frame in frames:
+            yield frame.assign(vector=embedder.embed(frame[text].tolist()))
+
+    return rows.mapInPandas(run, schema)
+
+
+def read_reply(structured: dict | None, text: str) -> dict:
+    """A model's reply: the structured one (confidence 0.7 unless given), else the text's tags (0.5)."""
+    if structured and structured.get("template"):
+        return {"template": structured["template"], "variables": structured.get("variables", []), "confidence": structured.get("confidence", 0.7)}
+    found = re.search(r"<TEMPLATE>(.*?)</TEMPLATE>", text, re.S)
+    return {"template": (found[1] if found else text).strip(), "variables": [], "confidence": 0.5}
+
+
 def model_stats(calls: DataFrame) -> DataFrame:
     """calls and tokens by model of the calls' records (model, tokens)."""
     return calls.groupBy("model").agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.config import PipelineConfig
@@ -19,14 +20,16 @@ from grainmill.sources import readers, state
 class LogPipeline:
     """parse() mines the lines of a DataFrame (log_order, line); templates and counters stay for the calls after it."""
 
-    def __init__(self, spark: SparkSession, config: PipelineConfig | None = None, provider: control.Provider | None = None, remote: control.Provider | None = None):
-        self.spark, self.config, self.provider, self.remote = spark, config or PipelineConfig(), provider, remote
+    def __init__(self, spark: SparkSession, config: PipelineConfig | None = None, provider: control.Provider | None = None, remote: control.Provider | None = None, preprocessor: Callable[[Column], Column] | None = None):
+        self.spark, self.config, self.provider, self.remote, self.preprocessor = spark, config or PipelineConfig(), provider, remote, preprocessor
         self.templates: DataFrame | None = None
         self.counters: dict = {"processed": 0, "misses": 0, "calls": {}}
         self.last: DataFrame | None = None
 
     def logs(self, lines: DataFrame) -> DataFrame:
-        return lines.select("log_order", adapters.content(F.col("line"), self.config.adapter).alias("content"), adapters.metadata(F.col("line")).alias("metadata"))
+        content = adapters.content(F.col("line"), self.config.adapter)
+        content = self.preprocessor(content) if self.preprocessor else content
+        return lines.select("log_order", content.alias("content"), adapters.metadata(F.col("line")).alias("metadata"))
 
     def parse(self, lines: DataFrame, emit: str = "online") -> DataFrame:
         """log_order, template_id, template, tokens, parameters, source, kind, metadata."""

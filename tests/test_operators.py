@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from grainmill.config import MinerConfig, PipelineConfig, from_dict, to_dict, to_env
 from grainmill.operators import drain, evaluate, lookup, refine, tuning, vectors
-from grainmill.plans import control
+from grainmill.plans import control, reports
 from grainmill.plans.pipeline import LogPipeline
 from grainmill.sources import readers, state
 from grainmill.streaming import mining
@@ -226,3 +226,16 @@ def test_streaming_is_sequential_mining(spark, tmp_path):
     query.awaitTermination(120)
     got = sorted((r.log_order, r.cluster, r.template, r.kind) for r in spark.table("mined").collect())
     assert got == sequential(lines, config)
+
+
+def test_observed_and_embedded(spark):
+    rows, seen = reports.observed(drain.train(logs(spark, ["User a in 1.2.3.4", "User b in 1.2.3.4"])))
+    assert rows.count() == 2 and seen.get == {"lines": 2, "misses": 1, "parameters": 3}
+
+    class Lengths:
+        def embed(self, texts):
+            return [[float(len(t))] for t in texts]
+
+    assert sorted(r.vector[0] for r in control.embed(logs(spark, ["a", "bbb"]), Lengths()).collect()) == [1.0, 3.0]
+    assert control.read_reply(None, "x <TEMPLATE> a <*> </TEMPLATE>") == {"template": "a <*>", "variables": [], "confidence": 0.5}
+    assert control.read_reply({"template": "t"}, "")["confidence"] == 0.7
