@@ -11,6 +11,7 @@ from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from grainmill.config import ControlConfig
 from grainmill.operators import vectors
@@ -113,7 +114,7 @@ class Embedder(Protocol):
 
 def embed(rows: DataFrame, embedder: Embedder, text: str = "content") -> DataFrame:
     """rows with a vector of each text; the embedder is sent to the executors and fed whole Arrow batches."""
-    schema = rows.schema.add("vector", "array<double>")
+    schema = StructType([*rows.schema.fields, StructField("vector", ArrayType(DoubleType()))])
 
     def run(frames):
         for frame in frames:
