@@ -209,9 +209,9 @@ scalar("pp_dv", lambda c: postprocess.delimited(_star(c)), subs(_STARRED, _DV))
 scalar("pp_cv", lambda c: postprocess.consecutive(F.regexp_replace(c, F.lit(r"[0-9a-z]+"), F.lit("<*>"))), subs(subs("content", [(r"[0-9a-z]+", "<*>")]), _CV))
 
 
-@query(f"WITH {sql_logs()} SELECT log_order, {sub('content', r'\b[\w.-]+\.[a-z]{2,}\b', '<HOSTNAME>')} AS value FROM logs WHERE event_id % 6 = 1")
+@query(r"SELECT page_id, regexp_replace(url, '(^|[^\w.-])[a-zA-Z_][\w.-]*\.[a-z]{2,}\b', '\1<HOSTNAME>', 'gi') AS value FROM pages")
 def pp_type_hostnames(spark, sf_dir):
-    return logs(spark, sf_dir).where("event_id % 6 = 1").select("log_order", postprocess.type_hostnames(F.col("content")).alias("value"))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", postprocess.type_hostnames(F.col("url")).alias("value"))
 
 
 @query()
@@ -223,10 +223,10 @@ def pp_correct(spark, sf_dir):
 _IP_RE = postprocess.TAG_PATTERNS["IP"]
 
 
-@query(f"WITH {sql_logs()} SELECT event_type, bool_and(regexp_matches(content, '^Connection from {_IP_RE} port \\S+ closed by \\S+$')) AS consistent, count(*)::BIGINT AS n FROM logs WHERE event_id % 6 = 1 OR event_type = 'click' GROUP BY ALL")
+@query(f"WITH {sql_logs()} SELECT event_id % 6 AS shape, bool_and(regexp_matches(content, '^Connection from {_IP_RE} port \\S+ closed by \\S+$')) AS consistent, count(*)::BIGINT AS n FROM logs GROUP BY ALL")
 def consistency_check(spark, sf_dir):
     fits = F.rlike("content", postprocess.template_regex(F.lit("Connection from <IP> port <NUM> closed by <*>")))
-    return logs(spark, sf_dir).where("event_id % 6 = 1 OR event_type = 'click'").groupBy("event_type").agg(F.bool_and(fits).alias("consistent"), F.count("*").alias("n"))
+    return logs(spark, sf_dir).groupBy((F.col("event_id") % 6).alias("shape")).agg(F.bool_and(fits).alias("consistent"), F.count("*").alias("n"))
 
 
 # --- refinement tools -----------------------------------------------------------------------------------------------------
@@ -371,10 +371,13 @@ def match_templates(spark, sf_dir):
     return found.select("log_order", F.coalesce("template_id", F.lit(-1)).alias("template_id"), F.coalesce("template", F.lit("")).alias("template"))
 
 
-@query(f"WITH {sql_logs()}, p AS (SELECT log_order, unnest(list_zip(string_split('Connection from <IP> port <NUM> closed by <*>', ' '), string_split(content, ' '))) AS z FROM logs WHERE event_id % 6 = 1) SELECT log_order, z[2] AS value, regexp_extract(z[1], '<([^<>]+)>', 1) AS mask_name FROM p WHERE z[1] LIKE '<%'")
+_SHAPES = "CASE event_id % 6 WHEN 0 THEN 'User <*> <*> from <IP> path <*> took <*>' WHEN 1 THEN 'Connection from <IP> port <NUM> closed by <*>' WHEN 2 THEN 'Failed to open <*> code <NUM> retry true' WHEN 3 THEN 'Session <UUID> opened for <EMAIL>' WHEN 4 THEN 'Worker <NUM> processed <NUM> records in <HEX> blocks' ELSE 'state=<*> ratio=<*> owner=root; value null <*>' END"
+
+
+@query(f"WITH {sql_logs()}, p AS (SELECT log_order, unnest(list_zip(string_split({_SHAPES}, ' '), {WORDS})) AS z FROM logs) SELECT log_order, z[2] AS value, regexp_extract(z[1], '<([^<>]+)>', 1) AS mask_name FROM p WHERE z[1] LIKE '%<%'")
 def params_extract(spark, sf_dir):
-    found = drain.parameters(F.split(F.lit("Connection from <IP> port <NUM> closed by <*>"), " "), T.tokens(F.col("content")))
-    return logs(spark, sf_dir).where("event_id % 6 = 1").select("log_order", F.explode(found).alias("p")).select("log_order", "p.value", "p.mask_name")
+    found = drain.parameters(F.split(F.expr(_SHAPES), " "), T.tokens(F.col("content")))
+    return logs(spark, sf_dir).select("log_order", F.explode(found).alias("p")).select("log_order", "p.value", "p.mask_name")
 
 
 @query(f"WITH {sql_logs()}, l AS (SELECT {_MASKED} AS t FROM logs), r AS (SELECT len(t)::BIGINT AS n_tokens, CASE WHEN regexp_matches(t[1], '[0-9]') THEN '<*>' ELSE t[1] END AS routed FROM l) SELECT n_tokens, routed, count(*)::BIGINT AS n FROM r GROUP BY ALL")
@@ -565,9 +568,9 @@ def calibrate_preference(spark, sf_dir):
     return tuning.preference(logs(spark, sf_dir).select(_star(F.col("content")).alias("template")))
 
 
-@query("WITH RECURSIVE c AS (SELECT event_id AS at, row_number() OVER (ORDER BY event_id) AS k, event_type IN ('click', 'view') AS over FROM events WHERE event_id < 60), s(k, sim, depth) AS (SELECT 0::BIGINT, 0.4::DOUBLE, 4 UNION ALL SELECT c.k, CASE WHEN c.over THEN greatest(0.2, s.sim - 0.05) ELSE least(0.8, s.sim + 0.05) END, CASE WHEN c.over THEN least(8, s.depth + 1) ELSE greatest(3, s.depth - 1) END FROM s JOIN c ON c.k = s.k + 1) SELECT round(sim, 2) AS sim_th, depth::BIGINT AS depth, s.k::BIGINT AS corrections, (SELECT sum(over::INT) FROM c)::BIGINT AS over, (SELECT sum((NOT over)::INT) FROM c)::BIGINT AS under FROM s ORDER BY s.k DESC LIMIT 1")
+@query("WITH RECURSIVE c AS (SELECT row_number() OVER (ORDER BY item_id) AS k, item_id % 5 < 2 AS over FROM benchmark), s(k, sim, depth) AS (SELECT 0::BIGINT, 0.4::DOUBLE, 4 UNION ALL SELECT c.k, CASE WHEN c.over THEN greatest(0.2, s.sim - 0.05) ELSE least(0.8, s.sim + 0.05) END, CASE WHEN c.over THEN least(8, s.depth + 1) ELSE greatest(3, s.depth - 1) END FROM s JOIN c ON c.k = s.k + 1) SELECT round(sim, 2) AS sim_th, depth::BIGINT AS depth, s.k::BIGINT AS corrections, (SELECT sum(over::INT) FROM c)::BIGINT AS over, (SELECT sum((NOT over)::INT) FROM c)::BIGINT AS under FROM s ORDER BY s.k DESC LIMIT 1")
 def learner_steps(spark, sf_dir):
-    rows = logs(spark, sf_dir).where("event_id < 60").select(F.col("event_id").alias("at"), F.lit("a <*> <*>").alias("expected"), F.when(F.col("event_type").isin("click", "view"), "a <*> b").otherwise("<*> <*> <*>").alias("actual"))
+    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("at"), F.lit("a <*> <*>").alias("expected"), F.when(F.col("item_id") % 5 < 2, "a <*> b").otherwise("<*> <*> <*>").alias("actual"))
     return tuning.learn(rows).drop("insight")
 
 
