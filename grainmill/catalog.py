@@ -469,7 +469,7 @@ def evict_top_n(spark, sf_dir):
     return lookup.evict(_cache(spark, sf_dir), 40, 2_000_000.0).select("template_id")
 
 
-@query()
+@query(f"WITH {_CACHE} SELECT template_id::BIGINT AS template_id, (CASE WHEN template_id % 3 = 0 THEN 1 ELSE freq END)::BIGINT AS freq, (CASE WHEN template_id % 3 = 0 THEN seq + 1000000 ELSE seq END)::BIGINT AS seq FROM cache")
 def cache_put(spark, sf_dir):
     cache = _cache(spark, sf_dir)
     fresh = cache.where("template_id % 3 = 0").drop("freq").withColumn("seq", F.col("seq") + 1_000_000)
@@ -549,9 +549,10 @@ def pta_rta_fta(spark, sf_dir):
     return one.select(*[F.round(c, 9).alias(c) for c in ("pta", "rta", "fta", "fta_macro")])
 
 
-@query()
+@query("SELECT " + ", ".join(f"(SELECT {c} FROM ({ORACLES[q]})) AS {c}" for c, q in (("ga", "ga"), ("fga", "fga_pairs"), ("pa", "pa"), ("pta", "pta_rta_fta"), ("rta", "pta_rta_fta"), ("fta", "pta_rta_fta"), ("ned", "ned"))))
 def evaluate_all(spark, sf_dir):
-    return evaluate.evaluate(*_sides(spark, sf_dir))
+    one = evaluate.evaluate(*_sides(spark, sf_dir))
+    return one.select(*[F.round(c, 9).alias(c) for c in one.columns])
 
 
 @query(f"WITH r AS (SELECT event_type AS dataset, (count(*) % 100) / 100.0 AS ga, (sum(user_id) % 100) / 100.0 AS pta, count(*) AS lines, 2.0 AS seconds FROM events GROUP BY 1) SELECT count(*)::BIGINT AS datasets, round(avg(ga), 9) AS ga, round(avg(pta), 9) AS pta, sum((ga >= 0.5)::INT)::BIGINT AS ga_passed, sum((pta >= 0.4)::INT)::BIGINT AS pta_passed, round(sum(lines) / sum(seconds), 6) AS lines_per_second FROM r")
@@ -641,7 +642,7 @@ def model_stats(spark, sf_dir):
     return control.model_stats(logs(spark, sf_dir).select(F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string")).alias("model"), (F.col("event_id") % 100).alias("tokens")))
 
 
-@query()
+@query("SELECT event_id AS log_order, (row_number() OVER (ORDER BY event_id) - 1) // 42 AS batch FROM events")
 def miss_batches(spark, sf_dir):
     return mining.batches(logs(spark, sf_dir).select("log_order", (F.col("event_id") * 120).alias("ts")))
 
