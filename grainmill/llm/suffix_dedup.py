@@ -33,7 +33,7 @@ from .repeats import anchors, first_of_owner, flat, lookup, merged_runs, packed,
 from .suffix_tree import maximal_repeats
 
 PART = 32
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def _anchored(block: Block, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -113,7 +113,8 @@ def _repeats(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         same = spans.hash(block.offsets[:-1], block.offsets[1:])
         order = np.lexsort((at, doc, same, group))
         lead = np.concatenate(([True], (group[order][1:] != group[order][:-1]) | (same[order][1:] != same[order][:-1])))
-        copies = order[~lead]
+        leader = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))]
+        copies = order[(doc[order] != doc[leader]) | (at[order] != at[leader])]  # equal rows bring a place twice
         size = np.diff(block.offsets)
         out = [(doc[copies], at[copies].astype(np.int64), at[copies] + size[copies])]
         leads = np.sort(order[lead])
