@@ -79,11 +79,11 @@ def _sums(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(signed(k)), pa.array(n[lo : lo + 100_000].astype(np.int64))], ["kind", "key", "n"])
 
     for batch in batches:
-        for block in blocks(batch.column("text"), 4 << 20):
+        for block in blocks(batch.column("text"), 1 << 20):
             data, first, tokens, _ = split(block)
             for kind, part in enumerate((tally(tokens), tally(grams(data, first, depth)))):
                 held[kind].append(part)
-                if len(held[kind]) >= 8:
+                if len(held[kind]) >= 16:
                     held[kind] = [merged(kind)]
                 if len(held[kind]) == 1 and len(held[kind][0][0]) > FLUSH:
                     yield from out(kind)
@@ -99,6 +99,18 @@ def train_counts(docs: DataFrame, depth: int) -> DataFrame:
     return materialize(sums.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
 
 
+def most_frequent(rows: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows of the largest counts: as many whole steps of a histogram of the counts (8 to a doubling) as make `most` rows or fewer."""
+    step = F.floor(F.log2(count) * 8).cast("int")
+    taken, least = 0, None
+    for row in rows.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # at most 512 rows
+        taken += row["count"]
+        if taken > most:
+            break
+        least = row["step"]
+    return rows.where(step >= least) if least is not None else rows.where(F.lit(False))
+
+
 def fit_tree(counts: DataFrame, depth: int, contexts: int) -> ContextTree:
     """The context tree of the n-gram counts; only the kept contexts' counts come to the driver."""
     top = counts.where(F.col("kind") == 1)
@@ -106,14 +118,7 @@ def fit_tree(counts: DataFrame, depth: int, contexts: int) -> ContextTree:
     levels = top.select(F.explode(F.array(*each)).alias("x"), "n").groupBy("x.d", "x.code").agg(F.sum("n").alias("n"))
     levels = materialize(levels.withColumn("context", F.shiftright("code", 8)), "levels")
     seen = levels.groupBy("d", "context").agg(F.sum("n").alias("seen"))
-    steps = seen.groupBy(F.floor(F.log2("seen") * 8).cast("int").alias("step")).count().orderBy(F.desc("step")).collect()  # at most 512 rows
-    total, least = 0, 0.0
-    for row in steps:
-        total += row["count"]
-        if total > contexts:
-            least = 2.0 ** ((row["step"] + 1) / 8)
-            break
-    kept = seen.where(F.col("seen") >= least).select("d", "context")  # at most `contexts` rows, by the histogram
+    kept = most_frequent(seen, "seen", contexts).select("d", "context")
     rows = levels.join(F.broadcast(kept), ["d", "context"]).select("d", "code", "n").toArrow()
     d, code, n = (rows.column(c).to_numpy() for c in ("d", "code", "n"))
     out = []
@@ -149,7 +154,7 @@ def score_documents(docs: DataFrame, depth: int = 5, contexts: int = 100_000, co
     vocabulary = counts.where(F.col("kind") == 0).select("key", "n")
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     log_total = float(np.log10(total + distinct + 1))
-    head = vocabulary.orderBy(F.desc("n"), "key").limit(common).toArrow()  # `common` rows at most
+    head = most_frequent(vocabulary, "n", common).toArrow()  # `common` rows at most
     known = head.column("n").to_numpy()
     shared = spark.sparkContext.broadcast((tree, Places(head.column("key").to_numpy().view(np.uint64)), known))
     kind = docs.schema["doc_id"].dataType.simpleString()
