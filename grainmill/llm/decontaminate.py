@@ -104,3 +104,24 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataF
     leaks = materialize(find_leaks(docs, benchmark, **options).select("__id", F.col("__text").alias("__t")).distinct(), "leaks")
     rows = docs.withColumn("__text", F.xxhash64("text"))
     return rows.join(leaks, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__t")), "left_anti").drop("__text")
+
+
+def leaks_sql(masks: tuple[str, ...] = MASKS, reach: int = 6, similarity: float = 0.8, least: int = 13) -> str:
+    """flag_documents() in DuckDB's SQL (-1 for the item of a clean document)."""
+    words = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+    span = max(map(len, masks))
+    every = [*masks, "1" * SHORT_SPAN]
+    seeds = ", ".join(f"({k}, {len(m)}, {[i for i, bit in enumerate(m) if bit == '1']})" for k, m in enumerate(every))
+    return f"""WITH m AS (SELECT * FROM (VALUES {seeds}) v(mask, span, places)),
+      b AS (SELECT item_id, w, len(w) AS size FROM (SELECT item_id, {words} AS w FROM benchmark) WHERE len(w) >= {SHORT_SPAN}),
+      d AS (SELECT doc_id, w, len(w) AS n FROM (SELECT doc_id, {words} AS w FROM documents)),
+      bp AS (SELECT item_id, w, mask, span, places, unnest(range(size - span + 1)) AS q FROM b, m WHERE size >= span AND (mask < {len(masks)} OR size < {span})),
+      dp AS (SELECT doc_id, w, mask, span, places, unnest(range(n - span + 1)) AS p FROM d, m WHERE n >= span),
+      bs AS (SELECT item_id, mask, span, q, list_transform(places, lambda o: w[q + o + 1]) AS seed FROM bp),
+      ds AS (SELECT doc_id, mask, p, list_transform(places, lambda o: w[p + o + 1]) AS seed FROM dp),
+      hits AS (SELECT DISTINCT doc_id, item_id, span, p - q AS base, q FROM ds JOIN bs USING (mask, seed)),
+      sides AS (SELECT doc_id, item_id, base, d.w AS dw, b.w AS bw, size, greatest(0, q - {reach}, -base) AS low, least(size, q + span + {reach}, n - base) AS high FROM hits JOIN d USING (doc_id) JOIN b USING (item_id)),
+      found AS (SELECT doc_id, item_id, size, high - low AS width, list_sum(list_transform(range(low, high), lambda j: (dw[base + j + 1] = bw[j + 1])::INT)) AS matched FROM sides),
+      best AS (SELECT doc_id, item_id, max(matched) AS matched FROM found WHERE width >= least({least}, size) AND matched >= {similarity} * width GROUP BY ALL),
+      docs AS (SELECT doc_id, count(*) AS n_items, arg_max(item_id, matched * 1000000 - item_id) AS item_id, max(matched) AS matched FROM best GROUP BY doc_id)
+      SELECT doc_id, docs.doc_id IS NOT NULL AS contaminated, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(item_id, -1)::BIGINT AS item_id, coalesce(matched, 0)::BIGINT AS matched FROM documents LEFT JOIN docs USING (doc_id)"""

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import LOWER, Block, Spans, arrays, blocks, chain, mix, signed, words
-from .common import materialize
+from .common import WORD, materialize
 from .components import components
 from .repeats import first_of_owner, most_repeats, packed, unpacked, with_row_ids
 
@@ -283,3 +283,17 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     if most_repeats(docs) > 1:
         rows = rows.dropDuplicates(["__doc"])
     return rows.join(gone, "__doc", "left_anti").select(*docs.columns)
+
+
+def components_sql(percent: int = 80) -> str:
+    """near_duplicates() for shingles of two words in DuckDB's SQL, over all pairs that share a shingle."""
+    upper = "".join(map(chr, range(65, 91)))
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '{WORD}') AS w FROM documents),
+      s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) > 1 THEN list_transform(range(len(w) - 1), lambda i: w[i + 1] || ' ' || w[i + 2]) ELSE w END) AS s FROM d),
+      e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+      links AS (SELECT a.doc_id AS i, b.doc_id AS j FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
+        GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+      both_ways AS (SELECT i, j FROM links UNION ALL SELECT j, i FROM links),
+      reach(i, j) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.i, b.j FROM reach r JOIN both_ways b ON r.j = b.i),
+      c AS (SELECT i AS doc_id, min(j) AS component_id FROM reach GROUP BY i)
+      SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)"""

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate, mixing, near_dedup, quality, scoring, sharding, substring_dedup, suffix_dedup, token_counts, wrappers
 from .common import table
 
 
 def op3_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.flag_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.flag_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("item_id", F.coalesce("item_id", F.lit(-1)))
 
 
 def op4_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +23,7 @@ def op9_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op3_spaced_seed_decontamination, op4_hash_tree_sharding, op9_raked_mixing)}
-ORACLES: dict[str, str] = {"op9_raked_mixing": mixing.mix_sql(0.7, 0.8, 12)}
+ORACLES: dict[str, str] = {"op9_raked_mixing": mixing.mix_sql(0.7, 0.8, 12), "op4_hash_tree_sharding": sharding.shard_sql(), "op3_spaced_seed_decontamination": decontaminate.leaks_sql()}
 
 
 def op2_context_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,3 +67,5 @@ def op7_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES[op7_wrapper_induction.__name__] = op7_wrapper_induction
+
+ORACLES |= {"op1_minhash_near_dedup": near_dedup.components_sql(), "op6_doubling_substring_dedup": substring_dedup.removed_sql()}

@@ -83,6 +83,12 @@ def descend(df: DataFrame, root: Node, key: str, out: str) -> DataFrame:
     return df.withColumn(out, F.get(shard, F.col("__node"))).drop("__node")
 
 
+def _bucket(buckets: int) -> Column:
+    """A row's bucket from an md5 of its id, size and CRC."""
+    digest = F.md5(F.concat_ws(":", id_text(), F.col("text_crc32").cast("string"), F.col("size").cast("string")).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % buckets).cast("int")
+
+
 def shard_documents(docs: DataFrame, shards: int = 24, base: int = 24, buckets: int = 128, weights: dict[int, float] | None = None, digest: bool = True) -> DataFrame:
     """docs with size, text_crc32, law, shard, slot and grown_shard (the shard if there were one more).
 
@@ -94,7 +100,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, base: int = 24, buckets:
     sized = docs.select(*kept, (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), id_text().alias("__key"))
     placed = descend(sized, hash_tree(shards, base, weights=weights), "__key", "shard")
     placed = descend(placed, hash_tree(shards + 1, base, weights=weights), "__key", "grown_shard").drop("__key")
-    placed = placed.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(buckets)).cast("int"))
+    placed = placed.withColumn("__bucket", _bucket(buckets))
     if digest:  # else the texts would be written once more; they are placed twice instead
         placed = materialize(placed, "placed")
     counts = placed.groupBy("shard", "__bucket").agg(F.count("*").alias("__n"))
@@ -108,3 +114,28 @@ def shard_documents(docs: DataFrame, shards: int = 24, base: int = 24, buckets:
         .withColumn("law", F.lit("key"))
         .select(*[c for c in placed.columns if c not in ("__bucket", "shard", "grown_shard", "size", "text_crc32")], "size", "text_crc32", "law", "shard", "slot", "grown_shard")
     )
+
+
+def _place_sql(node: Node, key: str) -> str:
+    if not node.children:
+        return str(node.shard)
+    unit = lambda c: f"((('0x' || substr(md5('{c.name}:' || {key}), 1, 8))::BIGINT)::DOUBLE + 0.5) / 4294967296.0"
+    draws = f"[{', '.join(f'-ln({unit(c)}) / {c.weight!r}' for c in node.children)}]"
+    return f"(CASE list_position({draws}, list_min({draws})) " + " ".join(f"WHEN {i} THEN {_place_sql(c, key)}" for i, c in enumerate(node.children, 1)) + " END)"
+
+
+def shard_sql(shards: int = 24, buckets: int = 128) -> str:
+    """shard_documents() in DuckDB's SQL. The CRC is folded over the bytes, four bits at a time."""
+    steps = []
+    for i in range(16):
+        for _ in range(4):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+        steps.append(i)
+    step = lambda c: f"xor({c} >> 4, {steps}[({c} & 15) + 1])"
+    hexes = "'0123456789ABCDEF'"
+    octets = f"list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: ((instr({hexes}, x[1]) - 1) * 16 + instr({hexes}, x[2]) - 1)::BIGINT)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: {step(step('xor(c, b)'))}), 4294967295::BIGINT)"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(doc_id::VARCHAR, 'null') AS k FROM documents),
+      s AS (SELECT doc_id, k, strlen(t) + 8 AS size, {crc} AS text_crc32, {_place_sql(hash_tree(shards), "k")} AS shard, {_place_sql(hash_tree(shards + 1), "k")} AS grown_shard FROM d)
+      SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INT AS shard, grown_shard::INT AS grown_shard,
+        row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(k || ':' || text_crc32 || ':' || size), 1, 8))::BIGINT % {buckets}, doc_id, text_crc32, size) - 1 AS slot FROM s"""

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import Spans, arrays, blocks, chain, signed, words
-from .common import materialize
+from .common import WORD, materialize
 from .repeats import anchors, first_of_owner, flat, lookup, packed, repeated_anchors, salt_of, unpacked, with_row_ids
 
 
@@ -137,3 +137,15 @@ def remove_repeats(docs: DataFrame, length: int = 20, texts: bool = True) -> Dat
     gone = _settle(candidates).groupBy("__doc").agg(F.collect_list("at").alias("ats"))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string, removed array<long>" * texts
     return packed(docs).join(gone, "__doc", "left").mapInArrow(lambda it: _cut(it, length, texts), schema)
+
+
+def removed_sql(length: int = 20) -> str:
+    """The counts and digests of remove_repeats() in DuckDB's SQL."""
+    return f"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+      k AS (SELECT doc_id, list_transform(range(len(w) - {length - 1}), lambda i: md5(array_to_string(w[i + 1:i + {length}], ' '))) AS ks FROM d WHERE len(w) >= {length}),
+      p AS (SELECT doc_id, unnest(ks) AS key, unnest(range(len(ks))) AS pos FROM k),
+      late AS (SELECT doc_id, pos FROM p QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id, pos) > 1),
+      gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + {length})) AS i FROM late),
+      words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+      kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+      SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
