@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Block, Spans, arrays, blocks, chain, signed
-from .common import materialize
+from .common import discard, materialize
 from .repeats import anchors, first_of_owner, flat, lookup, merged_runs, packed, repeated_anchors, salt_of, unpacked, with_row_ids
 from .suffix_tree import maximal_repeats
 
@@ -47,14 +47,12 @@ def _anchored(block: Block, length: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _first(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(h, __doc): the anchors of each document, one for each kind of segment; a null h if the document repeats a segment."""
+    """(h, __doc): the anchors of each document, one for each kind of segment."""
     for batch in batches:
         ids = batch.column("__doc").to_numpy()
         for block in blocks(batch.column("text")):
             h, doc, _, _, once = _anchored(block, length)
-            inner = np.unique(doc[~once])
-            keys = pa.array(np.concatenate((signed(h[once]), np.zeros(len(inner), np.int64))), mask=np.repeat([False, True], [once.sum(), len(inner)]))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(ids[block.lo + np.concatenate((doc[once], inner))])], ["h", "__doc"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(h[once])), pa.array(ids[block.lo + doc[once]])], ["h", "__doc"])
 
 
 def _segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -164,12 +162,8 @@ def _repeats(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 def _cut(batches: Iterator[pa.RecordBatch], length: int, texts: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in unpacked(batch):
-            again = np.zeros(0, np.int64)
-            if batch.column("inner").slice(block.lo, block.hi - block.lo).null_count < block.hi - block.lo:
-                _, doc, low, high, once = _anchored(block, length)
-                again = np.flatnonzero(~once)
-            else:
-                doc = low = high = again
+            _, doc, low, high, once = _anchored(block, length)
+            again = np.flatnonzero(~once)
             ats, of = flat(batch.column("ats"), block.lo, block.hi)
             stops, _ = flat(batch.column("stops"), block.lo, block.hi)
             owner = np.concatenate((doc[again], of)).astype(np.int64)
@@ -205,18 +199,17 @@ def remove_repeats(docs: DataFrame, length: int = 100, texts: bool = True) -> Da
     if length <= PART:
         raise ValueError(f"strings must be longer than {PART} bytes")
     docs = with_row_ids(docs)
-    found = materialize(docs.select("__doc", "text").mapInArrow(lambda it: _first(it, length), "h long, __doc long"), "anchors")
-    inner = found.where("h IS NULL").select("__doc", F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("n"))
-    told = materialize(repeated_anchors(found.where("h IS NOT NULL")).select("__doc", "h", "n").unionByName(inner), "repeated")
-    repeated, inner = told.where("n > 0"), told.where("n = 0").select("__doc", F.lit(True).alias("inner")).distinct()
+    found = docs.select("__doc", "text").mapInArrow(lambda it: _first(it, length), "h long, __doc long")  # computed twice: written down it would be as large as the input
+    repeated = materialize(repeated_anchors(found), "repeated")
     per_doc = repeated.groupBy("__doc").agg(F.collect_list("h").alias("hs"), F.collect_list("n").alias("ns"))
     segments = packed(docs).join(per_doc, "__doc").mapInArrow(lambda it: _segments(it, length), "h long, n long, __doc long, at int, segment binary")
     dealt = segments.withColumn("salt", salt_of(F.col("n"), "__doc")).drop("n").repartition("h", "salt").sortWithinPartitions("h", "salt")
     told = materialize(dealt.mapInArrow(lambda it: _repeats(it, length), "kind int, w long, __doc long, at long, stop long"), "repeats")
+    discard(repeated)
     firsts = told.where("kind = 1")
     least = firsts.groupBy("w").agg(F.min("__doc").alias("least"))
     across = firsts.join(least, "w").where(F.col("least") < F.col("__doc"))
     gone = told.where("kind = 0").select("__doc", "at", "stop").unionByName(across.select("__doc", "at", "stop"))
     per_doc = gone.groupBy("__doc").agg(F.collect_list("at").alias("ats"), F.collect_list("stop").alias("stops"))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary, removed array<long>" * texts
-    return packed(docs).join(per_doc, "__doc", "left").join(inner, "__doc", "left").mapInArrow(lambda it: _cut(it, length, texts), schema)
+    return packed(docs).join(per_doc, "__doc", "left").mapInArrow(lambda it: _cut(it, length, texts), schema)
