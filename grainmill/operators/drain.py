@@ -30,9 +30,9 @@ def route(token: Column) -> Column:
 
 
 def keyed(logs: DataFrame, config: MinerConfig) -> DataFrame:
-    """logs (log_order, content) with text (prepared), tokens, n_tokens and branch."""
-    rows = logs.select("log_order", "content", T.prepare(F.col("content"), config).alias("text"))
-    rows = rows.withColumn("tokens", T.tokens(F.col("text"))).withColumn("n_tokens", F.size("tokens"))
+    """logs (log_order, content) with text (prepared, one space between tokens), tokens, n_tokens and branch."""
+    rows = logs.select("log_order", "content", T.tokens(T.prepare(F.col("content"), config)).alias("tokens"))
+    rows = rows.withColumn("text", F.array_join("tokens", " ")).withColumn("n_tokens", F.size("tokens"))
     depth = config.depth - 3
     if config.engine == "jaccard":
         return rows.withColumn("branch", F.coalesce(F.get("tokens", F.lit(0)), F.lit(""))).withColumn("n_tokens", F.lit(0))
@@ -64,27 +64,32 @@ def affix(old: str, new: str) -> str:
 class Branch:
     """The clusters of one branch: templates as token lists, in order of creation."""
 
-    __slots__ = ("templates", "firsts", "known", "version", "use")
+    __slots__ = ("templates", "firsts", "shown", "known", "version")
 
     def __init__(self):
         self.templates: list[list[str]] = []
         self.firsts: list[int] = []
+        self.shown: list[str] = []
         self.known: dict[str, tuple[int, int]] = {}
         self.version = 0
-        self.use: list[int] = []
 
-    def add(self, order: int, text: str, tokens: list[str], config: MinerConfig) -> tuple[int, bool]:
-        """The line's cluster and whether it was made for it. A line seen since the last change needs no search."""
+    def restore(self, firsts: list[int], templates: list[list[str]]) -> None:
+        self.firsts, self.templates, self.shown = firsts, templates, [" ".join(t) for t in templates]
+
+    def add(self, order: int, text: str, config: MinerConfig) -> tuple[int, bool]:
+        """The line's cluster and whether it was made for it. A line (tokens with one space between them) seen since the last change needs no search."""
         seen = self.known.get(text)
         if seen and seen[1] == self.version:
             return seen[0], False
+        tokens = text.split(" ") if text else []
         at, best = -1, -1.0
         for i, template in enumerate(self.templates):
             score = self.score(template, tokens, config)
             if score > best:
                 at, best = i, score
         if at < 0 or best < config.sim_th:
-            self.templates.append(list(tokens))
+            self.templates.append(tokens)
+            self.shown.append(text)
             self.firsts.append(order)
             self.version += 1
             self.known[text] = (len(self.templates) - 1, self.version)
@@ -97,7 +102,7 @@ class Branch:
         else:
             new = [a if a == b else WILD for a, b in zip(old, tokens, strict=True)]
         if new != old:
-            self.templates[at] = new
+            self.templates[at], self.shown[at] = new, " ".join(new)
             self.version += 1
         if len(self.known) > 100_000:
             self.known.clear()
@@ -119,13 +124,13 @@ def mine_batches(batches: Iterator[pa.RecordBatch], config: MinerConfig) -> Iter
     key, branch = None, Branch()
     for batch in batches:
         firsts, templates, kinds = [], [], []
-        columns = (batch.column(c).to_pylist() for c in ("n_tokens", "branch", "log_order", "text", "tokens"))
-        for n, name, order, text, tokens in zip(*columns, strict=True):
+        columns = (batch.column(c).to_pylist() for c in ("n_tokens", "branch", "log_order", "text"))
+        for n, name, order, text in zip(*columns, strict=True):
             if key != (n, name):
                 key, branch = (n, name), Branch()
-            at, fresh = branch.add(order, text, tokens, config)
+            at, fresh = branch.add(order, text, config)
             firsts.append(branch.firsts[at])
-            templates.append(" ".join(branch.templates[at]))
+            templates.append(branch.shown[at])
             kinds.append("miss" if fresh else "match")
         yield pa.RecordBatch.from_arrays([batch.column("log_order"), pa.array(firsts, pa.int64()), pa.array(templates, pa.string()), pa.array(kinds, pa.string())], ["log_order", "cluster", "template", "kind"])
 
@@ -135,7 +140,7 @@ def mine(logs: DataFrame, config: MinerConfig | None = None) -> DataFrame:
     config = config or MinerConfig()
     if config.max_clusters is not None:
         return mine_bounded(logs, config)
-    rows = keyed(logs, config).select("log_order", "text", "tokens", "n_tokens", "branch")
+    rows = keyed(logs, config).select("log_order", "text", "n_tokens", "branch")
     dealt = rows.repartition("n_tokens", "branch").sortWithinPartitions("n_tokens", "branch", "log_order")
     return dealt.mapInArrow(lambda it: mine_batches(it, config), "log_order long, cluster long, template string, kind string")
 

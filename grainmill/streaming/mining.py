@@ -21,8 +21,8 @@ def mine_stream(logs: DataFrame, config: MinerConfig | None = None) -> DataFrame
     templates, not the lines.
     """
     config = config or MinerConfig()
-    rows = logs.select("log_order", T.prepare(F.col("content"), config).alias("text"))
-    rows = rows.withColumn("n_tokens", F.size(T.tokens(F.col("text"))))
+    rows = logs.select("log_order", T.tokens(T.prepare(F.col("content"), config)).alias("tokens"))
+    rows = rows.select("log_order", F.array_join("tokens", " ").alias("text"), F.size("tokens").alias("n_tokens"))
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         branches: dict[str, drain.Branch] = {}
@@ -30,13 +30,12 @@ def mine_stream(logs: DataFrame, config: MinerConfig | None = None) -> DataFrame
         if state.exists:
             for name, firsts, templates in json.loads(state.get[0]):
                 branch = branches[name] = drain.Branch()
-                branch.firsts, branch.templates = firsts, templates
+                branch.restore(firsts, templates)
                 order.append(name)
         frame = pd.concat(list(frames)).sort_values("log_order")
         out = []
         for at, text in zip(frame["log_order"], frame["text"], strict=True):
-            tokens = text.split()
-            head = tokens[0] if tokens and config.depth > 3 else ""
+            head = text.split(" ", 1)[0] if config.depth > 3 else ""
             name = drain.WILD if any(c.isdigit() for c in head) else head
             if name not in branches:
                 if name != drain.WILD and sum(x != drain.WILD for x in order) >= config.max_children:
@@ -44,8 +43,8 @@ def mine_stream(logs: DataFrame, config: MinerConfig | None = None) -> DataFrame
                 if name not in branches:
                     branches[name] = drain.Branch()
                     order.append(name)
-            i, fresh = branches[name].add(int(at), text, tokens, config)
-            out.append((int(at), branches[name].firsts[i], " ".join(branches[name].templates[i]), "miss" if fresh else "match"))
+            i, fresh = branches[name].add(int(at), text, config)
+            out.append((int(at), branches[name].firsts[i], branches[name].shown[i], "miss" if fresh else "match"))
         state.update((json.dumps([(n, branches[n].firsts, branches[n].templates) for n in order]),))
         yield pd.DataFrame(out, columns=["log_order", "cluster", "template", "kind"])
 
