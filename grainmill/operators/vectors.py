@@ -68,6 +68,16 @@ def dbscan_labels(near: np.ndarray, min_points: int) -> np.ndarray:
     return labels
 
 
+def cosine_distances(x: np.ndarray) -> np.ndarray:
+    """Cosine distances between the rows of x to 12 places; a zero row is at 1 from all others."""
+    norm = np.linalg.norm(x, axis=1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        sim = np.where(norm[:, None] * norm[None] > 0, x @ x.T / (norm[:, None] * norm[None]), 0.0)
+    distance = np.round(1 - sim, 12)
+    np.fill_diagonal(distance, 0)
+    return distance
+
+
 def dbscan(points: DataFrame, eps: float = 0.5, min_points: int = 3) -> DataFrame:
     """batch, id, label by cosine distance inside each batch (batch, id, vector). Batches are small (the control plane's 50
     lines); a batch of one point is a cluster, noise is -1."""
@@ -76,12 +86,7 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_points: int = 3) -> DataFram
         pdf = pdf.sort_values("id")
         if len(pdf) == 1:
             return pdf.assign(label=0)[["batch", "id", "label"]]
-        x = np.vstack(pdf["vector"].to_numpy()).astype(float)
-        norm = np.linalg.norm(x, axis=1)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            sim = np.where(norm[:, None] * norm[None] > 0, x @ x.T / (norm[:, None] * norm[None]), 0.0)
-        distance = np.round(1 - sim, 12)
-        np.fill_diagonal(distance, 0)
+        distance = cosine_distances(np.vstack(pdf["vector"].to_numpy()).astype(float))
         return pdf.assign(label=dbscan_labels(distance <= eps, min_points))[["batch", "id", "label"]]
 
     return points.groupBy("batch").applyInPandas(label, f"batch {points.schema['batch'].dataType.simpleString()}, id {points.schema['id'].dataType.simpleString()}, label int")

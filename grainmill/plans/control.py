@@ -1,7 +1,8 @@
 """The optional language-model step for lines that the miner has not seen before: route, ask, verify, register.
 
-A provider is any object with extract(samples) -> {"template", "variables", "confidence", "usage", "model"}. A batch is
-bounded (50 lines by default), so its orchestration runs on the driver; what surrounds it are DataFrames.
+A provider is any object with extract(samples) -> {"template", "variables", "confidence", "usage", "model"}. Every miss is
+in a batch; a batch is bounded (50 lines by default), so it is one group of a grouped map. The driver holds the groups'
+samples and line numbers, and asks.
 """
 
 from __future__ import annotations
@@ -9,12 +10,15 @@ from __future__ import annotations
 import re
 from typing import Protocol
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from grainmill.config import ControlConfig
 from grainmill.operators import vectors
+from grainmill.streaming import mining
 
 #: Patterns of the tags in a model's templates.
 TAGS = {
@@ -65,44 +69,47 @@ def reflect(provider: Provider, samples: list[str], rounds: int = 3) -> dict:
     return provider.extract(rest)
 
 
+def _groups(frame: pd.DataFrame, config: ControlConfig) -> pd.DataFrame:
+    """The groups of one batch: batch, label, lines (orders), samples; by TF-IDF and density, noise left out."""
+    frame = frame.sort_values("log_order")
+    orders, contents, tokens = frame["log_order"].tolist(), frame["content"].tolist(), [list(t) if t is not None else [] for t in frame["tokens"]]
+    terms = {t: i for i, t in enumerate(sorted({t for row in tokens for t in row}))}
+    counts = np.zeros((len(tokens), max(1, len(terms))))
+    for i, row in enumerate(tokens):
+        for t in row:
+            counts[i, terms[t]] += 1
+    x = counts / np.maximum(counts.sum(1), 1)[:, None] * (np.log((1 + len(tokens)) / (1 + (counts > 0).sum(0))) + 1)
+    labels = np.zeros(1, int) if len(tokens) == 1 else vectors.dbscan_labels(vectors.cosine_distances(x) <= config.eps, config.min_points)
+    out = []
+    for label in dict.fromkeys(labels[labels >= 0].tolist()):
+        mine = np.flatnonzero(labels == label)
+        picked = mine[vectors.dpp_order(x[mine], config.samples)] if config.sampling == "dpp" and len(mine) > config.samples else mine[: config.samples]
+        out.append((frame["batch"].iloc[0], label, [orders[i] for i in mine], [contents[i] for i in picked]))
+    return pd.DataFrame(out, columns=["batch", "label", "lines", "samples"])
+
+
 def control_batch(misses: DataFrame, local: Provider, remote: Provider | None = None, config: ControlConfig | None = None) -> list[dict]:
-    """New templates for one batch of misses (log_order, content, tokens): grouped by TF-IDF and density, sampled, asked.
+    """New templates for all misses (log_order, content, tokens, and ts in ms if the time closes batches too).
 
-    Returns a record for each group: template, tokens, confidence, model, usage, lines (orders). A batch has at most
-    `max_batch` lines, so it is handled on the driver.
+    The misses are dealt into batches of `max_batch` lines at most; in each they are grouped by TF-IDF and density and
+    sampled, batch by batch on the executors. The providers are asked on the driver, in the order of the batches. Returns
+    a record for each group of each batch: template, tokens, confidence, model, usage, lines (orders).
     """
     config = config or ControlConfig()
-    rows = misses.orderBy("log_order").limit(config.max_batch).select("log_order", "content", "tokens").collect()
-    if not config.enabled or not rows:
+    if not config.enabled:
         return []
-    spark = misses.sparkSession
-    batch = spark.createDataFrame([(r["log_order"], r["tokens"]) for r in rows], "doc_id long, tokens array<string>")
-    weights = vectors.tf_idf(batch)
-    terms = sorted(r["term"] for r in weights.select("term").distinct().collect())
-    place = {t: i for i, t in enumerate(terms)}
-    dense = {r["log_order"]: [0.0] * max(1, len(terms)) for r in rows}
-    for r in weights.collect():
-        dense[r["doc_id"]][place[r["term"]]] = r["weight"]
-    points = spark.createDataFrame([(0, k, v) for k, v in dense.items()], "batch int, id long, vector array<double>")
-    label = {r["id"]: r["label"] for r in vectors.dbscan(points, config.eps, config.min_points).collect()}
-    groups: dict[int, list] = {}
-    for r in rows:
-        if label[r["log_order"]] >= 0:
-            groups.setdefault(label[r["log_order"]], []).append(r)
+    ts = F.col("ts") if "ts" in misses.columns else F.lit(0).cast("long")
+    dealt = mining.batches(misses.select("log_order", ts.alias("ts")), config)
+    rows = misses.select("log_order", "content", "tokens").join(dealt, "log_order")
+    groups = rows.groupBy("batch").applyInPandas(lambda frame: _groups(frame, config), "batch long, label int, lines array<long>, samples array<string>")
     out = []
-    for group in groups.values():
-        lines = [r["content"] for r in group]
-        if config.sampling == "dpp" and len(group) > config.samples:
-            import numpy as np
-
-            lines = [lines[i] for i in vectors.dpp_order(np.array([dense[r["log_order"]] for r in group]), config.samples)]
-        else:
-            lines = lines[: config.samples]
+    for group in sorted(groups.collect(), key=lambda r: (r["batch"], r["lines"][0])):
+        lines = group["samples"]
         words = [w for x in lines for w in re.split(r"\s+", x)]
         value = 0.4 * len(set(words)) / len(words) + 0.3 * min(sum(map(len, lines)) / len(lines) / 200, 1) + 0.3 * min(len(lines) / 10, 1)
         provider = remote if remote is not None and value >= 0.7 else local
         reply = reflect(provider, lines, config.max_iterations)
-        out.append({"template": reply["template"], "tokens": reply["template"].split(), "confidence": float(reply.get("confidence", 0.5)), "model": reply.get("model", provider.name), "usage": reply.get("usage", {}), "lines": [r["log_order"] for r in group]})
+        out.append({"template": reply["template"], "tokens": reply["template"].split(), "confidence": float(reply.get("confidence", 0.5)), "model": reply.get("model", provider.name), "usage": reply.get("usage", {}), "lines": group["lines"]})
     return out
 
 

@@ -45,7 +45,7 @@ class LogPipeline:
         return self.last.select(*parsed.columns, "metadata")
 
     def ask(self, misses: DataFrame) -> DataFrame | None:
-        """Templates of the model step for a batch of misses, registered beside the mined ones."""
+        """Templates of the model step for all misses, batch by batch, registered beside the mined ones."""
         found = control.control_batch(misses, self.provider, self.remote, self.config.control)
         for x in found:
             stats = self.counters["calls"].setdefault(x["model"], {"calls": 0, "tokens": 0})

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from grainmill.config import MinerConfig, PipelineConfig, from_dict, to_dict, to_env
+from grainmill.config import ControlConfig, MinerConfig, PipelineConfig, from_dict, to_dict, to_env
 from grainmill.operators import drain, evaluate, lookup, refine, tuning, vectors
 from grainmill.plans import control, reports
 from grainmill.plans.pipeline import LogPipeline
@@ -189,6 +189,32 @@ def test_control_plane(spark):
     assert control.unmatched("a <NUM> < b <X>", ["a 5 < b <X>", "a x < b <X>"]) == ["a x < b <X>"]
 
 
+def test_every_miss_is_in_a_batch(spark):
+    lines = [f"open file a{i} now" if i % 2 else f"user {i} left the room" for i in range(120)]
+    misses = logs(spark, lines).withColumn("tokens", F.split("content", " "))
+    asked = []
+
+    class Counting(control.PatternProvider):
+        def extract(self, samples):
+            asked.append(samples)
+            return super().extract(samples)
+
+    found = control.control_batch(misses, Counting(), config=ControlConfig(eps=0.9))
+    assert sorted(i for x in found for i in x["lines"]) == list(range(120))
+    assert [x["template"] for x in found] == ["user <*> left the room", "open file <*> now"] * 3 and asked
+    assert all(min(x["lines"]) // 50 == max(x["lines"]) // 50 for x in found)
+    timed = control.control_batch(misses.withColumn("ts", F.col("log_order") * 1000), control.PatternProvider(), config=ControlConfig(min_points=1))
+    assert sorted(i for x in timed for i in x["lines"]) == list(range(120)) and max(len(x["lines"]) for x in timed) <= 5
+
+
+def test_pipeline_asks_about_every_miss(spark):
+    lines = spark.createDataFrame([(i, "word " * (i + 1)) for i in range(60)], "log_order long, line string")
+    config = PipelineConfig().merged({"control": {"min_points": 1, "eps": 0.0}})
+    pipeline = LogPipeline(spark, config, provider=control.PatternProvider())
+    pipeline.parse(lines)
+    assert pipeline.counters["misses"] == 60 and pipeline.counters["calls"]["patterns"]["calls"] >= 2
+
+
 def test_pipeline_state(spark, tmp_path):
     lines = spark.createDataFrame(list(enumerate(["Jan 15 10:30:00 h app: User a in", "Jan 15 10:30:01 h app: User b in"])), "log_order long, line string")
     pipeline = LogPipeline(spark, PipelineConfig(adapter="auto"), provider=control.PatternProvider())
