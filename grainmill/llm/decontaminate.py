@@ -4,8 +4,9 @@ Tokens are the runs of letters and digits of the lower-cased text, hashed to 64
 of tokens; it hashes the tokens under its ones and ignores those under its zeros, so a passage with a token replaced
 still meets the benchmark wherever the change falls on a zero of one of the masks. Every token position of every
 document is hashed under every mask and joined to the benchmark's hashes. Around each hit the two texts are laid side by
-side without gaps: the window reaches `reach` tokens beyond the seed on both sides, clipped to the item and the
-document, and the hit is confirmed if at least `similarity` of its tokens agree and the window holds `least` tokens.
+side without gaps, `reach` tokens beyond the seed on both sides, clipped to the item and the document. The hit is
+confirmed if in any window of these that holds the seed and `least` tokens or more (the whole of a shorter item) at least
+`similarity` of the tokens agree. Windows of up to 2 * least - 1 tokens do: of the halves of a longer one, one agrees as well.
 
 The documents are not shuffled to be searched: exploding, hashing, probing and confirming run in one stage. The hash
 table of the benchmark is broadcast if its counted rows are at most `broadcast_rows`; a larger one is joined by
@@ -44,9 +45,22 @@ def _seeds(h: Column, p: Column, masks: tuple[str, ...], n: Column) -> Column:
     return F.array(*one)
 
 
-def _agree(h: Column, at: Column, item: Column, low: Column, high: Column) -> Column:
-    """How many of the item's tokens low .. high - 1 equal the document's at the same offset from `at`."""
-    return F.aggregate(F.sequence(low, high - 1), F.lit(0), lambda acc, j: acc + F.when(F.get(h, at + j) == F.get(item, j), 1).otherwise(0))
+def _best(h: Column, at: Column, item: Column, low: Column, high: Column, seed: Column, end: Column, need: Column, most: int, similarity: float) -> Column:
+    """The most agreeing tokens in a window of the item's tokens low .. high - 1, laid on the document from `at`, that holds
+    the seed's tokens seed .. end - 1, has `need` to `most` tokens and agrees in `similarity` of them; 0 if there is none."""
+    same = F.transform(F.sequence(low, high - 1), lambda j: F.coalesce((F.get(h, at + j) == F.get(item, j)).cast("int"), F.lit(0)))
+    sums = F.aggregate(same, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    def widest(p: Column) -> Column:
+        def to(i: Column) -> Column:
+            size, agree = (lambda j: j - i), (lambda j: F.get(p, j) - F.get(p, i))
+            good = lambda j: (size(j) >= need) & (size(j) <= most) & (agree(j) >= similarity * size(j))
+            return F.aggregate(F.sequence(end - low, high - low), F.lit(0), lambda acc, j: F.when(good(j), F.greatest(acc, agree(j))).otherwise(acc))
+
+        windows = F.aggregate(F.sequence(F.lit(0), seed - low), F.lit(0), lambda acc, i: F.greatest(acc, to(i)))
+        return F.when(F.element_at(p, -1) >= similarity * need, windows).otherwise(0)
+
+    return F.get(F.transform(F.array(sums), widest), F.lit(0))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, reach: int = 6, similarity: float = 0.8, least: int = 13, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -79,9 +93,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = M
     at = F.col("p") - F.col("q")  # where the item would begin in the document
     low = F.greatest(F.lit(0), F.col("q") - reach, -at)
     high = F.least(F.col("len"), F.col("q") + length + reach, F.col("n") - at)
-    hits = hits.select("__id", "__text", "item_no", "len", (high - low).alias("window"), _agree(F.col("h"), at, F.col("item"), low, high).alias("matched"))
-    good = (F.col("window") >= F.least(F.lit(least), F.col("len"))) & (F.col("matched") >= similarity * F.col("window"))
-    best = hits.where(good).groupBy("__id", "__text", "item_no").agg(F.max("matched").alias("matched"))
+    found = _best(F.col("h"), at, F.col("item"), low, high, F.col("q"), F.col("q") + length, F.least(F.lit(least), F.col("len")), 2 * least - 1, similarity)
+    hits = hits.select("__id", "__text", "item_no", found.alias("matched"))
+    best = hits.where("matched > 0").groupBy("__id", "__text", "item_no").agg(F.max("matched").alias("matched"))
     return best.join(F.broadcast(items.select("item_no", "item_id")) if small else items.select("item_no", "item_id"), "item_no").drop("item_no")
 
 
