@@ -12,9 +12,11 @@ The documents are not shuffled to be searched: exploding, hashing, probing and c
 table of the benchmark is broadcast if its counted rows are at most `broadcast_rows`; a larger one is joined by
 shuffling the hashes, and only the hits' documents get the texts again.
 
+With the masks COVER and a similarity of 0.8 nothing that the windows would confirm is missed by the seeds. Longer masks
+meet fewer stray hits but leave out patterns; items shorter than their span are then sought by a contiguous seed.
+
 Nulls: a null text (either side) has no tokens and meets nothing; a null doc_id is a document of its own text. Items of
-fewer tokens than the seeds' span are sought by a contiguous seed of `short_span` tokens; still shorter items are no
-evidence and meet nothing. Repeated rows get the same verdict. Empty tables give clean documents or an empty result.
+fewer than SHORT_SPAN tokens are no evidence and meet nothing. Repeated rows get the same verdict. Empty tables give clean documents or an empty result.
 Input columns named like the output are replaced.
 """
 
@@ -25,7 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize, without
 
-#: Masks over 13 tokens: 8 count, 5 are ignored; the first is mostly contiguous, the others spread.
+#: Masks that find five tokens laid side by side with none or one of them replaced, whichever it is (the first at either
+#: end). A window of n tokens with n / 5 replaced or fewer, n 5 or more, holds such five: of its n / 5 blocks one has at most one.
+COVER = ("1111", "11011", "10111", "11101")
+#: The masks of leaks_sql() over 13 tokens: 8 count, 5 are ignored; the first is mostly contiguous, the others spread.
 MASKS = ("1111011100001", "1101100101011", "1010111001101", "1110010110011")
 SHORT_SPAN = 5
 OUT = ("contaminated", "n_items", "item_id", "matched")
@@ -63,7 +68,7 @@ def _best(h: Column, at: Column, item: Column, low: Column, high: Column, seed:
     return F.get(F.transform(F.array(sums), widest), F.lit(0))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, reach: int = 6, similarity: float = 0.8, least: int = 13, broadcast_rows: int = 1_000_000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = COVER, reach: int = 21, similarity: float = 0.8, least: int = 13, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Confirmed hits: __id, __text (hash), item_id and matched (most agreeing tokens in a window), a row for each document and item."""
     span = max(map(len, masks))
     items = benchmark.select("item_id", token_hashes(F.col("text")).alias("item")).withColumn("len", F.size("item")).where(F.col("len") >= SHORT_SPAN)
@@ -121,7 +126,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataF
 
 
 def leaks_sql(masks: tuple[str, ...] = MASKS, reach: int = 6, similarity: float = 0.8, least: int = 13) -> str:
-    """flag_documents() in DuckDB's SQL (-1 for the item of a clean document)."""
+    """flag_documents() in DuckDB's SQL (-1 for the item of a clean document), by longer seeds and whole windows only: equal where
+    each passage of an item is whole."""
     words = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
     span = max(map(len, masks))
     every = [*masks, "1" * SHORT_SPAN]

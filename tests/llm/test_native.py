@@ -153,6 +153,20 @@ def test_short_passages_out_of_an_item(spark):
     assert got == {(lo, n): n if n >= 13 else 0 for lo, n in runs}
 
 
+def test_replaced_tokens(spark):
+    """Whole items with up to a fifth of their tokens replaced, anywhere, are found; one more and they are not."""
+    rng = random.Random(5)
+    sizes = [5, 7, 8, 9, 10, 12, 13, 14, 15, 16, 20, 25, 30]
+    items = [(n, " ".join(f"i{n}q{k}" for k in range(n))) for n in sizes]
+    cases = [(n, {k}) for n in sizes for k in range(n)] + [(13, {0, 12}), (15, {3, 7, 11}), (20, {3, 7, 11, 15}), (25, {4, 9, 14, 19, 24})]
+    cases += [(n, set(rng.sample(range(n), n // 5))) for n in sizes for _ in range(20)]
+    bad = [(n, set(rng.sample(range(n), n // 5 + 1))) for n in (5, 7, 8, 9, 10, 12, 13) for _ in range(5)]
+    text = lambda n, gone: " ".join("xx" if k in gone else f"i{n}q{k}" for k in range(n))
+    rows = [(i, f"some words {text(n, gone)} and others", "en", "s") for i, (n, gone) in enumerate(cases + bad)]
+    out = decontaminate.flag_documents(docs(spark, rows), spark.createDataFrame(items, BENCH)).collect()
+    assert {r.doc_id for r in out if r.contaminated} == set(range(len(cases)))
+
+
 def test_no_python_in_native_plans(spark, sf_dir):
     from grainmill.llm import queries
 
