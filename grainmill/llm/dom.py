@@ -180,3 +180,22 @@ def match(a: Slot, b: Slot) -> dict[int, int]:
         out[x.number] = y.number
         todo.extend(weights[x.number, y.number][1])
     return out
+
+
+def merge(tree: Slot, page: Slot) -> None:
+    """Adds to the tree the slots of a page that its best matching leaves over, each beside the siblings that it follows."""
+    slots = number(tree)
+    number(page)
+    at = match(page, tree)
+    todo = [(page, tree)] if at else []
+    while todo:
+        x, y = todo.pop()
+        place = 0
+        for kid in x.kids:
+            if kid.number in at:
+                target = slots[at[kid.number]]
+                place = y.kids.index(target) + 1
+                todo.append((kid, target))
+            else:
+                y.kids.insert(place, kid)
+                place += 1

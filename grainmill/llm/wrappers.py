@@ -1,7 +1,7 @@
 """Operator 7: main text of web pages by wrapper induction.
 
-A host's wrapper is the slot tree of its first page (least page_id). Every page of the host is aligned to it by simple
-tree matching (dom.py). Over all pages of the host it is counted how often each slot holds each text; a text that at
+A host's wrapper is the slot trees of all its pages merged into one: of the distinct trees, those of most pages first, each
+adds the slots that simple tree matching (dom.py) leaves over. Every page of the host is aligned to it by the same matching. Over all pages of the host it is counted how often each slot holds each text; a text that at
 least `share` of the pages with the slot have there, and `least` pages or more, is constant: part of the template.
 Varying texts, and slots that match nothing, are content.
 
@@ -9,20 +9,22 @@ What varies is not all content: menus, adverts and footers change from page to p
 by its tag, class, id or role is no part of the article (NOT_TEXT) is never content, and where a page has an article or
 main element only slots within it are.
 
-The counts are aggregated with a combiner; wrappers and their constants are one row a host, joined to the pages by host
+Distinct trees and counts are aggregated with a combiner, a host's trees merged in 64 parts and these into one; wrappers and their constants are one row a host, joined to the pages by host
 (broadcast by Spark itself if small, else by shuffling, where a hot host's pages are split like any skewed join).
 
 Nulls: a null or empty html gives an empty text; pages with a null url or no host in it share the host ''. Repeated rows
-get the same text. Equal page_ids are ordered by their html. An empty table gives an empty result. Input columns other
+get the same text. An empty table gives an empty result. Input columns other
 than page_id, url and html are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -95,10 +97,21 @@ def text_hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode()) - (1 << 63)
 
 
-def _wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, wrapper, n): the pages' trees and how many pages have them."""
     for batch in batches:
-        trees = [dom.skeleton(dom.read(x.as_py() or "")[0]) for x in batch.column("html")]
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(trees, pa.string())], ["host", "wrapper"])
+        found = Counter(zip(batch.column("host").to_pylist(), (dom.skeleton(dom.read(x.as_py() or "")[0]) for x in batch.column("html")), strict=True))
+        hosts, trees = [h for h, _ in found], [t for _, t in found]
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(trees, pa.string()), pa.array(list(found.values()), pa.int64())], ["host", "wrapper", "n"])
+
+
+def _merged(shapes: pd.DataFrame) -> pd.DataFrame:
+    """The trees of one host merged into one, those of most pages first."""
+    shapes = shapes.sort_values(["n", "wrapper"], ascending=[False, True])
+    tree, *others = map(dom.rebuild, shapes["wrapper"])
+    for other in others:
+        dom.merge(tree, other)
+    return pd.DataFrame({"host": [shapes["host"].iloc[0]], "wrapper": [dom.skeleton(tree)], "n": [shapes["n"].sum()]})
 
 
 def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,8 +152,10 @@ def extract_text(pages: DataFrame, share: float = 0.9, least: int = 8) -> DataFr
     """page_id, url, text, n_chars."""
     pages = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     kind = pages.schema["page_id"].dataType.simpleString()
-    first = pages.groupBy("host").agg(F.min_by("html", F.struct(F.col("page_id").isNull(), "page_id", F.md5(F.coalesce("html", F.lit("")).cast("binary")))).alias("html"))
-    wrappers = materialize(first.mapInArrow(_wrap, "host string, wrapper string"), "wrappers")
+    shape = "host string, wrapper string, n long"
+    shapes = pages.select("host", "html").mapInArrow(_shapes, shape).groupBy("host", "wrapper").agg(F.sum("n").alias("n"))
+    parts = shapes.withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(64))).groupBy("host", "part").applyInPandas(lambda x: _merged(x), shape)
+    wrappers = materialize(parts.groupBy("host").applyInPandas(lambda x: _merged(x), shape).select("host", "wrapper"), "wrappers")
     seen = pages.join(wrappers, "host").select("host", "wrapper", "html").mapInArrow(_observe, "host string, slot int, text long")
     counts = materialize(seen.groupBy("host", "slot", "text").agg(F.count("*").alias("n")).where(F.col("n") >= least), "texts")
     have = counts.where("text = 0").select("host", "slot", F.col("n").alias("pages"))

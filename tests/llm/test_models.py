@@ -218,6 +218,16 @@ def test_constant_texts_are_template(spark):
     assert {r.page_id: r.text for r in wrappers.extract_text(df).collect()} == {i: f"Title {i}\nBody {i} text" for i in range(20)}
 
 
+@pytest.mark.parametrize("first", [None, "", "<html><body><section><h3>Oops</h3></section></body></html>"])
+def test_a_strange_first_page_and_two_layouts(spark, first):
+    body = lambda i: f"<div><h2>Title {i}</h2><p>Body {i} text</p></div><div><p>Follow us everywhere</p></div>"
+    other = lambda i: f"<table><tr><td>Row {i}</td><td>Terms apply</td></tr></table><section><h4>All rights</h4><p>Text {i}</p></section>"
+    rows = [(0, "http://c.org/", first)] + [page("c.org", i, body(i)) for i in range(1, 20)] + [page("c.org", i, other(i)) for i in range(20, 40)]
+    out = {r.page_id: r.text for r in wrappers.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[i] == f"Title {i}\nBody {i} text" for i in range(1, 20))
+    assert all("All rights" not in out[i] and f"Text {i}" in out[i] and f"Row {i}" in out[i] for i in range(20, 40))
+
+
 def test_tree_matching():
     a, _ = dom.read("<div><h1>x</h1><p>a</p><ul><li>1</li></ul><p>b</p></div>")
     b, _ = dom.read("<div><p>a</p><table><tr><td>1</td></tr></table><ul><li>1</li><li>2</li></ul></div>")
