@@ -173,3 +173,47 @@ def test_no_python_in_native_plans(spark, sf_dir):
     for name in ("op3_spaced_seed_decontamination", "op4_hash_tree_sharding", "op9_raked_mixing"):
         plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def plain_match(doc, item, least=13, similarity=0.8):
+    """The most agreeing tokens in any window that the definition allows, over all ways to lay the texts side by side."""
+    need, best = min(least, len(item)), 0
+    for at in range(1 - len(item), len(doc)):
+        low, high = max(0, -at), min(len(item), len(doc) - at)
+        agree = [doc[at + j] == item[j] for j in range(low, high)]
+        for i in range(len(agree)):
+            for size in range(need, min(2 * least - 1, len(agree) - i) + 1):
+                if sum(agree[i : i + size]) >= similarity * size:
+                    best = max(best, sum(agree[i : i + size]))
+    return best
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_leaks_against_all_windows(spark, most):
+    """Few words, so that everything meets everything; texts over several pieces, with runs and periods."""
+    rng = random.Random(9)
+    words = lambda n, k: [f"w{rng.randrange(k)}" for _ in range(n)]
+    items = [words(rng.choice([5, 8, 13, 30, 60]), 9) for _ in range(5)] + [["z"] * 40, ["z", "y"] * 15, ["w1"] * 6 + words(10, 9) + ["z"] * 30]
+    texts = [words(rng.randrange(1, 90), 9) for _ in range(10)] + [["z"] * 330, ["y", "z"] * 150 + ["w1"] * 9, words(120, 9) + items[2] + words(30, 9), ["a", "b", "c", "z"] * 70 + items[7][:20]]
+    df = docs(spark, [(i, " ".join(t), "en", "s") for i, t in enumerate(texts)])
+    got = {(r["__id"], r.item_id): r.matched for r in decontaminate.find_leaks(df, spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], BENCH), broadcast_rows=most).collect()}
+    expected = {(i, k): plain_match(t, x) for i, t in enumerate(texts) for k, x in enumerate(items)}
+    assert got == {pair: n for pair, n in expected.items() if n}
+
+
+def test_repeated_tokens_on_both_sides(spark):
+    """Texts of one token, of two in turn and of a table's row, 5,000 long: bounded work, and found."""
+    texts = ["0 " * 5000, "0 1 " * 2500, "a 0 0 | " * 1500, "0 " * 12]
+    df = docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    bench = spark.createDataFrame([(1, "0 " * 5000), (2, "a 0 0 " * 1500)], BENCH)
+    out = {r.doc_id: (r.n_items, r.matched) for r in decontaminate.flag_documents(df, bench).collect()}
+    assert out == {0: (1, 25), 1: (0, 0), 2: (1, 25), 3: (0, 0)}
+
+
+def test_clashing_columns_stay(spark):
+    rows = spark.createDataFrame([(1, ITEMS[0][1], "p", "q", "r"), (2, "clean", "s", "t", "u")], "doc_id long, text string, __id string, __text string, __hash string")
+    bench = spark.createDataFrame(ITEMS, BENCH)
+    kept = decontaminate.drop_contaminated(rows, bench)
+    assert [tuple(r) for r in kept.collect()] == [(2, "clean", "s", "t", "u")]
+    out = decontaminate.flag_documents(rows, bench, digest=False)
+    assert sorted((r.doc_id, r["__id"], r["__text"], r["__hash"], r.contaminated) for r in out.collect()) == [(1, "p", "q", "r", True), (2, "s", "t", "u", False)]
