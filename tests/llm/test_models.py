@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import time
 import re
 import zlib
 
@@ -237,6 +238,122 @@ def test_tree_matching():
     assert dom.skeleton(dom.rebuild(dom.skeleton(a))) == dom.skeleton(a)
 
 
+def weight_by_trying_all(x, y):
+    """The size of the largest order-preserving matching of two trees with equal root labels, by trying every way."""
+
+    def best(a, b):
+        if not a or not b:
+            return 0
+        out = max(best(a[1:], b), best(a, b[1:]))
+        if a[0].label == b[0].label:
+            out = max(out, weight_by_trying_all(a[0], b[0]) + best(a[1:], b[1:]))
+        return out
+
+    return 1 + best(x.kids, y.kids)
+
+
+def test_matching_is_largest():
+    rng = random.Random(8)
+
+    def tree(depth):
+        slot = dom.Slot(rng.choice("pqr"))
+        slot.kids = [tree(depth - 1) for _ in range(rng.randrange(4))] if depth else []
+        return slot
+
+    for _ in range(200):
+        a, b = tree(3), tree(3)
+        a.label = b.label = "#page"
+        na, nb = dom.number(a), dom.number(b)
+        got = dom.match(a, b)
+        assert len(got) == weight_by_trying_all(a, b)
+        assert all(na[i].label == nb[j].label for i, j in got.items())
+        assert sorted(got.items()) == sorted(zip(sorted(got), sorted(got.values()), strict=True))  # the order is kept
+
+
+def extracted(spark, rows):
+    return {r.page_id: r.text for r in wrappers.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_names_that_tell_of_something_else(spark):
+    """Classes of layouts, states and offsets do not shut what they stand on; those of the element itself do."""
+    article = "<h1>Head {i}</h1><p>First {i}</p><p>Second {i}</p>"
+    around = [
+        ("<body class='with-sidebar home'><article>", "</article></body>"), ("<div class='post has-comments'>", "</div>"), ("<main><div class='page-header-offset'><article>", "</article></div></main>"), ("<main><div class='page-header-offset'>", "</div></main>"),
+        ("<div id='sidebar-page-widget'>", "</div>"), ("<article><header><h1>Head {i}</h1><p>by somebody</p></header><p>First {i}</p><p>Second {i}</p>", "<footer>filed</footer></article>"), ("<div class='comments'><article>", "</article></div>"),
+    ]
+    noise = "<div class='left-sidebar'><p>Side</p></div><div class='comment-list'><p>{c}</p></div><div id='cookie-notice'>Ok?</div><div role='complementary'>more</div>"
+    rows = [(i, f"http://h{i}.org/", f"<html>{a}{article if 'Second' not in a else ''}{b}{noise}</html>".replace("{i}", str(i)).replace("{c}", "long comment " * 40)) for i, (a, b) in enumerate(around)]
+    assert extracted(spark, rows) == {i: f"Head {i}\nFirst {i}\nSecond {i}" for i in range(len(around))}
+
+
+def test_small_hosts_copies_and_whole_templates(spark):
+    """Three pages are enough to see a template; copies of one page are not three, and a page that is template throughout is left whole."""
+    text = lambda i: f"<div><p>Own {i}</p></div><div><p>Follow us</p></div>"
+    rows = [page("three.org", i, text(i)) for i in range(3)] + [page("two.org", 10 + i, text(i)) for i in range(2)] + [page("copies.org", 20 + i, text(0)) for i in range(9)]
+    out = extracted(spark, rows)
+    assert [out[i] for i in range(3)] == ["Own 0", "Own 1", "Own 2"]
+    assert [out[i] for i in (10, 11)] == ["Own 0\nFollow us", "Own 1\nFollow us"]
+    assert {out[i] for i in range(20, 29)} == {"Own 0\nFollow us"}
+
+
+def test_deep_long_and_broken_pages(spark):
+    """Time in proportion to the page: 5,000 levels, 10 MB of tags that never end, quotes that never close."""
+    deep = "<div>" * 5000 + "deep" + "</div>" * 5000
+    rows = [(1, "http://a.org/1", deep), (2, "http://a.org/2", deep.replace("deep", "other")), (3, "http://b.org", "<a " * 3_300_000), (4, "http://b.org", "<p>one" + "<i x=\"'>" * 50_000 + "two"), (5, "http://b.org", "</li>" * 200_000 + "<li>" * 2000 + "end")]
+    rows += [(6, "http://c.org", "<p>a</p><p class='x>b</p><p>c</p>"), (7, "http://d.org", "5 < 6 <p>and 7 > 6"), (8, "http://e.org", "<p>" + "word " * 1_000_000)]
+    began = time.time()
+    out = extracted(spark, rows)
+    assert time.time() - began < 60
+    assert (out[1], out[2], out[5]) == ("deep", "other", "end")
+    assert (out[6], out[7], out[8]) == ("a\nb\nc", "5 < 6\nand 7 > 6", ("word " * 1_000_000).strip())
+    assert out[4].startswith("one") and out[4].endswith("two")
+
+
+def plain_extract(rows, share=0.9, least=3):
+    """The rule said once more, page by page and in memory."""
+    hosts = collections.defaultdict(list)
+    for i, url, html in rows:
+        hosts[url.split("/")[2]].append((i, wrappers.Page(html)))
+    out = {}
+    for pages in hosts.values():
+        n = collections.Counter(dom.skeleton(p.root) for _, p in pages)
+        tree, *others = [dom.rebuild(t) for t in sorted(n, key=lambda t: (-n[t], t))]
+        for other in others:
+            dom.merge(tree, other)
+        dom.number(tree)
+        at = {i: dom.match(p.root, tree) for i, p in pages}
+        held, have = collections.defaultdict(set), collections.defaultdict(set)
+        for i, p in pages:
+            whole = tuple(t for s, t in p.blocks if not p.shut[s])
+            for s, t in p.blocks:
+                if not p.shut[s] and s in at[i]:
+                    held[at[i][s], t].add(whole)
+                    have[at[i][s]].add(whole)
+        constant = {k for k, v in held.items() if len(v) >= least and len(v) >= share * len(have[k[0]])}
+        for i, p in pages:
+            own = [(at[i].get(s), t) for s, t in p.blocks if not p.shut[s]]
+            out[i] = "\n".join([t for s, t in own if (s, t) not in constant] or [t for _, t in own])
+    return out
+
+
+def test_extraction_against_a_plain_version(spark):
+    rng = random.Random(12)
+    words = lambda n: " ".join(rng.choice(["red", "green", "blue", "up", "down"]) + str(rng.randrange(40)) for _ in range(n))
+    rows, truth = [], {}
+    for h in range(12):
+        constant = [words(6) for _ in range(4)]
+        for k in range(rng.choice([2, 3, 5, 12])):
+            i = len(rows)
+            own = [words(9) for _ in range(rng.randrange(1, 5))]
+            truth[i] = "\n".join(own)
+            rest = "".join(f"<section class='s{"abcd"[j]}'><h4>{c}</h4></section>" for j, c in enumerate(constant) if rng.random() < 0.95)
+            rows.append((i, f"http://h{h}.org/{i}", f"<html><body class='no-sidebar'><nav>{words(3)}</nav><div>{''.join(f'<p>{t}</p>' for t in own)}</div>{rest}<div class='ad'>{words(4)}</div></body></html>"))
+    out = extracted(spark, rows)
+    assert out == plain_extract(rows)
+    large = [i for i, url, _ in rows if sum(u.split("/")[2] == url.split("/")[2] for _, u, _ in rows) == 12]
+    assert large and sum(out[i] == truth[i] for i in large) >= 0.9 * len(large)
+
+
 # --- token counts ---
 def test_token_counts(spark):
     texts = ["One line\nsecond line\n\n\nthird 日本語 line", "", None, "\n\nstarts late", "emoji 😀😀\nxé", "x" * 3000 + "\n" + "word " * 2000]
