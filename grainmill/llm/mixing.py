@@ -7,10 +7,11 @@ raked weight over its own; a document stays with the probability min(1, scale *
 and text. The scale is found by water-filling so that the expected tokens are `keep` of all. A factor that is cut off at
 1 leaves its cell under target: documents are never repeated.
 
-Targets default to tempered shares, tokens ** alpha. A category without a given target keeps its own share.
-Nulls in source or language form a category of their own; a null or empty text has no tokens and counts as one, so its
+The topic is the column `topic` of the input; where there is none, the text's form stands in for it (topic_of). Targets
+default to tempered shares, tokens ** alpha. A category without a given target keeps its own share.
+Nulls in source, language or topic form a category of their own; a null or empty text has no tokens and counts as one, so its
 cell never divides by 0. Repeated rows get the same verdict. An empty table gives an empty result. Input columns named
-like the output are replaced.
+like the output, but for topic, are replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, id_text, materialize, unit, without
+from .common import WORD, id_text, materialize, unit, unused, without
 
 DIMS = ("source", "lang", "topic")
 #: A cells table of more rows is joined by shuffling.
@@ -75,22 +76,26 @@ def mix_documents(docs: DataFrame, targets: dict[str, dict[str, float]] | None =
 
     digest=True leaves out the text; else all columns of docs stay and the verdict is added.
     """
-    docs = without(docs, "n_tokens", "topic", "weight", "probability", "kept", "__u")
+    docs = without(docs, "n_tokens", "weight", "probability", "kept")
     text = F.coalesce(F.col("text"), F.lit(""))
     wide = docs.withColumn("n_tokens", F.greatest(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(1).cast("long")))
-    wide = wide.withColumn("topic", topic_of(text, F.col("n_tokens"))).withColumn("__u", unit(F.lit("mix:"), id_text(), F.lit(":"), F.md5(text.cast("binary"))))
+    if "topic" not in docs.columns:
+        wide = wide.withColumn("topic", topic_of(text, F.col("n_tokens")))
+    u = unused(docs, "__u")
+    wide = wide.withColumn(u, unit(F.lit("mix:"), id_text(), F.lit(":"), F.md5(text.cast("binary"))))
     if digest:
-        wide = wide.select("doc_id", "source", "lang", "topic", "n_tokens", "__u")
+        wide = wide.select("doc_id", "source", "lang", "topic", "n_tokens", u)
     wide = materialize(wide, "mixed") if digest else wide
     cells = materialize(wide.groupBy(*DIMS).agg(F.sum("n_tokens").cast("double").alias("w0")), "cells")
     fit = materialize(probabilities(rake(cells, sweeps, alpha, targets), keep), "calibrated")
     total = F.sum("w0").over(Window.partitionBy())
-    fit = fit.select(*[F.col(d).alias(f"__{d}") for d in DIMS], F.round(F.col("factor") * total, 9).alias("weight"), F.col("p"))
+    p, other = unused(docs, "__p"), [unused(docs, f"__{d}") for d in DIMS]
+    fit = fit.select(*[F.col(d).alias(x) for d, x in zip(DIMS, other, strict=True)], F.round(F.col("factor") * total, 9).alias("weight"), F.col("p").alias(p))
     if fit.count() <= BROADCAST_CELLS:
         fit = F.broadcast(fit)
-    same = [wide[d].eqNullSafe(fit[f"__{d}"]) for d in DIMS]
-    out = wide.join(fit, same[0] & same[1] & same[2]).withColumn("probability", F.round("p", 9)).withColumn("kept", F.col("__u") < F.col("p"))
-    return out.drop("__u", "p", *[f"__{d}" for d in DIMS])
+    same = [wide[d].eqNullSafe(fit[x]) for d, x in zip(DIMS, other, strict=True)]
+    out = wide.join(fit, same[0] & same[1] & same[2]).withColumn("probability", F.round(p, 9)).withColumn("kept", F.col(u) < F.col(p))
+    return out.drop(u, p, *other)
 
 
 def mix_sql(alpha: float, keep: float, sweeps: int) -> str:

@@ -13,11 +13,14 @@ are a candidate if they meet in `matches` of the `coordinates` or more:
 - skip: a posting list is not expanded into all its pairs. In a round every class of a list meets the list's hubs only;
   confirmed links are merged into components, and members of one component are skipped from then on. When the lists
   have little left between components, what is left is joined in full, so no link between components is lost; this
-  join's condition counts the collisions and compares sketches of the sets, so it gives out hardly more than links.
+  join's condition counts the collisions and compares sketches of the sets, so it gives out hardly more than links. A
+  list of more than LIST classes is dealt into blocks, which meet two by two in cells of their own.
 
 Candidates with `matches` collisions or more are confirmed on the full shingle sets of both whole texts. At 80 percent
-a pair right at the limit is missed with probability 3e-4, one of 84 percent with 5e-6, unless other links join their
-components.
+a pair right at the limit is missed with probability 3e-4 (sets of 9 or 10 shingles: 9e-4), one of 84 percent with 5e-6,
+unless other links join their components; the sketches lose another 3e-7 at most. Short texts, for which two coordinates
+agree less often, are joined exactly beside that: where the smaller set has so few shingles that a link of two sets means
+that one holds the other (8 at 80 percent), sets are looked up under what is left of larger ones less one or two shingles.
 
 Shingles are compared by 64-bit hashes, sets of a class by two. Nulls: a null, empty or blank text has an empty set and
 is linked with nothing; a null doc_id comes before all others. Rows of one id with different texts are different
@@ -62,6 +65,12 @@ def shingles(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(doc, np.arange(n + 1))
 
 
+def _less(total: np.uint64, parts: np.ndarray) -> list[int]:
+    """The sum of a set's hashes less each one, then less each two."""
+    a, b = np.triu_indices(len(parts), 1)
+    return signed(np.concatenate((total - parts, total - parts[a] - parts[b]))).tolist()
+
+
 def _sign(batches: Iterator[pa.RecordBatch], size: int, coordinates: int) -> Iterator[pa.RecordBatch]:
     random = np.random.default_rng(20_240_601)
     masks = random.integers(0, 1 << 32, coordinates, dtype=np.uint32)
@@ -83,12 +92,18 @@ def _sign(batches: Iterator[pa.RecordBatch], size: int, coordinates: int) -> Ite
                     v[v == np.repeat(least, sizes)] = np.iinfo(np.uint32).max
                     both = least.astype(np.uint64) << np.uint64(32) | np.minimum.reduceat(v, at)
                     signature[:, k] = signed(mix(both + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15 >> 8)))
-                s1[some], s2[some] = np.add.reduceat(mix(h), at), np.add.reduceat(mix(h ^ np.uint64(0x9E3779B97F4A7C15)), at)
+                m1, m2 = mix(h), mix(h ^ np.uint64(0x9E3779B97F4A7C15))
+                s1[some], s2[some] = np.add.reduceat(m1, at), np.add.reduceat(m2, at)
+            less: list[tuple[list[int], list[int]]] = [([], [])] * len(n)
+            for i in np.flatnonzero((n > 4) & (n <= SMALL + 2)).tolist() if len(some) else ():
+                mine = slice(first[i], first[i + 1])
+                less[i] = (_less(s1[i], m1[mine]), _less(s2[i], m2[mine]))
             full = np.concatenate(([0], np.cumsum(n > 0)))
             rows = batch.slice(block.lo, block.hi - block.lo)
             columns = [rows.column("doc_id"), rows.column("__doc"), pa.array(n), pa.array(signed(s1)), pa.array(signed(s2))]
             columns.append(arrays(signature.ravel(), full * coordinates, pa.int64()))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "__doc", "n", "s1", "s2", "signature"])
+            columns += [pa.array([x[k] for x in less], pa.list_(pa.int64())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "__doc", "n", "s1", "s2", "signature", "less1", "less2"])
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -133,6 +148,19 @@ def _confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iter
 
 #: Most hashes in a sketch.
 SKETCH = 512
+#: Classes of a block of a posting list.
+LIST = 4096
+#: Sets of so many shingles or fewer are looked up whole under larger ones less one or two.
+SMALL = 8
+
+
+def small_links(classes: DataFrame, percent: int) -> DataFrame:
+    """(u, v): links of a set of SMALL shingles or fewer and one that holds it and one or two more, by the sums of their hashes."""
+    own = classes.where(F.col("n") <= SMALL).select(F.col("rep").alias("a"), "n", "s1", "s2")
+    parts = classes.where(F.size("less1") > 0).select(F.col("rep").alias("b"), F.col("n").alias("whole"), F.posexplode(F.arrays_zip("less1", "less2")).alias("k", "x"))
+    parts = parts.select("b", "whole", (F.col("whole") - F.when(F.col("k") < F.col("whole"), 1).otherwise(2)).alias("n"), F.col("x.less1").alias("s1"), F.col("x.less2").alias("s2"))
+    parts = parts.where(100 * F.col("n") >= percent * F.col("whole"))
+    return own.join(parts, ["n", "s1", "s2"]).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
 
 class _Search:
@@ -180,11 +208,16 @@ class _Search:
         size = self.size
         sketches = self.texts.join(lists.select("rep").distinct(), "rep", "left_semi").mapInArrow(lambda it: _sketch(it, size), "rep long, sketch array<int>")
         whole = lists.join(self.live.select("rep", F.transform("pairs", lambda x: F.hash(x)).alias("p")), "rep").join(sketches, "rep").withColumn("h", F.hash("pair"))
-        side = lambda x: whole.select("pair", "h", F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}"), F.col("p").alias(f"p_{x}"), F.col("sketch").alias(f"s_{x}"))
+        long = lists.groupBy("pair").agg(F.ceil(F.count("*") / LIST).alias("blocks")).where("blocks > 1")
+        dealt = whole.join(long, "pair", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        whole = dealt.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+        side = lambda x: whole.select("pair", "x", "y", F.col("block").alias(f"b_{x}"), "h", F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}"), F.col("p").alias(f"p_{x}"), F.col("sketch").alias(f"s_{x}"))
         u, v = side("u"), side("v")
         near = (F.col("u") < F.col("v")) & (F.col("c_u") != F.col("c_v")) & (100 * F.least("n_u", "n_v") >= self.percent * F.greatest("n_u", "n_v"))
         first = F.get(F.array_intersect(self.prefix("p_u"), self.prefix("p_v")), F.lit(0)) == u["h"]
-        return u.join(v, (u["pair"] == v["pair"]) & near & first & self.meet() & self.alike()).select("u", "v")
+        cell = (u["pair"] == v["pair"]) & (u["x"] == v["x"]) & (u["y"] == v["y"]) & ((F.col("b_u") != F.col("b_v")) | (u["x"] == u["y"]))
+        return u.join(v, cell & near & first & self.meet() & self.alike()).select("u", "v")
 
     def meet(self) -> Column:
         """Whether the sides u and v meet in enough of the posted coordinates."""
@@ -192,13 +225,13 @@ class _Search:
 
     def alike(self) -> Column:
         """Whether the sketches of u and v allow a link: the sets themselves (less one for hashes that fall together) if they
-        are no larger than a sketch, else the least hashes of their union, 3.5 deviations below the limit."""
+        are no larger than a sketch, else the least hashes of their union, 5 deviations below the limit."""
         common = F.array_intersect("s_u", "s_v")
         both, sizes = F.size(common), F.size("s_u") + F.size("s_v")
         whole = 100 * (both + 1) >= self.percent * (sizes - both - 1)
         share = F.size(F.array_intersect(F.slice(F.array_sort(F.array_union("s_u", "s_v")), 1, SKETCH), common)) / F.lit(float(SKETCH))
         limit = self.percent / 100
-        return F.when((F.size("s_u") < SKETCH) & (F.size("s_v") < SKETCH), whole).otherwise(share >= limit - 3.5 * (limit * (1 - limit) / SKETCH) ** 0.5)
+        return F.when((F.size("s_u") < SKETCH) & (F.size("s_v") < SKETCH), whole).otherwise(share >= limit - 5 * (limit * (1 - limit) / SKETCH) ** 0.5)
 
     def left_over(self, lists: DataFrame) -> tuple[int, int]:
         """Pairs between components that the lists still hold, and the lists' rows."""
@@ -231,11 +264,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, coordi
     """
     docs = with_row_ids(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed_docs = docs.mapInArrow(lambda it: _sign(it, shingle, coordinates), f"doc_id {kind}, __doc long, n long, s1 long, s2 long, signature array<long>")
+    signed_docs = docs.mapInArrow(lambda it: _sign(it, shingle, coordinates), f"doc_id {kind}, __doc long, n long, s1 long, s2 long, signature array<long>, less1 array<long>, less2 array<long>")
     signed_docs = materialize(signed_docs, "signatures")
-    classes = signed_docs.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("__doc").alias("rep"), F.first("signature").alias("signature"))
+    classes = signed_docs.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("__doc").alias("rep"), *[F.first(c).alias(c) for c in ("signature", "less1", "less2")])
     classes = materialize(classes, "classes")
     search = _Search(classes, packed(docs), shingle, percent, matches)
+    search.links = materialize(small_links(classes, percent), "small")
     found = None
     lists = search.labelled(None)
     for turn in range(rounds):
@@ -250,6 +284,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, coordi
     if search.left_over(lists)[0]:
         search.confirm(search.all_pairs(lists))
         found = components(search.links)
+    if found is None and search.links.limit(1).count():
+        found = components(search.links)
     members = signed_docs.select("doc_id", "__doc", "n", "s1", "s2").join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"], "left")
     if found is not None:
         members = members.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
@@ -277,12 +313,14 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
 
     Documents without words are in no group and stay.
     """
-    found = near_duplicates(docs, **options)
+    names = [c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)]  # the input may have columns named like ours
+    plain = docs.toDF(*names)
+    found = near_duplicates(plain, **options)
     gone = materialize(found.where("__doc <> __component").select("__doc").distinct(), "copies")
-    rows = with_row_ids(docs, whole=True)
-    if most_repeats(docs) > 1:
+    rows = with_row_ids(plain, whole=True)
+    if most_repeats(plain) > 1:
         rows = rows.dropDuplicates(["__doc"])
-    return rows.join(gone, "__doc", "left_anti").select(*docs.columns)
+    return rows.join(gone, "__doc", "left_anti").select(*names).toDF(*docs.columns)
 
 
 def components_sql(percent: int = 80) -> str:

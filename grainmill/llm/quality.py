@@ -1,7 +1,7 @@
 """Operator 5: quality rules from gradient-boosted trees over document statistics.
 
 Statistics of the whole text are computed a block of documents at a time in numpy; the trees are fitted on the driver on
-a bounded sample of labelled documents (`sample` rows of `labels`, those of the least hash of their id), flattened into
+a bounded sample of labelled documents (`sample` of them, those of the least hash of id, label and text), flattened into
 node arrays and broadcast. Nothing is shuffled: each task reads its documents, measures, scores and writes them.
 
 A document is rejected if it fails the base rules (fewer than 20 words, or over 30 % of the words in 8-word windows that
@@ -30,7 +30,7 @@ from .common import without
 #: Name and direction of each feature.
 FEATURES = {
     "log_words": 0, "word_length": 0, "symbols_per_word": -1, "dup_line_share": -1, "repeat_share": -1, "upper_share": -1,
-    "digit_share": 0, "stop_share": 0, "distinct_share": 0, "words_per_line": 0, "longest_word": 0, "bar_share": -1, "mark_share": 0,
+    "digit_share": 0, "stop_share": 0, "distinct_share": 0, "words_per_line": 0, "log_longest_word": 0, "bar_share": -1, "mark_share": 0,
 }
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 OUT = (*BASE, "base_failed", "kept", "p_good")
@@ -94,7 +94,7 @@ def measure(block: Block) -> tuple[dict[str, np.ndarray], np.ndarray]:
     features = np.stack(
         [
             np.log1p(n_words), base["word_chars"] / w, base["n_symbols"] / w, base["n_dup_lines"] / np.maximum(n_lines, 1), base["n_repeat_words"] / w, per_doc(_UPPER[data]) / chars,
-            per_doc(_DIGIT[data]) / chars, per_doc(_STOP[data]) / w, 1 - np.bincount(doc_of[again], minlength=n) / w, n_words / np.maximum(n_lines, 1), np.minimum(longest, 200), per_doc(data == 124) / w, per_doc(_MARK[data]) / w,
+            per_doc(_DIGIT[data]) / chars, per_doc(_STOP[data]) / w, 1 - np.bincount(doc_of[again], minlength=n) / w, n_words / np.maximum(n_lines, 1), np.log1p(longest), per_doc(data == 124) / w, per_doc(_MARK[data]) / w,
         ],
         1,
     )
@@ -102,11 +102,12 @@ def measure(block: Block) -> tuple[dict[str, np.ndarray], np.ndarray]:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(x, y, place): the features, the label and the row's place in the order of the sample."""
     for batch in batches:
         for block in blocks(batch.column("text")):
             _, x = measure(block)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([flat, batch.column("y").slice(block.lo, block.hi - block.lo)], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([flat, *(batch.column(c).slice(block.lo, block.hi - block.lo) for c in ("y", "place"))], ["x", "y", "place"])
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> boosting.Forest | None:
@@ -115,8 +116,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> boo
     chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", (F.col("quality") > 0).cast("double").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
     ids = spark.createDataFrame(chosen.toArrow())  # `sample` rows at most
-    joined = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y")
-    got = joined.mapInArrow(_features, "x array<double>, y double").limit(2 * sample).toArrow()
+    joined = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y", F.xxhash64("doc_id", "y", "text").alias("place"))
+    got = joined.mapInArrow(_features, "x array<double>, y double, place long").orderBy("place").limit(sample).toArrow()  # ids may repeat in docs
     y = got.column("y").to_numpy()
     if not len(y) or y.min() == y.max():
         return None

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .blocks import BLOCK, Block, mix
 
@@ -34,9 +35,11 @@ def with_row_ids(docs: DataFrame, whole: bool = False) -> DataFrame:
     """(doc_id, text, __doc), or all columns and __doc: a long for each document, in the order of doc_id; a null id comes first.
 
     Where ids repeat, rows of one id are numbered by their text's hash (equal texts alike), so that different texts are
-    different documents; doc_id * repeats must then fit a long.
+    different documents; doc_id * repeats must then fit a long. Other types of doc_id than whole numbers are an error.
     """
     docs = docs if whole else docs.select("doc_id", "text")
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError("doc_id must be a whole number: documents are ordered by it")
     most = most_repeats(docs)
     if most <= 1:
         return docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))

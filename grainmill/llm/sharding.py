@@ -39,20 +39,22 @@ def _inner(name: str, children: tuple[Node, ...]) -> Node:
 
 
 def hash_tree(shards: int, base: int = 24, regions: int = 2, racks: int = 3, weights: dict[int, float] | None = None) -> Node:
-    """The tree of so many shards: the first `base` dealt over regions and racks, each later one an annex region."""
+    """The tree of so many shards: the first `base` dealt over regions and racks, each later one an annex region. A shard of weight 0 takes no rows."""
     w = weights or {}
+    if any(not 0 <= x < float("inf") for x in w.values()) or not any(w.get(s, 1.0) > 0 for s in range(shards)):
+        raise ValueError("weights must be 0 or more, and one of them above 0")
     leaf = lambda s: Node(f"s{s}", float(w.get(s, 1.0)), (), s)
     first = min(base, shards)
     top = []
     for r in range(regions):
         inner = []
         for k in range(racks):
-            own = tuple(leaf(s) for s in range(first) if s % regions == r and s // regions % racks == k)
+            own = tuple(leaf(s) for s in range(first) if s % regions == r and s // regions % racks == k and w.get(s, 1.0) > 0)
             if own:
                 inner.append(_inner(f"r{r}k{k}", own))
         if inner:
             top.append(_inner(f"r{r}", tuple(inner)))
-    top += [_inner(f"a{s}", (_inner(f"a{s}k0", (leaf(s),)),)) for s in range(first, shards)]
+    top += [_inner(f"a{s}", (_inner(f"a{s}k0", (leaf(s),)),)) for s in range(first, shards) if w.get(s, 1.0) > 0]
     return _inner("root", tuple(top))
 
 

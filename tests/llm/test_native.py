@@ -217,3 +217,21 @@ def test_clashing_columns_stay(spark):
     assert [tuple(r) for r in kept.collect()] == [(2, "clean", "s", "t", "u")]
     out = decontaminate.flag_documents(rows, bench, digest=False)
     assert sorted((r.doc_id, r["__id"], r["__text"], r["__hash"], r.contaminated) for r in out.collect()) == [(1, "p", "q", "r", True), (2, "s", "t", "u", False)]
+
+
+def test_given_topics_are_raked(spark):
+    rows = [(i, "a b c d " * 20, "en", "x", "rare" if i % 10 == 0 else "common") for i in range(2000)] + [(5000, "a b", "en", "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic string")
+    out = mixing.mix_documents(df, targets={"topic": {"rare": 0.5, "common": 0.5}}, keep=0.15)
+    n = {r.topic: r["count"] for r in out.where("kept").groupBy("topic").count().collect()}
+    assert {r.topic for r in out.collect()} == {"rare", "common", None} and abs(n["rare"] - n["common"]) < 60
+    whole = mixing.mix_documents(df, digest=False)
+    assert whole.columns[:5] == df.columns
+
+
+def test_shards_of_no_weight(spark):
+    out = sharding.shard_documents(docs(spark, [(i, "t", "en", "s") for i in range(500)]), weights={3: 0.0, 7: 0.0}).collect()
+    assert not {3, 7} & {r.shard for r in out} and len(out) == 500
+    for bad in ({1: -1.0}, dict.fromkeys(range(24), 0.0)):
+        with pytest.raises(ValueError, match="weights"):
+            sharding.hash_tree(24, weights=bad)

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import types as T
 
 from grainmill.llm import components, near_dedup
@@ -98,3 +99,28 @@ def test_components(spark):
         parent[max(x, y)] = min(x, y)
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {x: find(x) for x in got} and {x for a, b in links if a != b for x in (a, b)} == set(got)
+
+
+def test_short_texts_and_blocks_of_lists(spark, monkeypatch):
+    """All sets of 1 to 11 shingles near the limit, each link missed or met alone; posting lists in blocks of three."""
+    monkeypatch.setattr(near_dedup, "LIST", 3)
+    rng = random.Random(6)
+    rows, at = [(0, "a b"), (1, "a b c")], 10
+    for n in range(3, 13):
+        for _ in range(25):
+            words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            rows += [(at, " ".join(words)), (at + 1, " ".join(words + ["x"])), (at + 2, " ".join(["y", *words, "x"])), (at + 3, " ".join(["z", "z2", *words]))]
+            at += 4
+    core = [f"c{k}" for k in range(60)]
+    rows += [(90_000 + k, " ".join(core + [f"t{rng.randrange(400)}" for _ in range(rng.randrange(8, 40))])) for k in range(80)]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(frame(spark, rows), rounds=0).collect()}
+    assert got == plain(rows)
+
+
+def test_clashing_columns_and_other_ids(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    df = spark.createDataFrame([(2, text, "p", 1), (1, text, "q", 2)], "doc_id long, text string, __doc string, n int")
+    kept = near_dedup.keep_first(df)
+    assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(1, text, "q", 2)]
+    with pytest.raises(TypeError, match="whole number"):
+        near_dedup.near_duplicates(spark.createDataFrame([("a", text)], "doc_id string, text string"))
