@@ -7,16 +7,21 @@ children, the contexts one byte longer, from the deepest level up:
     Pw(c) = (KT(c) + prod Pw(xc)) / 2,  and Pw(c) = KT(c) at the deepest level.
 
 Trained once, the tree is fixed, so each node's share KT / (2 Pw) gives the weight of its own estimate against its
-subtree's, and every (context, byte) has one probability. They are laid out as a table of log10 probabilities, a row for
-each kept context, for scoring by plain lookups: whole steps of 1/2000, rounded down so that they never sum to more than
-1. Contexts that the caller dropped as too rare are missing from the levels; what they saw enters their parent's product
-as one more leaf. A path of contexts ends where no training data went.
+subtree's, and every (context, byte) has one probability. They are laid out as a table of log10 probabilities, a row of
+256 floats for each kept context, for scoring by plain lookups. Contexts that the caller dropped as too rare are missing
+from the levels; what they saw enters their parent's product as one more leaf. A path of contexts ends where no training
+data went.
+
+The contexts that end in the same bytes are a subtree of their own: climb() gives its root's weighted probabilities,
+descend() its rows from what stands above it. So a tree can be fitted subtree by subtree (scoring.py), or whole
+(ContextTree).
 """
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Iterator
 
+import numpy as np
 
 _LOGS = 64
 _HALF = np.concatenate(([0.0], np.cumsum(np.log(np.arange(_LOGS) + 0.5))))
@@ -95,93 +100,128 @@ class Places:
         return out
 
 
-class ContextTree:
-    """levels[d]: codes of d context bytes and the next one (oldest first, one big-endian number, ascending) with their
-    counts, for the kept contexts of d bytes; the suffixes of a kept context must be kept."""
+class Level:
+    """The kept contexts of one depth (keys, ascending) and the counts of the bytes after them.
 
-    CHUNK = 2048
-    STEPS = 2000
+    codes: contexts with the next byte (oldest first, one big-endian number), ascending.
+    """
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
-        self.depth = len(levels) - 1
-        self.keys, self._level = [], []
-        for codes, counts in levels:
-            codes = codes.astype(np.uint64)
-            keys, rows = np.unique(codes >> np.uint64(8), return_inverse=True)
-            self.keys.append(keys)
-            self._level.append((rows, (codes & np.uint64(255)).astype(np.int64), counts))
-        self.base = np.concatenate(([0], np.cumsum([len(k) for k in self.keys])))
-        self._fit()
-        self.places = Places(np.concatenate([self._marked(d, k) for d, k in enumerate(self.keys)]))
-
-    @staticmethod
-    def _marked(d: int, codes: np.ndarray) -> np.ndarray:
-        """Contexts of all depths as distinct keys: a one above the bytes."""
-        return codes & np.uint64((1 << 8 * d) - 1) | np.uint64(1 << 8 * d)
-
-    def _counts(self, d: int, lo: int, hi: int) -> np.ndarray:
+    def __init__(self, codes: np.ndarray, counts: np.ndarray):
+        codes = codes.astype(np.uint64)
+        self.keys, self.rows = np.unique(codes >> np.uint64(8), return_inverse=True)
+        self.byte, self.n = (codes & np.uint64(255)).astype(np.int64), counts
+
+    def counts(self, lo: int, hi: int) -> np.ndarray:
+        """Counts (hi - lo, 256) of the contexts lo .. hi - 1."""
         out = np.zeros((hi - lo, 256))
-        rows, byte, n = self._level[d]
-        a, b = np.searchsorted(rows, [lo, hi])
-        out[rows[a:b] - lo, byte[a:b]] = n[a:b]
+        a, b = np.searchsorted(self.rows, [lo, hi])
+        out[self.rows[a:b] - lo, self.byte[a:b]] = self.n[a:b]
         return out
 
-    def _fit(self) -> None:
-        if not len(self.keys[0]):  # no training data: the root alone, with no counts
-            self.keys[0], self.base = np.zeros(1, np.uint64), self.base + (np.arange(len(self.base)) > 0)
-        parents = [None] + [np.searchsorted(self.keys[d - 1], self.keys[d] & np.uint64((1 << 8 * (d - 1)) - 1)) for d in range(1, self.depth + 1)]
-        below = below_counts = None
-        share: dict[int, np.ndarray] = {}
-        for d in range(self.depth, -1, -1):  # up: what share a node's own estimate has
-            size = len(self.keys[d])
-            up = np.zeros((len(self.keys[d - 1]), 255)) if d else None
-            up_counts = np.zeros((len(self.keys[d - 1]), 256)) if d else None
-            own_share = np.empty((size, 255), np.float32) if d < self.depth else None
-            for lo in range(0, size, self.CHUNK):
-                hi = min(size, lo + self.CHUNK)
-                c = self._counts(d, lo, hi)
-                kt = log_kt(*bit_nodes(c))
-                if d == self.depth:
-                    weighted = kt
-                else:
-                    rest = log_kt(*bit_nodes(np.maximum(c - below_counts[lo:hi], 0)))
-                    weighted = np.logaddexp(kt, below[lo:hi] + rest) - np.log(2)
-                    own_share[lo:hi] = np.exp(np.minimum(0, kt - np.log(2) - weighted))
-                if d:
-                    np.add.at(up, parents[d][lo:hi], weighted)
-                    np.add.at(up_counts, parents[d][lo:hi], c)
-            share[d], below, below_counts = own_share, up, up_counts
-        self.table = np.empty((int(self.base[-1]), 256), np.int16)
-        acc = left = last = None
-        for d in range(self.depth + 1):  # down: what all ancestors and the node say together
-            size = len(self.keys[d])
-            keep = d < self.depth
-            a2, l2, f2 = (np.empty((size, 255), np.float32) for _ in range(3)) if keep else (None,) * 3
-            for lo in range(0, size, self.CHUNK):
-                hi = min(size, lo + self.CHUNK)
-                zeros, ones = bit_nodes(self._counts(d, lo, hi))
-                own = (ones + 0.5) / (zeros + ones + 1)
-                p = parents[d][lo:hi] if d else None
-                a0, l0, f0 = (acc[p], left[p], last[p]) if d else (np.zeros_like(own), np.ones_like(own), np.full_like(own, 0.5))
-                w = share[d][lo:hi] if keep else np.ones_like(own)
-                some = zeros + ones > 0
-                a, rest = np.where(some, a0 + l0 * w * own, a0), np.where(some, l0 * (1 - w), l0)
-                final = np.clip(np.where(some, a + rest * own, f0), 1e-9, 1 - 1e-9)
-                self.table[self.base[d] + lo : self.base[d] + hi] = np.floor(np.maximum(byte_log10(final) * self.STEPS, -32768)).astype(np.int16)
-                if keep:
-                    a2[lo:hi], l2[lo:hi], f2[lo:hi] = a, rest, final
-            acc, left, last = a2, l2, f2
-        del self._level
+
+CHUNK = 2048
+
+
+def _parents(levels: list[Level], k: int, depth: int) -> np.ndarray:
+    """For each context of level k (`depth` bytes), the place of the one without its oldest byte in level k - 1."""
+    return np.searchsorted(levels[k - 1].keys, levels[k].keys & np.uint64((1 << 8 * (depth - 1)) - 1))
+
+
+def climb(levels: list[Level], depth: int, below: np.ndarray | None = None, below_counts: np.ndarray | None = None) -> tuple[list[np.ndarray | None], np.ndarray, np.ndarray]:
+    """Up from the deepest of consecutive levels, the first of `depth` bytes: the share that each node's own estimate has, by
+    level (None at the tree's deepest), and the first level's weighted log probabilities and counts.
+
+    below, below_counts: the sums of these over the children of the last level's contexts; None if it is the tree's deepest.
+    """
+    shares: list[np.ndarray | None] = [None] * len(levels)
+    for k in range(len(levels) - 1, -1, -1):
+        size = len(levels[k].keys)
+        weighted, counts = np.empty((size, 255)), np.empty((size, 256))
+        inner = below is not None
+        if inner:
+            shares[k] = np.empty((size, 255), np.float32)
+        for lo in range(0, size, CHUNK):
+            hi = min(size, lo + CHUNK)
+            c = levels[k].counts(lo, hi)
+            kt = log_kt(*bit_nodes(c))
+            if inner:
+                rest = log_kt(*bit_nodes(np.maximum(c - below_counts[lo:hi], 0)))
+                weighted[lo:hi] = np.logaddexp(kt, below[lo:hi] + rest) - np.log(2)
+                shares[k][lo:hi] = np.exp(np.minimum(0, kt - np.log(2) - weighted[lo:hi]))
+            else:
+                weighted[lo:hi] = kt
+            counts[lo:hi] = c
+        if k:
+            up = _parents(levels, k, depth + k)
+            order = np.argsort(up, kind="stable")
+            groups, first = np.unique(up[order], return_index=True)
+            above = len(levels[k - 1].keys)
+            below, below_counts = np.zeros((above, 255)), np.zeros((above, 256))
+            below[groups], below_counts[groups] = np.add.reduceat(weighted[order], first), np.add.reduceat(counts[order], first)
+    return shares, weighted, counts
+
+
+def descend(levels: list[Level], shares: list[np.ndarray | None], depth: int, above: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray, tuple]]:
+    """Down the levels: (k, log10 probabilities of level k's contexts (n, 256), state). state, or `above` for the first level:
+    what all ancestors say, what weight they leave, and the last one's probability, for each context (of its parent in `above`)."""
+    for k, level in enumerate(levels):
+        size = len(level.keys)
+        table = np.empty((size, 256), np.float32)
+        state = tuple(np.empty((size, 255), np.float32) for _ in range(3))
+        up = _parents(levels, k, depth + k) if k else np.arange(size)
+        for lo in range(0, size, CHUNK):
+            hi = min(size, lo + CHUNK)
+            zeros, ones = bit_nodes(level.counts(lo, hi))
+            own = (ones + 0.5) / (zeros + ones + 1)
+            a0, l0, f0 = (x[up[lo:hi]] for x in above) if above else (np.zeros_like(own), np.ones_like(own), np.full_like(own, 0.5))
+            w = shares[k][lo:hi] if shares[k] is not None else np.ones_like(own)
+            some = zeros + ones > 0
+            a, rest = np.where(some, a0 + l0 * w * own, a0), np.where(some, l0 * (1 - w), l0)
+            final = np.clip(np.where(some, a + rest * own, f0), 1e-9, 1 - 1e-9)
+            table[lo:hi] = byte_log10(final)
+            for x, new in zip(state, (a, rest, final), strict=True):
+                x[lo:hi] = new
+        yield k, table, state
+        above = state
+
+
+class Lookup:
+    """Rows of log10 probabilities by context, for scoring."""
+
+    def __init__(self, depths: np.ndarray, contexts: np.ndarray, table: np.ndarray, depth: int):
+        self.depth, self.table = depth, table
+        self.places = Places(marked(depths, contexts))
+        self.root = int(np.flatnonzero(depths == 0)[0])
 
     def log10(self, codes: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each code's last byte after the `depth` bytes before it."""
+        """log10 of the probability of each code's last byte after the `depth` bytes before it: the row of the longest kept context."""
         before = codes >> np.uint64(8)
-        rows, todo = np.zeros(len(codes), np.int32), np.arange(len(codes))
+        rows, todo = np.full(len(codes), self.root, np.int32), np.arange(len(codes))
         for d in range(self.depth, 0, -1):
-            at = self.places.find(self._marked(d, before if d == self.depth else before[todo]))
+            at = self.places.find(marked(d, before if d == self.depth else before[todo]))
             hit = at >= 0
             rows[todo[hit]] = at[hit]
             todo = todo[~hit]
             if not len(todo):
                 break
-        return self.table[rows, (codes & np.uint64(255)).astype(np.int64)] / float(self.STEPS)
+        return self.table[rows, (codes & np.uint64(255)).astype(np.int64)]
+
+
+def marked(depths: int | np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    """Contexts of all depths as distinct keys: a one above the bytes."""
+    bit = np.uint64(1) << (np.uint64(8) * np.asarray(depths, np.uint64))
+    return contexts.astype(np.uint64) & (bit - np.uint64(1)) | bit
+
+
+class ContextTree(Lookup):
+    """A whole tree. levels[d]: codes of d context bytes and the next one, ascending, with their counts, for the kept contexts
+    of d bytes; the suffixes of a kept context must be kept."""
+
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
+        held = [Level(codes, counts) for codes, counts in levels]
+        if not len(held[0].keys):  # no training data: the root alone, with no counts
+            held[0].keys = np.zeros(1, np.uint64)
+        shares, _, _ = climb(held, 0)
+        tables = [table for _, table, _ in descend(held, shares, 0)]
+        depths = np.repeat(np.arange(len(held)), [len(x.keys) for x in held])
+        super().__init__(depths, np.concatenate([x.keys for x in held]), np.concatenate(tables), len(held) - 1)

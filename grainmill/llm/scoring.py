@@ -4,14 +4,21 @@ Both score the same thing: the text lower-cased (A-Z) as its words, one space af
 white space and case cost neither anything. The documents whose crc32(id) mod 7 is not 2 train, all are scored.
 
 Training counts n-grams of `depth` + 1 bytes and words, combined in each task before they are shuffled, over all of the
-training text. The tree keeps the contexts seen at least t times, t the least count for which they number `contexts` or
-fewer (found from a histogram of the counts), so the broadcast model has a size bound: contexts * 512 bytes. The base
-needs every word's count: the `common` most frequent words are broadcast (16 bytes each), the others are joined by
-shuffling their occurrences only.
+training text. The tree keeps every context seen at least `least` times, so it grows with the text; what rarer ones saw
+enters the context one byte shorter. It is fitted in groups of the contexts that end in the same two bytes, each a
+subtree: up, over the two levels above on the driver (257 contexts), and down again. The rows, 256 floats a context,
+are a table in the shared folder.
+
+For scoring they are dealt by their last three bytes into shards of about `per_shard` contexts, each one broadcast: beside
+those it has the contexts of two bytes and fewer, 65,793 at most, so its size doesn't grow. A task gathers the n-grams of
+ROUND bytes of text, deals them likewise and loads one shard after the other, holding one at a time. The base needs
+every word's count: the `common` most frequent words are broadcast (16 bytes each), the others are joined by shuffling
+their occurrences only.
 
 Words are known by 64-bit hashes. Nulls: a null text is an empty one (its end alone); a null id counts as 'null' for the
 split. Repeated rows each train and each get a row. Without training rows all probabilities come from empty counts. An
-empty table gives an empty result. Input columns other than doc_id and text are ignored.
+empty table gives an empty result. Input columns other than doc_id and text are ignored. A document is scored whole in one
+task.
 """
 
 from __future__ import annotations
@@ -20,14 +27,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import LOWER, SPACE, Block, Spans, arrays, blocks, signed, tally, words
+from .blocks import LOWER, SPACE, Block, Spans, arrays, blocks, mix, signed, tally, words
 from .common import id_text, materialize
-from .context_tree import ContextTree, Places
+from .context_tree import Level, Lookup, Places, climb, descend
 
 END = np.uint64(0)  # the end's hash; a word's is never 0 but by chance of 2**-64
+ROUND = 8 << 20  # bytes of text scored together, against one shard of the tree after the other
 FLUSH = 2_000_000  # distinct n-grams or words held by a task before they are sent on
 
 
@@ -111,56 +120,177 @@ def most_frequent(rows: DataFrame, count: str, most: int) -> DataFrame:
     return rows.where(step >= least) if least is not None else rows.where(F.lit(False))
 
 
-def fit_tree(counts: DataFrame, depth: int, contexts: int) -> ContextTree:
-    """The context tree of the n-gram counts; only the kept contexts' counts come to the driver."""
-    top = counts.where(F.col("kind") == 1)
+def contexts_of(counts: DataFrame, depth: int, least: int) -> DataFrame:
+    """(d, context, codes, ns): the contexts of 0 to `depth` bytes seen `least` times (those of one byte or none all), with the counts after them."""
     each = [F.struct(F.lit(d).alias("d"), F.col("key").bitwiseAND((1 << 8 * (d + 1)) - 1).alias("code")) for d in range(depth + 1)]
-    levels = top.select(F.explode(F.array(*each)).alias("x"), "n").groupBy("x.d", "x.code").agg(F.sum("n").alias("n"))
-    levels = materialize(levels.withColumn("context", F.shiftright("code", 8)), "levels")
-    seen = levels.groupBy("d", "context").agg(F.sum("n").alias("seen"))
-    kept = most_frequent(seen, "seen", contexts).select("d", "context")
-    rows = levels.join(F.broadcast(kept), ["d", "context"]).select("d", "code", "n").toArrow()
-    d, code, n = (rows.column(c).to_numpy() for c in ("d", "code", "n"))
+    levels = counts.where("kind = 1").select(F.explode(F.array(*each)).alias("x"), "n").groupBy("x.d", "x.code").agg(F.sum("n").alias("n"))
+    found = levels.groupBy("d", F.shiftright("code", 8).alias("context")).agg(F.sum("n").alias("seen"), F.collect_list(F.struct("code", "n")).alias("x"))
+    kept = found.where((F.col("d") < TOP) | (F.col("seen") >= least))
+    return materialize(kept.select("d", "context", F.col("x.code").alias("codes"), F.col("x.n").alias("ns")), "contexts")
+
+
+#: Bytes that the contexts of a group end in.
+TOP = 2
+
+
+def _levels(rows: pa.Table, first: int, depth: int) -> list[Level]:
+    """The levels of the rows (d, codes, ns), from `first` to `depth` bytes."""
+    d = np.repeat(rows.column("d").to_numpy(), pc.list_value_length(rows.column("codes")).to_numpy())
+    codes, ns = (pc.list_flatten(rows.column(c)).to_numpy() for c in ("codes", "ns"))
+    order = np.lexsort((codes, d))
+    d, codes, ns = d[order], codes[order], ns[order].astype(float)
+    edge = np.searchsorted(d, np.arange(first, depth + 2))
+    return [Level(codes[a:b], ns[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+
+
+def _blobs(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binaries."""
+    width = rows.shape[1] * rows.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _matrix(column: pa.ChunkedArray, kind: type, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+
+
+def fit_tree(counts: DataFrame, depth: int, least: int) -> DataFrame:
+    """(d, context, logs): the tree's rows, logs the 256 floats of a context. Only the root's, the one-byte contexts' counts and the sums below these pass through the driver."""
+    if not TOP <= depth <= 6:
+        raise ValueError(f"depth must be {TOP} to 6")
+    spark = counts.sparkSession
+    contexts = contexts_of(counts, depth, least)
+    groups = contexts.where(F.col("d") >= TOP).withColumn("suffix", F.col("context").bitwiseAND((1 << 8 * TOP) - 1))
+
+    def up(rows: pa.Table) -> pa.Table:
+        _, weighted, seen = climb(_levels(rows, TOP, depth), TOP)
+        return pa.table({"parent": pa.array([rows.column("suffix")[0].as_py() & 255], pa.int64()), "below": _blobs(weighted), "seen": _blobs(seen)})
+
+    def summed(rows: pa.Table) -> pa.Table:
+        below, seen = (_matrix(rows.column(c), np.float64, w).sum(0, keepdims=True) for c, w in (("below", 255), ("seen", 256)))
+        return pa.table({"parent": rows.column("parent").slice(0, 1), "below": _blobs(below), "seen": _blobs(seen)})
+
+    shape = "parent long, below binary, seen binary"
+    sums = groups.groupBy("suffix").applyInArrow(up, shape).groupBy("parent").applyInArrow(summed, shape).toArrow()  # 256 rows at most
+    top = _levels(contexts.where(F.col("d") < TOP).select("d", "codes", "ns").toArrow(), 0, TOP - 1)  # 257 contexts at most
+    if not len(top[0].keys):  # no training data: the root alone, with no counts
+        top[0].keys = np.zeros(1, np.uint64)
+    below, seen = np.zeros((len(top[1].keys), 255)), np.zeros((len(top[1].keys), 256))
+    at = np.searchsorted(top[1].keys, sums.column("parent").to_numpy().astype(np.uint64))
+    below[at], seen[at] = _matrix(sums.column("below"), np.float64, 255), _matrix(sums.column("seen"), np.float64, 256)
+    shares, _, _ = climb(top, 0, below, seen)
+    done = list(descend(top, shares, 0))
+    keys, state = top[1].keys, done[1][2]
+    handed = spark.sparkContext.broadcast((keys, state))
+
+    def table_of(levels: list[Level], first: int, tables: list[np.ndarray]) -> pa.Table:
+        d = np.repeat(np.arange(first, first + len(levels)), [len(x.keys) for x in levels])
+        return pa.table({"d": pa.array(d.astype(np.int32)), "context": pa.array(signed(np.concatenate([x.keys for x in levels]))), "logs": _blobs(np.concatenate(tables))})
+
+    def down(rows: pa.Table) -> pa.Table:
+        levels = _levels(rows, TOP, depth)
+        shares, _, _ = climb(levels, TOP)
+        keys, state = handed.value
+        parent = np.searchsorted(keys, levels[0].keys & np.uint64(255))
+        return table_of(levels, TOP, [t for _, t, _ in descend(levels, shares, TOP, tuple(x[parent] for x in state))])
+
+    shape = "d int, context long, logs binary"
+    first = spark.createDataFrame(table_of(top, 0, [t for _, t, _ in done]), shape)
+    return materialize(groups.groupBy("suffix").applyInArrow(down, shape).unionByName(first), "tree")
+
+
+def _unit(contexts: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each context of three bytes or more."""
+    return (mix((contexts & np.uint64(0xFFFFFF)) + np.uint64(1)) % np.uint64(shards)).astype(np.uint16)
+
+
+def shards_of(tree: DataFrame, depth: int, per_shard: int) -> list:
+    """The tree as broadcast lookups, one shard of it in the driver's memory at a time."""
+    spark = tree.sparkSession
+    deep = tree.where(F.col("d") > TOP).count()
+    shards = max(1, -(-deep // per_shard))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = _unit(batch.column("context").to_numpy().view(np.uint64), shards).astype(np.int32)
+            of[batch.column("d").to_numpy() <= TOP] = -1
+            yield batch.append_column("shard", pa.array(of))
+
+    dealt = tree.mapInArrow(number, "d int, context long, logs binary, shard int")
+    dealt = materialize(dealt.repartition("shard"), "shards") if shards > 1 else dealt
     out = []
-    for level in range(depth + 1):
-        mine = d == level
-        order = np.argsort(code[mine])
-        out.append((code[mine][order], n[mine][order].astype(float)))
-    return ContextTree(out)
+    for s in range(shards):
+        rows = dealt.where((F.col("shard") == s) | (F.col("shard") == -1)).select("d", "context", "logs").toArrow()
+        d, context = rows.column("d").to_numpy(), rows.column("context").to_numpy().view(np.uint64)
+        out.append(spark.sparkContext.broadcast(Lookup(d, context, _matrix(rows.column("logs"), np.float32, 256), depth)))
+        out[-1].unpersist()  # the driver's copy is in its file
+        del rows
+    return out
 
 
-def _score(batches: Iterator[pa.RecordBatch], tree: ContextTree, places: Places, known: np.ndarray, log_total: float) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], shards: list, depth: int, words_known: tuple[Places, np.ndarray], log_total: float) -> Iterator[pa.RecordBatch]:
+    places, known = words_known
     logs = np.log10(known + 1.0) - log_total
+    held: list[tuple[list[pa.Array], np.ndarray, np.ndarray]] = []
+
+    def scored() -> Iterator[pa.RecordBatch]:
+        codes = np.concatenate([c for _, c, _ in held])
+        order, edge = slice(None), [0, len(codes)]
+        if len(shards) > 1:
+            of = _unit(codes >> np.uint64(8), len(shards))
+            order = np.argsort(of, kind="stable")
+            edge = np.searchsorted(of[order], np.arange(len(shards) + 1)).tolist()
+        dealt = codes[order]
+        part = np.empty(len(codes))
+        for k, shard in enumerate(shards):
+            part[edge[k] : edge[k + 1]] = shard.value.log10(dealt[edge[k] : edge[k + 1]])
+            if len(shards) > 1:
+                shard.__dict__.pop("_value", None)  # loaded again from its file in the next round
+        score = np.empty(len(codes))
+        score[order] = part
+        lo = 0
+        for columns, codes, first in held:
+            total = np.concatenate(([0.0], np.cumsum(score[lo : lo + len(codes)])))
+            value, size = np.diff(total[first]), np.diff(first)
+            lo += len(codes)
+            bits = value / (-np.log10(2) * size)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(value), pa.array(bits)], ["row", "doc_id", "held_out", "n_tokens", "known", "base", "rare", "score", "bits_per_byte"])
+        held.clear()
+
+    size = 0
     for batch in batches:
         for block in blocks(batch.column("text")):
             data, first, tokens, token_first = split(block)
-            score = np.concatenate(([0.0], np.cumsum(tree.log10(grams(data, first, tree.depth)))))
             at = places.find(tokens)
             common = at >= 0
             base = np.concatenate(([0.0], np.cumsum(np.where(common, logs[at] if len(logs) else 0.0, 0.0))))
             hits = np.concatenate(([0], np.cumsum(common)))
             rare_first = token_first - hits[token_first]
-            columns = [batch.column("row").slice(block.lo, block.hi - block.lo), batch.column("doc_id").slice(block.lo, block.hi - block.lo), batch.column("held_out").slice(block.lo, block.hi - block.lo)]
-            columns += [pa.array(np.diff(token_first)), pa.array(np.diff(hits[token_first])), pa.array(np.diff(base[token_first])), pa.array(np.diff(score[first])), arrays(signed(tokens[~common]), rare_first, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
+            columns = [batch.column(c).slice(block.lo, block.hi - block.lo) for c in ("row", "doc_id", "held_out")]
+            columns += [pa.array(np.diff(token_first)), pa.array(np.diff(hits[token_first])), pa.array(np.diff(base[token_first])), arrays(signed(tokens[~common]), rare_first, pa.int64())]
+            held.append((columns, grams(data, first, depth), first))
+            size += len(data)
+            if size >= ROUND:
+                yield from scored()
+                size = 0
+    if held:
+        yield from scored()
 
 
-def score_documents(docs: DataFrame, depth: int = 5, contexts: int = 100_000, common: int = 262_144) -> DataFrame:
+def score_documents(docs: DataFrame, depth: int = 5, least: int = 16, common: int = 262_144, per_shard: int = 32_768) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), bits_per_byte of what is modelled."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", (F.crc32(id_text().cast("binary")) % 7 == 2).alias("held_out"))
     counts = train_counts(docs, depth)
-    tree = fit_tree(counts, depth, contexts)
+    shards = shards_of(fit_tree(counts, depth, least), depth, per_shard)
     vocabulary = counts.where(F.col("kind") == 0).select("key", "n")
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     log_total = float(np.log10(total + distinct + 1))
     head = most_frequent(vocabulary, "n", common).toArrow()  # `common` rows at most
-    known = head.column("n").to_numpy()
-    shared = spark.sparkContext.broadcast((tree, Places(head.column("key").to_numpy().view(np.uint64)), known))
+    shared = spark.sparkContext.broadcast((Places(head.column("key").to_numpy().view(np.uint64)), head.column("n").to_numpy()))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.withColumn("row", F.monotonically_increasing_id())
     scored = rows.mapInArrow(
-        lambda it: _score(it, *shared.value, log_total), f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>"
+        lambda it: _score(it, shards, depth, shared.value, log_total), f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, rare array<long>, score double, bits_per_byte double"
     )
     scored = materialize(scored, "scored")
     rare = scored.select("row", F.explode("rare").alias("key")).join(vocabulary, "key", "left")
@@ -168,5 +298,5 @@ def score_documents(docs: DataFrame, depth: int = 5, contexts: int = 100_000, co
     out = scored.drop("rare").join(rare, "row", "left")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), "score", "bits_per_byte",
     )

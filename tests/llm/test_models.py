@@ -1,14 +1,16 @@
 """Operators 2, 5, 7 and 10 against plain versions, round trips and held-out accuracy."""
 
 import collections
+import functools
 import math
 import random
-import time
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grainmill.llm import boosting, context_tree, dom, quality, scoring, token_counts, wrappers
@@ -77,35 +79,49 @@ def plain_log_kt(a, b):
     return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(a + b + 1)
 
 
-def test_context_tree_against_recursion():
-    """Probabilities of a small tree, node by node, from the definition."""
-    text = b"\n\nabracadabra abracadabra\nabba abba\n"
-    depth = 2
-    codes = [int.from_bytes(text[k : k + depth + 1], "big") for k in range(len(text) - depth)]
-    levels = []
-    for d in range(depth + 1):
-        c, n = tally(np.array([x & ((1 << 8 * (d + 1)) - 1) for x in codes], np.uint64))
-        levels.append((c, n.astype(float)))
-    tree = context_tree.ContextTree(levels)
-    seen = [(text[k : k + depth], text[k + depth]) for k in range(len(text) - depth)]
+def plain_tree(text, depth, least):
+    """one(context, level, prefix): the probability of a one, node by node from the definition; seen: (context, byte) pairs of the training text."""
+    seen = collections.Counter(text)
+    of = functools.cache(lambda context: collections.Counter({b: n for b, n in after(context)}))
+
+    def after(context):
+        out = collections.Counter()
+        for (c, b), n in seen.items():
+            if c.endswith(context):
+                out[b] += n
+        return out.items()
+
+    kept = functools.cache(lambda context: sum(of(context).values()) >= (least if len(context) >= 2 else 1))
 
-    def counts(context, level, prefix):
-        hits = [b for c, b in seen if c.endswith(context) and b >> (8 - level) == prefix]
-        ones = sum(b >> (7 - level) & 1 for b in hits)
-        return len(hits) - ones, ones
+    def bits(byte_counts, level, prefix):
+        hits = [(b, n) for b, n in byte_counts.items() if b >> (8 - level) == prefix]
+        ones = sum(n for b, n in hits if b >> (7 - level) & 1)
+        return sum(n for _, n in hits) - ones, ones
 
+    letters = sorted({x for c, _ in seen for x in c})
+
+    @functools.cache
     def weighted(context, level, prefix):
-        kt = plain_log_kt(*counts(context, level, prefix))
+        kt = plain_log_kt(*bits(of(context), level, prefix))
         if len(context) == depth:
             return kt
-        below = sum(weighted(bytes([x]) + context, level, prefix) for x in set(text) if sum(counts(bytes([x]) + context, level, prefix)))
-        return math.log(0.5 * math.exp(kt) + 0.5 * math.exp(below))
-
+        below, rest = 0.0, collections.Counter(of(context))
+        for x in letters:
+            child = bytes([x]) + context
+            if kept(child):
+                below += weighted(child, level, prefix)
+                rest.subtract(of(child))
+        below += plain_log_kt(*bits(rest, level, prefix))
+        return max(kt, below) + math.log1p(math.exp(-abs(kt - below))) - math.log(2)
+
+    @functools.cache
     def one(context, level, prefix):
         acc, left, last = 0.0, 1.0, 0.5
         for d in range(depth + 1):
             c = context[depth - d :]
-            a, b = counts(c, level, prefix)
+            if not kept(c):
+                break
+            a, b = bits(of(c), level, prefix)
             if a + b == 0:
                 return last
             own = (b + 0.5) / (a + b + 1)
@@ -114,16 +130,64 @@ def test_context_tree_against_recursion():
             last = acc + left * own
         return last
 
-    for context, byte in [(b"ab", ord("r")), (b"ra", ord("c")), (b"zz", ord("a")), (b"br", ord("q"))]:
-        p = 1.0
+    @functools.cache
+    def log10(context, byte):
+        p = 0.0
         for level in range(8):
             x = one(context, level, byte >> (8 - level))
-            p *= x if byte >> (7 - level) & 1 else 1 - x
+            p += math.log10(x if byte >> (7 - level) & 1 else 1 - x)
+        return p
+
+    return log10
+
+
+def test_context_tree_against_recursion():
+    """Probabilities of a small tree, node by node, from the definition."""
+    text = b"\n\nabracadabra abracadabra\nabba abba\n"
+    depth = 2
+    codes = [int.from_bytes(text[k : k + depth + 1], "big") for k in range(len(text) - depth)]
+    levels = []
+    for d in range(depth + 1):
+        c, n = tally(np.array([x & ((1 << 8 * (d + 1)) - 1) for x in codes], np.uint64))
+        levels.append((c, n.astype(float)))
+    tree = context_tree.ContextTree(levels)
+    plain = plain_tree([(text[k : k + depth], text[k + depth]) for k in range(len(text) - depth)], depth, 1)
+    for context, byte in [(b"ab", ord("r")), (b"ra", ord("c")), (b"zz", ord("a")), (b"br", ord("q"))]:
         got = tree.log10(np.array([int.from_bytes(context, "big") << 8 | byte], np.uint64))[0]
-        assert got == pytest.approx(math.log10(p), abs=0.002)
+        assert got == pytest.approx(plain(context, byte), abs=1e-5)
     for context in (b"ab", b"zz"):
         every = tree.log10(np.array([int.from_bytes(context, "big") << 8 | x for x in range(256)], np.uint64))
-        assert 0.9 < (10**every).sum() <= 1 + 1e-9
+        assert (10 ** every.astype(float)).sum() == pytest.approx(1, abs=1e-5)
+
+
+@pytest.mark.parametrize(("least", "per_shard"), [(1, 10**6), (3, 10**6), (3, 7)])
+def test_scores_against_recursion(spark, least, per_shard):
+    """The whole way: training, fitting by groups, pruning, shards; each document's score and code length."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["Ab", "ra", "cad", "abra", "é"]) for _ in range(rng.randrange(0, 9)))) for i in range(40)] + [(None, None), (99, " \t")]
+    depth = 4
+    model = lambda t: "".join(w + " " for w in WORD.findall(lower(t))).encode() + b"\n"
+    pairs = lambda t: [((b"\n" * depth + t)[k : k + depth], t[k]) for k in range(len(t))]
+    held = lambda i: zlib.crc32(("null" if i is None else str(i)).encode()) % 7 == 2
+    plain = plain_tree([x for i, t in rows if not held(i) for x in pairs(model(t))], depth, least)
+    out = {r.doc_id: r for r in scoring.score_documents(frame(spark, rows), depth=depth, least=least, per_shard=per_shard).collect()}
+    assert len(out) == len(rows)
+    for i, t in rows:
+        want = sum(plain(c, b) for c, b in pairs(model(t)))
+        assert out[i].score == pytest.approx(want, abs=1e-4)
+        assert out[i].bits_per_byte == pytest.approx(-want / math.log10(2) / len(model(t)), abs=1e-5)
+
+
+def test_the_tree_grows_with_the_text(spark):
+    """Kept contexts: those seen often enough, however many; the same law for any number of rows."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    sizes = []
+    for n in (100, 400):
+        rows = [(i, " ".join([word(), word()] * 9)) for i in range(n)]
+        docs = scoring.train_counts(frame(spark, rows).withColumn("held_out", F.lit(False)), 4)
+        sizes.append(scoring.fit_tree(docs, 4, 8).count())
+    assert sizes[1] > 3 * sizes[0]
 
 
 # --- quality rules ---
