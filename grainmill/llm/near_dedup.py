@@ -207,11 +207,11 @@ class _Search:
         """Every two classes of one list that lie in different components and can be linked by their sizes and collisions, each once: from the first list that both share."""
         size = self.size
         sketches = self.texts.join(lists.select("rep").distinct(), "rep", "left_semi").mapInArrow(lambda it: _sketch(it, size), "rep long, sketch array<int>")
-        whole = lists.join(self.live.select("rep", F.transform("pairs", lambda x: F.hash(x)).alias("p")), "rep").join(sketches, "rep").withColumn("h", F.hash("pair"))
         long = lists.groupBy("pair").agg(F.ceil(F.count("*") / LIST).alias("blocks")).where("blocks > 1")
-        dealt = whole.join(long, "pair", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+        dealt = lists.join(long, "pair", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        whole = dealt.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+        dealt = dealt.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("blocks", "other")
+        whole = dealt.join(self.live.select("rep", F.transform("pairs", lambda x: F.hash(x)).alias("p")), "rep").join(sketches, "rep").withColumn("h", F.hash("pair"))
         side = lambda x: whole.select("pair", "x", "y", F.col("block").alias(f"b_{x}"), "h", F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}"), F.col("p").alias(f"p_{x}"), F.col("sketch").alias(f"s_{x}"))
         u, v = side("u"), side("v")
         near = (F.col("u") < F.col("v")) & (F.col("c_u") != F.col("c_v")) & (100 * F.least("n_u", "n_v") >= self.percent * F.greatest("n_u", "n_v"))
