@@ -588,14 +588,6 @@ def score_grid(spark, sf_dir):
     return spark.createDataFrame(rows, "i long, sim_th double, score double").select("i", F.round("sim_th", 9).alias("sim_th"), F.round("score", 9).alias("score"))
 
 
-@query()
-def autotune_small(spark, sf_dir):
-    rows = logs(spark, sf_dir)
-    truth = rows.select(F.col("event_id").cast("string").alias("log_id"), F.expr(_GTEXT).alias("template"), F.expr(_SHAPE).alias("event_id"), F.col("log_order").alias("at"))
-    found = tuning.tune(rows.select("log_order", "content"), truth, budget=3)
-    return spark.createDataFrame([(i, h["ga"], h["pta"], h["score"]) for i, h in enumerate(found["history"])], "trial long, ga double, pta double, score double")
-
-
 @query("SELECT 'LOG_PARSER_SIM_TH=0.4' || chr(10) || 'LOG_PARSER_DEPTH=4' || chr(10) || 'LOG_PARSER_EXTENDED_MASKING=true' || chr(10) || 'LOG_PARSER_ENGINE=Drain' AS env")
 def env_export(spark, sf_dir):
     return spark.createDataFrame([(to_env({"sim_th": 0.4, "depth": 4, "masks": "extended", "engine": "drain"}),)], "env string")

@@ -20,7 +20,6 @@ TAG_PATTERNS = {
     "NUM": r"\S+",
     "*": r"\S+",
 }
-_HOST = r"(?i)\b[\w.-]+\.[a-z]{2,}\b(?!@)|[\s\S]"
 
 
 def _sub(text: Column, pattern: str, to: str) -> Column:
@@ -40,10 +39,8 @@ def type_emails(t: Column) -> Column:
 
 
 def type_hostnames(t: Column) -> Column:
-    """Hostnames that do not begin with a digit: the text is cut into matches and single characters, tested and joined."""
-    parts = F.regexp_extract_all(t, F.lit(_HOST), F.lit(0))
-    whole = r"(?i)^[\w.-]+\.[a-z]{2,}\z"
-    return F.array_join(F.transform(parts, lambda x: F.when(F.rlike(x, F.lit(whole)) & ~F.rlike(x, F.lit(r"^\d")), "<HOSTNAME>").otherwise(x)), "")
+    """Hostnames that do not begin with a digit. One begins at the first word character of a run of such, dots and dashes."""
+    return _sub(t, r"(?i)(?<![\w.-])([.-]*)(?!\d)\b[\w.-]+\.[a-z]{2,}\b(?!@)", "$1<HOSTNAME>")
 
 
 def type_paths(t: Column) -> Column:

@@ -12,14 +12,17 @@ Clusters are numbered by their first line. A cluster's state is its template; a
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainmill.config import MinerConfig
 from grainmill.functions import text as T
+from grainmill.operators.graph import components
 from grainmill.plans.tables import materialize
 
 WILD = "<*>"
@@ -29,9 +32,11 @@ def route(token: Column) -> Column:
     return F.when(token.isNull() | F.rlike(token, F.lit(r"\d")), F.lit(WILD)).otherwise(token)
 
 
-def keyed(logs: DataFrame, config: MinerConfig) -> DataFrame:
-    """logs (log_order, content) with text (prepared, one space between tokens), tokens, n_tokens and branch."""
+def keyed(logs: DataFrame, config: MinerConfig, pairs: DataFrame | None = None) -> DataFrame:
+    """logs (log_order, content) with text (prepared, one space between tokens), tokens, n_tokens and branch. pairs: fusable_pairs() of them, if tokens are to be fused."""
     rows = logs.select("log_order", "content", T.tokens(T.prepare(F.col("content"), config)).alias("tokens"))
+    if pairs is not None:
+        rows = fuse(rows, pairs)
     rows = rows.withColumn("text", F.array_join("tokens", " ")).withColumn("n_tokens", F.size("tokens"))
     depth = config.depth - 3
     if config.engine == "jaccard":
@@ -61,6 +66,15 @@ def affix(old: str, new: str) -> str:
     return old[:head] + WILD + (old[len(old) - tail :] if tail else "")
 
 
+def changed(template: list[str], tokens: list[str], config: MinerConfig) -> list[str]:
+    """A template after one more line of its cluster."""
+    if len(template) != len(tokens):  # the Jaccard engine's
+        return template
+    if config.affix_preserving:
+        return [a if a == b or WILD in a else affix(a, b) for a, b in zip(template, tokens, strict=True)]
+    return [a if a == b else WILD for a, b in zip(template, tokens, strict=True)]
+
+
 class Branch:
     """The clusters of one branch: templates as token lists, in order of creation."""
 
@@ -95,12 +109,7 @@ class Branch:
             self.known[text] = (len(self.templates) - 1, self.version)
             return len(self.templates) - 1, True
         old = self.templates[at]
-        if config.engine == "jaccard" and len(old) != len(tokens):
-            new = old
-        elif config.affix_preserving:
-            new = [a if a == b or WILD in a else affix(a, b) for a, b in zip(old, tokens, strict=True)]
-        else:
-            new = [a if a == b else WILD for a, b in zip(old, tokens, strict=True)]
+        new = changed(old, tokens, config)
         if new != old:
             self.templates[at], self.shown[at] = new, " ".join(new)
             self.version += 1
@@ -119,84 +128,162 @@ class Branch:
         return sum(a == b for a, b in zip(template, tokens, strict=True)) / len(tokens)
 
 
+MINED = "log_order long, cluster long, template string, kind string"
+
+
 def mine_batches(batches: Iterator[pa.RecordBatch], config: MinerConfig) -> Iterator[pa.RecordBatch]:
-    """Lines in the order of (n_tokens, branch, log_order) with their cluster's first line, the template as of the line, and kind."""
+    """Lines in the order of (n_tokens, branch, log_order) with their cluster's first line, the template as of the line, kind, and the columns that came with them.
+
+    Lines are known by the number of their text in the batch. Those whose text has been met since the branch's last change are
+    skipped all at once; the others go through the branch one by one.
+    """
     key, branch = None, Branch()
     for batch in batches:
-        firsts, templates, kinds = [], [], []
-        columns = (batch.column(c).to_pylist() for c in ("n_tokens", "branch", "log_order", "text"))
-        for n, name, order, text in zip(*columns, strict=True):
-            if key != (n, name):
-                key, branch = (n, name), Branch()
-            at, fresh = branch.add(order, text, config)
-            firsts.append(branch.firsts[at])
-            templates.append(branch.shown[at])
-            kinds.append("miss" if fresh else "match")
-        yield pa.RecordBatch.from_arrays([batch.column("log_order"), pa.array(firsts, pa.int64()), pa.array(templates, pa.string()), pa.array(kinds, pa.string())], ["log_order", "cluster", "template", "kind"])
-
-
-def mine(logs: DataFrame, config: MinerConfig | None = None) -> DataFrame:
-    """log_order, cluster (its first line's order), template (as of the line), kind: 'miss' for a line that makes a cluster."""
+        if not batch.num_rows:
+            continue
+        n, name = batch.column("n_tokens").to_numpy(), batch.column("branch").dictionary_encode()
+        names, texts = name.dictionary.to_pylist(), batch.column("text").dictionary_encode()
+        of, text, orders, distinct = name.indices.to_numpy(), texts.indices.to_numpy(), batch.column("log_order").to_numpy(), texts.dictionary.to_pylist()
+        rows = len(n)
+        at, shown, fresh = np.zeros(rows, np.int64), np.zeros(rows, np.int32), np.zeros(rows, bool)
+        templates: list[str] = []
+        edges = np.concatenate(([0], np.flatnonzero((n[1:] != n[:-1]) | (of[1:] != of[:-1])) + 1, [rows]))
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if key != (n[lo], names[of[lo]]):
+                key, branch = (n[lo], names[of[lo]]), Branch()
+            known = np.full(len(distinct), -1, np.int32)  # the place in `templates` of what a text is answered with
+            cluster = np.zeros(len(distinct), np.int64)
+            version, i, step = branch.version, lo, 64
+            while i < hi:
+                c = text[i]
+                if known[c] < 0:
+                    k, new = branch.add(int(orders[i]), distinct[c], config)
+                    if branch.version != version:
+                        known.fill(-1)
+                        version = branch.version
+                    known[c], cluster[c], fresh[i] = len(templates), branch.firsts[k], new
+                    templates.append(branch.shown[k])
+                    at[i], shown[i] = cluster[c], known[c]
+                    i, step = i + 1, 64
+                    continue
+                part = text[i : min(hi, i + step)]
+                answers = known[part]
+                gap = np.flatnonzero(answers < 0)
+                stop = int(gap[0]) if len(gap) else len(part)
+                at[i : i + stop], shown[i : i + stop] = cluster[part[:stop]], answers[:stop]
+                i, step = i + stop, min(1 << 16, step * 2)
+        out = pa.DictionaryArray.from_arrays(pa.array(shown), pa.array(templates, pa.string())).dictionary_decode()
+        kinds = pa.DictionaryArray.from_arrays(pa.array(fresh.astype(np.int8)), pa.array(["match", "miss"])).dictionary_decode()
+        carried = [c for c in batch.schema.names if c not in ("n_tokens", "branch", "text", "log_order")]
+        yield pa.RecordBatch.from_arrays([batch.column("log_order"), pa.array(at), out, kinds, *(batch.column(c) for c in carried)], ["log_order", "cluster", "template", "kind", *carried])
+
+
+def mine(logs: DataFrame, config: MinerConfig | None = None, carry: tuple[str, ...] = (), pairs: DataFrame | None = None) -> DataFrame:
+    """log_order, cluster (its first line's order), template (as of the line), kind: 'miss' for a line that makes a cluster; and the columns `carry` of the keyed lines.
+
+    With adjacent_fusion the pairs of tokens are learned from the lines unless given.
+    """
     config = config or MinerConfig()
+    if config.adjacent_fusion and pairs is None:
+        pairs = learned_pairs(logs, config)
+    rows = keyed(logs, config, pairs)
+    shape = ", ".join([MINED, *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in carry)])
     if config.max_clusters is not None:
-        return mine_bounded(logs, config)
-    rows = keyed(logs, config).select("log_order", "text", "n_tokens", "branch")
-    dealt = rows.repartition("n_tokens", "branch").sortWithinPartitions("n_tokens", "branch", "log_order")
-    return dealt.mapInArrow(lambda it: mine_batches(it, config), "log_order long, cluster long, template string, kind string")
+        return mine_bounded(rows.select("log_order", "text", "n_tokens", "branch", *carry), config, shape)
+    dealt = rows.select("log_order", "text", "n_tokens", "branch", *carry).repartition("n_tokens", "branch").sortWithinPartitions("n_tokens", "branch", "log_order")
+    return dealt.mapInArrow(lambda it: mine_batches(it, config), shape)
 
 
-def mine_bounded(logs: DataFrame, config: MinerConfig) -> DataFrame:
-    """As mine(), with at most max_clusters clusters in all: the one unused for longest goes. One sequence over all lines, in one task."""
-    rows = keyed(logs, config).select("log_order", "text", "tokens", "n_tokens", "branch")
+def mine_bounded(rows: DataFrame, config: MinerConfig, shape: str) -> DataFrame:
+    """As mine(), with at most max_clusters clusters in all: the one unused for longest goes. One sequence over all lines, in one task; a line is compared with the live clusters of its branch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        live: dict[tuple, list] = {}  # (key, first line) -> template, least recently used first
+        live: OrderedDict[tuple, list] = OrderedDict()  # (token count, branch, first line) -> template, least recently used first
+        of: dict[tuple, list[int]] = {}  # (token count, branch) -> first lines, in the order of creation
         for batch in batches:
             firsts, templates, kinds = [], [], []
-            columns = (batch.column(c).to_pylist() for c in ("n_tokens", "branch", "log_order", "tokens"))
-            for n, name, order, tokens in zip(*columns, strict=True):
+            columns = (batch.column(c).to_pylist() for c in ("n_tokens", "branch", "log_order", "text"))
+            for n, name, order, text in zip(*columns, strict=True):
+                tokens = text.split(" ") if text else []
                 found, best = None, -1.0
-                for key in sorted((k for k in live if k[:2] == (n, name)), key=lambda k: k[2]):
-                    score = Branch.score(live[key], tokens, config)
+                for first in of.setdefault((n, name), []):
+                    score = Branch.score(live[n, name, first], tokens, config)
                     if score > best:
-                        found, best = key, score
+                        found, best = (n, name, first), score
                 fresh = found is None or best < config.sim_th
                 if fresh:
                     found = (n, name, order)
                     if len(live) >= config.max_clusters:
-                        del live[next(iter(live))]
-                    live[found] = list(tokens)
+                        gone, _ = live.popitem(last=False)
+                        of[gone[:2]].remove(gone[2])
+                    live[found] = tokens
+                    of[n, name].append(order)
                 else:
-                    old = live.pop(found)
-                    live[found] = [a if a == b else WILD for a, b in zip(old, tokens, strict=True)] if len(old) == len(tokens) else old
+                    live[found] = changed(live[found], tokens, config)
+                    live.move_to_end(found)
                 firsts.append(found[2])
                 templates.append(" ".join(live[found]))
                 kinds.append("miss" if fresh else "match")
-            yield pa.RecordBatch.from_arrays([batch.column("log_order"), pa.array(firsts, pa.int64()), pa.array(templates, pa.string()), pa.array(kinds, pa.string())], ["log_order", "cluster", "template", "kind"])
+            carried = [c for c in batch.schema.names if c not in ("n_tokens", "branch", "text", "log_order")]
+            columns = [batch.column("log_order"), pa.array(firsts, pa.int64()), pa.array(templates, pa.string()), pa.array(kinds, pa.string()), *(batch.column(c) for c in carried)]
+            yield pa.RecordBatch.from_arrays(columns, ["log_order", "cluster", "template", "kind", *carried])
 
-    return rows.coalesce(1).sortWithinPartitions("log_order").mapInArrow(run, "log_order long, cluster long, template string, kind string")
+    return rows.coalesce(1).sortWithinPartitions("log_order").mapInArrow(run, shape)
 
 
-def templates_of(mined: DataFrame) -> DataFrame:
-    """template_id (from 1, by first line), cluster, template (final), tokens, size."""
+def templates_of(mined: DataFrame, config: MinerConfig | None = None) -> DataFrame:
+    """template_id (from 1, by first line), cluster, template (final), tokens, size; merged as the settings say (merged_id: the template that it went into)."""
     clusters = mined.groupBy("cluster").agg(F.max_by("template", "log_order").alias("template"), F.count("*").alias("size"))
     numbered = clusters.withColumn("template_id", F.row_number().over(Window.orderBy("cluster")).cast("long"))
-    return numbered.select("template_id", "cluster", "template", F.split("template", " ").alias("tokens"), "size")
+    found = numbered.select("template_id", "cluster", "template", F.split("template", " ").alias("tokens"), "size")
+    return merged_templates(found, config)[0] if config and merges(config) else found
+
+
+def merges(config: MinerConfig) -> bool:
+    return config.cluster_merge or config.ael_similarity
+
+
+def merged_templates(templates: DataFrame, config: MinerConfig) -> tuple[DataFrame, DataFrame]:
+    """The templates (as of templates_of) after merge_clusters(): a group's least id and first cluster, the tokens that all members share, <*> elsewhere, the sum of their sizes; and (cluster, template_id) for all clusters."""
+    templates = materialize(templates, "templates")
+    to = merge_clusters(templates, config)
+    rows = materialize(templates.join(to, "template_id"), "merged")
+    places = rows.select("merged_id", F.posexplode("tokens").alias("i", "token")).groupBy("merged_id", "i").agg(F.min("token").alias("low"), F.max("token").alias("high"))
+    agreed = places.select("merged_id", F.struct("i", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(WILD).alias("token")).alias("t"))
+    tokens = agreed.groupBy("merged_id").agg(F.array_sort(F.collect_list("t"))["token"].alias("tokens"))
+    groups = rows.groupBy("merged_id").agg(F.min("cluster").alias("cluster"), F.sum("size").alias("size")).join(tokens, "merged_id")
+    found = groups.select(F.col("merged_id").alias("template_id"), "cluster", F.array_join("tokens", " ").alias("template"), "tokens", "size")
+    return found, rows.select("cluster", F.col("merged_id").alias("template_id"))
+
+
+def trained(logs: DataFrame, config: MinerConfig | None = None, emit: str = "online", pairs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """train() and templates_of() of one run of the miner, whose lines are written down once."""
+    config = config or MinerConfig()
+    if config.adjacent_fusion and pairs is None:
+        pairs = learned_pairs(logs, config)
+    mined = materialize(mine(logs, config, ("content",), pairs), "mined")
+    templates = templates_of(mined)
+    ids = templates.select("cluster", "template_id")
+    if merges(config):
+        templates, ids = merged_templates(templates, config)
+    final = ids.join(templates.select("template_id", F.col("template").alias("final_template")), "template_id") if emit == "final" else ids
+    rows = mined.join(final, "cluster")
+    rows = rows.withColumn("shown", F.col("template") if emit == "online" else F.col("final_template"))
+    rows = rows.withColumn("tokens", T.tokens(T.split_delimiters(T.collapse(F.col("content"), config.collapse_patterns, config.collapse_all), config.extra_delimiters)))
+    if pairs is not None:
+        rows = fuse(rows, pairs)
+    source = F.when(F.col("kind") == "miss", "drain-loose").otherwise("drain-strict")
+    rows = rows.select("log_order", "template_id", F.col("shown").alias("template"), "tokens", parameters(F.split("shown", " "), F.col("tokens")).alias("parameters"), source.alias("source"), "kind")
+    return rows, templates
 
 
 def train(logs: DataFrame, config: MinerConfig | None = None, emit: str = "online") -> DataFrame:
     """log_order, template_id, template, tokens (of the raw line), parameters, source, kind.
 
-    emit: 'online' gives the template as of the line, 'final' the cluster's last one.
+    emit: 'online' gives the template as of the line, 'final' the cluster's last one. Settings that merge clusters after the
+    training give the merged ids.
     """
-    config = config or MinerConfig()
-    mined = mine(logs, config)
-    final = templates_of(mined).select("template_id", "cluster", F.col("template").alias("final_template"))
-    rows = mined.join(final, "cluster").join(logs.select("log_order", "content"), "log_order")
-    shown = F.col("template") if emit == "online" else F.col("final_template")
-    rows = rows.withColumn("shown", shown).withColumn("tokens", T.tokens(T.split_delimiters(T.collapse(F.col("content"), config.collapse_patterns, config.collapse_all), config.extra_delimiters)))
-    source = F.when(F.col("kind") == "miss", "drain-loose").otherwise("drain-strict")
-    return rows.select("log_order", "template_id", F.col("shown").alias("template"), "tokens", parameters(F.split("shown", " "), F.col("tokens")).alias("parameters"), source.alias("source"), "kind")
+    return trained(logs, config, emit)[0]
 
 
 def parameters(template: Column, tokens: Column) -> Column:
@@ -206,10 +293,11 @@ def parameters(template: Column, tokens: Column) -> Column:
     return F.when(F.size(template) == F.size(tokens), found).otherwise(F.filter(pairs, lambda p: F.lit(False)))
 
 
-def match(logs: DataFrame, templates: DataFrame, config: MinerConfig | None = None) -> DataFrame:
-    """log_order, template_id, template: the best template that fits each line (fewest variables, then least id), nulls without one."""
+def match(logs: DataFrame, templates: DataFrame, config: MinerConfig | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """log_order, template_id, template: the best template that fits each line (fewest variables, then least id), nulls without one. pairs: those fused in the training."""
     config = config or MinerConfig()
     rows = logs.select("log_order", T.tokens(T.prepare(F.col("content"), config)).alias("tokens"))
+    rows = rows if pairs is None else fuse(rows, pairs)
     probes = rows.select("log_order", "tokens", F.size("tokens").alias("n"), F.explode(F.array_distinct(F.array(F.coalesce(F.get("tokens", F.lit(0)), F.lit("")), F.lit(WILD)))).alias("head"))
     table = templates.select("template_id", "template", F.col("tokens").alias("pattern"), F.size("tokens").alias("n"), F.coalesce(F.get("tokens", F.lit(0)), F.lit("")).alias("head"))
     fits = F.forall(F.zip_with("tokens", "pattern", lambda x, p: (p == WILD) | (x == p)), lambda b: b)
@@ -232,18 +320,42 @@ def bigrams(tokens: DataFrame) -> DataFrame:
     return pairs.groupBy("p.first", "p.second").agg(F.count("*").alias("n"))
 
 
-def fuse_adjacent(logs: DataFrame, share: float = 0.9, least: int = 10) -> DataFrame:
-    """logs (log_order, tokens) with pairs of tokens that nearly always follow each other made one (joined by '_'), left to right."""
+def fusable_pairs(logs: DataFrame, share: float = 0.9, least: int = 10) -> DataFrame:
+    """pair: 'first second' for tokens (of the token lists `tokens`) that nearly always follow each other."""
     pairs = bigrams(logs)
     alone = logs.select(F.explode("tokens").alias("first")).groupBy("first").agg(F.count("*").alias("c"))
     fixed = pairs.join(alone, "first").where((F.col("n") >= least) & (F.col("n") >= share * F.col("c")) & ~F.startswith("first", F.lit("<")) & ~F.startswith("second", F.lit("<")))
-    fused = fixed.select(F.concat_ws(" ", "first", "second").alias("pair"))
-    each = logs.select("log_order", F.posexplode("tokens").alias("i", "token"))
-    after = F.lead("token").over(Window.partitionBy("log_order").orderBy("i"))
-    marked = each.withColumn("pair", F.concat_ws(" ", "token", after)).join(fused.withColumn("hit", F.lit(True)), "pair", "left")
-    back = marked.groupBy("log_order").agg(F.array_sort(F.collect_list(F.struct("i", "token", F.coalesce("hit", F.lit(False)).alias("hit")))).alias("t"))
-    step = F.aggregate("t", F.array().cast("array<string>"), lambda acc, x: F.when(F.endswith(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")), F.lit("_")), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), x["token"])))).otherwise(F.concat(acc, F.array(F.when(x["hit"], F.concat(x["token"], F.lit("_"))).otherwise(x["token"])))))
-    return back.select("log_order", step.alias("tokens"))
+    return fixed.select(F.concat_ws(" ", "first", "second").alias("pair"))
+
+
+def learned_pairs(logs: DataFrame, config: MinerConfig) -> DataFrame:
+    """The fusable pairs of the prepared lines, written down."""
+    return materialize(fusable_pairs(logs.select(T.tokens(T.prepare(F.col("content"), config)).alias("tokens"))), "pairs")
+
+
+def fuse(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """rows (log_order, tokens, ...) with the pairs' tokens made one (joined by '_'), left to right.
+
+    Only the distinct adjacent pairs are looked up; each line gets those of its own that are to be fused.
+    """
+    each = F.expr("CASE WHEN size(tokens) > 1 THEN transform(sequence(1, size(tokens) - 1), i -> concat_ws(' ', tokens[i - 1], tokens[i])) END")
+    met = rows.select("log_order", F.explode(F.array_distinct(each)).alias("pair")).join(pairs, "pair").groupBy("log_order").agg(F.collect_list("pair").alias("__pairs"))
+    joined = F.col("__pairs")
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.get(acc["out"], F.size(acc["out"]) - 1)
+        fits = F.coalesce(F.array_contains(joined, F.concat_ws(" ", acc["last"], x)), F.lit(False))
+        grown = F.concat(F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1), F.array(F.concat(last, F.lit("_"), x)))
+        return F.struct(F.when(fits, grown).otherwise(F.concat(acc["out"], F.array(x))).alias("out"), F.when(~fits, x).alias("last"))
+
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("last"))
+    done = F.aggregate("tokens", start, step, lambda acc: acc["out"])
+    return rows.join(met, "log_order", "left").withColumn("tokens", F.when(joined.isNull(), F.col("tokens")).otherwise(done)).drop("__pairs")
+
+
+def fuse_adjacent(logs: DataFrame, share: float = 0.9, least: int = 10) -> DataFrame:
+    """logs (log_order, tokens) with pairs of tokens that nearly always follow each other made one (joined by '_'), left to right."""
+    return fuse(logs.select("log_order", "tokens"), fusable_pairs(logs, share, least))
 
 
 def merge_clusters(templates: DataFrame, config: MinerConfig) -> DataFrame:
@@ -256,12 +368,6 @@ def merge_clusters(templates: DataFrame, config: MinerConfig) -> DataFrame:
     side = lambda x: templates.select(F.col("template_id").alias(x), F.col("tokens").alias(f"t{x}"), F.size("tokens").alias("n"))
     apart = F.aggregate(F.zip_with("ta", "tb", lambda x, y: F.when(x == y, 0).otherwise(1)), F.lit(0), lambda s, x: s + x)
     links = side("a").join(side("b"), "n").where("a < b").where(apart <= limit * F.col("n")).select("a", "b")
-    state = templates.select("template_id", F.col("template_id").alias("merged_id"))
-    both = materialize(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    while True:
-        lower = both.join(state, F.col("b") == F.col("template_id")).groupBy("a").agg(F.min("merged_id").alias("low"))
-        after = state.join(lower, F.col("template_id") == F.col("a"), "left").select("template_id", F.least("merged_id", F.coalesce("low", "merged_id")).alias("merged_id"))
-        after = materialize(after)
-        if not after.join(state.withColumnRenamed("merged_id", "was"), "template_id").where("merged_id <> was").limit(1).count():
-            return after
-        state = after
+    groups = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    ids = templates.select("template_id").join(groups, F.col("template_id") == F.col("node"), "left")
+    return ids.select("template_id", F.coalesce("component", "template_id").alias("merged_id"))

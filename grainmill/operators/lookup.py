@@ -15,14 +15,17 @@ def trie_lookup(lines: DataFrame, templates: DataFrame) -> DataFrame:
 
     The walk is a filter on a join: of the templates that share a line's first steps, those stay that take the exact child
     wherever one exists. The step signature (0 exact, 1 wild) of the walk is the least among the prefixes of all
-    templates that fit so far, so a template is found only if its signature agrees with that at every place.
+    templates that fit so far (they compare as arrays, and 2 stands where one fits no more), so a template is found only if
+    its signature agrees with that at every place.
     """
     table = templates.select("template_id", F.col("tokens").alias("pattern"), F.coalesce(F.get("tokens", F.lit(0)), F.lit("")).alias("head"))
     heads = F.explode(F.array_distinct(F.array(F.coalesce(F.get("tokens", F.lit(0)), F.lit("")), F.lit(WILD)))).alias("head")
-    step = F.zip_with("tokens", F.slice("pattern", F.lit(1), F.greatest(F.size("tokens"), F.lit(1))), lambda x, p: F.when(p.isNull() | x.isNull(), "9").when(x == p, "0").when(p == WILD, "1").otherwise("9"))
-    signed = lines.select("log_order", "tokens", heads).join(table, "head").withColumn("path", F.regexp_replace(F.array_join(step, ""), F.lit("9.*"), F.lit("")))
-    walks = signed.groupBy("log_order").agg(F.min(F.rpad("path", 1000, "2")).alias("best"))
-    whole = signed.join(walks, "log_order").where((F.size("pattern") == F.size("tokens")) & (F.length("path") == F.size("tokens")) & (F.rpad("path", 1000, "2") == F.col("best")))
+    step = F.zip_with("tokens", F.slice("pattern", F.lit(1), F.greatest(F.size("tokens"), F.lit(1))), lambda x, p: F.when(x == p, 0).when(x.isNotNull() & (p == WILD), 1).otherwise(2))
+    end = F.array_position("path", 2)  # where the walk leaves the template
+    signed = lines.select("log_order", "tokens", heads).join(table, "head").withColumn("path", step)
+    signed = signed.withColumn("path", F.when(end > 0, F.slice("path", F.lit(1), end.cast("int"))).otherwise(F.col("path")))
+    walks = signed.groupBy("log_order").agg(F.min("path").alias("best"))
+    whole = signed.join(walks, "log_order").where((F.size("pattern") == F.size("tokens")) & ~F.array_contains("path", 2) & (F.col("path") == F.col("best")))
     found = whole.groupBy("log_order").agg(F.max("template_id").alias("template_id"))
     return lines.select("log_order").join(found, "log_order", "left")
 
@@ -49,10 +52,16 @@ def hit_rate(found: DataFrame) -> DataFrame:
     return found.agg(F.coalesce(F.avg(F.col("template_id").isNotNull().cast("double")), F.lit(0.0)).alias("hit_rate"), F.count("template_id").alias("hits"), F.count("*").alias("lookups"))
 
 
+def first_of(templates: DataFrame) -> DataFrame:
+    """The templates, of rows of one id the first by `at` if there is such a column (else that of the least tokens)."""
+    order = F.struct("at", "tokens") if "at" in templates.columns else F.col("tokens")
+    return templates.groupBy("template_id").agg(F.min_by("tokens", order).alias("tokens"))
+
+
 def scores(lines: DataFrame, templates: DataFrame) -> DataFrame:
     """log_order, template_id, score (Jaccard) for lines and templates that share a token: an inverted-index join."""
     left = lines.select("log_order", F.array_distinct("tokens").alias("a"))
-    right = templates.dropDuplicates(["template_id"]).select("template_id", F.array_distinct("tokens").alias("b"))
+    right = first_of(templates).select("template_id", F.array_distinct("tokens").alias("b"))
     met = left.select("log_order", F.size("a").alias("na"), F.explode("a").alias("token")).join(right.select("template_id", F.size("b").alias("nb"), F.explode("b").alias("token")), "token")
     common = met.groupBy("log_order", "template_id", "na", "nb").agg(F.count("*").alias("c"))
     return common.select("log_order", "template_id", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("score"))
@@ -66,7 +75,7 @@ def most_similar(lines: DataFrame, templates: DataFrame, threshold: float = 0.5)
 
 def top_k(lines: DataFrame, templates: DataFrame, k: int) -> DataFrame:
     """log_order, rank, template_id, score: the k most similar templates; those that share no token come last, by id."""
-    distinct = templates.dropDuplicates(["template_id"])
+    distinct = first_of(templates)
     some = scores(lines, distinct)
     order = Window.partitionBy("log_order").orderBy(F.desc("score"), "template_id")
     first = some.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

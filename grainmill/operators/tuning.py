@@ -102,8 +102,8 @@ def judge(logs: DataFrame, truth: DataFrame | None, config: MinerConfig) -> tupl
     """ga and exact template accuracy after training on all lines and matching them again; 1 and 1 without a truth."""
     if truth is None:
         return 1.0, 1.0
-    mined = drain.mine(logs, config)
-    found = drain.match(logs, drain.templates_of(mined), config)
+    pairs = drain.learned_pairs(logs, config) if config.adjacent_fusion else None
+    found = drain.match(logs, drain.templates_of(drain.mine(logs, config, pairs=pairs), config), config, pairs)
     parsed = found.select(F.col("log_order").cast("string").alias("log_id"), F.coalesce("template", F.lit("")).alias("template"), F.coalesce(F.col("template_id"), F.lit(-1)).cast("string").alias("event_id"), F.col("log_order").alias("at"))
     cells = evaluate.contingency(parsed, truth)
     row = evaluate.grouping_accuracy(cells).crossJoin(evaluate.parsing_accuracy(parsed, truth)).first()

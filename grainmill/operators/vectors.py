@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainmill.functions.similarity import cosine
+from grainmill.operators.graph import components
 from grainmill.plans.tables import materialize
 
 
@@ -98,20 +99,19 @@ def dbscan_graph(ids: DataFrame, near: DataFrame, min_points: int = 3) -> DataFr
     both = materialize(near.select("i", "j").unionByName(near.select(F.col("j").alias("i"), F.col("i").alias("j"))))
     cores = materialize(ids.join(both.groupBy(F.col("i").alias("id")).agg(F.count("*").alias("n")), "id", "left").where(F.coalesce("n", F.lit(0)) + 1 >= min_points).select("id"))
     core_i, core_j = cores.withColumnRenamed("id", "i"), cores.withColumnRenamed("id", "j")
-    links = materialize(both.join(core_i, "i", "left_semi").join(core_j, "j", "left_semi"))
-    state = cores.select("id", F.col("id").alias("label"))
-    while True:
-        low = links.join(state, F.col("j") == F.col("id")).groupBy("i").agg(F.min("label").alias("low"))
-        after = materialize(state.join(low, F.col("id") == F.col("i"), "left").select("id", F.least("label", F.coalesce("low", "label")).alias("label")))
-        moved = after.join(state.withColumnRenamed("label", "was"), "id").where("label <> was").limit(1).count()
-        state = after
-        if not moved:
-            break
+    links = both.join(core_i, "i", "left_semi").join(core_j, "j", "left_semi").where("i < j")
+    groups = components(links.select(F.col("i").alias("u"), F.col("j").alias("v")))
+    state = cores.join(groups, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("label"))
     border = both.join(state, F.col("j") == F.col("id")).groupBy("i").agg(F.min("label").alias("border"))
     labelled = ids.join(state, "id", "left").join(border, F.col("id") == F.col("i"), "left")
     return labelled.select("id", F.coalesce("label", "border", F.lit(-1)).alias("label"))
 
 
+def groups(labelled: DataFrame) -> DataFrame:
+    """batch, label, ids (ascending) of each cluster of labels (batch, id, label); noise is in none. A batch is bounded by its maker."""
+    return labelled.where("label >= 0").groupBy("batch", "label").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+
+
 def dpp_order(vectors: np.ndarray, k: int) -> list[int]:
     """Greedy diverse picks: the largest self-similarity less the squared similarities to what is picked, first on ties."""
     n = len(vectors)

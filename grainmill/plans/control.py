@@ -18,6 +18,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from grainmill.config import ControlConfig
 from grainmill.operators import vectors
+from grainmill.plans import prompts
 from grainmill.streaming import mining
 
 #: Patterns of the tags in a model's templates.
@@ -138,6 +139,18 @@ def read_reply(structured: dict | None, text: str) -> dict:
     return {"template": (found[1] if found else text).strip(), "variables": [], "confidence": 0.5}
 
 
+def reply_of(structured: Column, text: Column) -> Column:
+    """read_reply() for columns of replies: structured as JSON {template, confidence} or null, text as it came; struct(template, confidence)."""
+    said = F.from_json(structured, "template string, confidence double")
+    good = F.coalesce(said["template"], F.lit("")) != ""
+    return F.struct(F.when(good, said["template"]).otherwise(prompts.tagged_template(text)).alias("template"), F.when(good, F.coalesce(said["confidence"], F.lit(0.7))).otherwise(F.lit(0.5)).alias("confidence"))
+
+
+def line_pattern(template: str) -> str:
+    """pattern_of() as text for rlike()."""
+    return "^" + pattern_of(template).pattern.replace("\\Z", "\\z")
+
+
 def model_stats(calls: DataFrame) -> DataFrame:
     """calls and tokens by model of the calls' records (model, tokens)."""
     return calls.groupBy("model").agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +27,8 @@ class LogPipeline:
         self.templates: DataFrame | None = None
         self.counters: dict = {"processed": 0, "misses": 0, "calls": {}}
         self.last: DataFrame | None = None
+        self.pairs: DataFrame | None = None
+        self.trace: dict = {}
 
     def logs(self, lines: DataFrame) -> DataFrame:
         content = adapters.content(F.col("line"), self.config.adapter)
@@ -34,9 +38,12 @@ class LogPipeline:
     def parse(self, lines: DataFrame, emit: str = "online") -> DataFrame:
         """log_order, template_id, template, tokens, parameters, source, kind, metadata."""
         logs = self.logs(lines)
-        parsed = drain.train(logs.select("log_order", "content"), self.config.miner, emit).persist()
-        self.templates = drain.templates_of(drain.mine(logs.select("log_order", "content"), self.config.miner)).persist()
+        began, own = time.monotonic(), logs.select("log_order", "content")
+        self.pairs = drain.learned_pairs(own, self.config.miner) if self.config.miner.adjacent_fusion else None
+        parsed, templates = drain.trained(own, self.config.miner, emit, self.pairs)
+        parsed, self.templates = parsed.persist(), templates.persist()
         row = parsed.agg(F.count("*").alias("n"), F.sum((F.col("kind") == "miss").cast("long")).alias("m")).first()
+        self.trace = {"traceId": uuid.uuid4().hex, "parseDurationMs": round((time.monotonic() - began) * 1000, 2)}
         self.counters["processed"] += row["n"]
         self.counters["misses"] += row["m"] or 0
         self.last = parsed.join(logs, "log_order")
@@ -58,11 +65,11 @@ class LogPipeline:
 
     def match(self, lines: DataFrame) -> DataFrame:
         """log_order, template_id, template, source ('cache-hit' where a known template fits)."""
-        found = drain.match(self.logs(lines).select("log_order", "content"), self.templates, self.config.miner)
+        found = drain.match(self.logs(lines).select("log_order", "content"), self.templates, self.config.miner, self.pairs)
         return found.withColumn("source", F.when(F.col("template_id").isNotNull(), "cache-hit"))
 
     def refine(self) -> DataFrame:
-        """Refined templates of the last parse; they replace the old ones under the same id."""
+        """Refined templates of the last parse; they replace the old ones under the same id. Another parse starts anew."""
         groups = self.last.select("template_id", "log_order", "content")
         refined = refine.refine(groups, self.templates.select("template_id", "template"))
         better = refined.where("changed").select("template_id", "refined")
@@ -75,6 +82,10 @@ class LogPipeline:
         done = self.counters["processed"]
         return {"totalProcessed": done, "templateCount": n, "hitRate": (done - self.counters["misses"]) / done if done else 0.0, "modelStats": self.counters["calls"]}
 
+    def reconfigure(self, changes: dict) -> None:
+        """New settings (a deep merge); the templates stay."""
+        self.config = self.config.merged(changes)
+
     def save(self, path: str) -> None:
         state.save_state(self.spark, path, self.templates, self.counters)
 

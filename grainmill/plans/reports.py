@@ -20,6 +20,13 @@ def dense_ids(rows: DataFrame, text: str = "template", order: str = "log_order")
     return first.select("template", (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("id"))
 
 
+def first_pass(rows: DataFrame, most: int = 2000, text: str = "template", order: str = "log_order") -> tuple[DataFrame, DataFrame]:
+    """dense_ids() of the rows, and the first `most` rows with their ids (a sample to tune on; the limit is the operator)."""
+    ids = dense_ids(rows, text, order)
+    sample = rows.orderBy(order).limit(most).withColumnRenamed(text, "template").join(ids, "template")
+    return ids, sample
+
+
 def report(lines: DataFrame) -> DataFrame:
     """dataset, ga, fga, pta, fta from printed result rows (log_order, value): of each data set the last row, by name."""
     parts = lines.where(F.rlike("value", F.lit(RESULT_ROW)))
@@ -34,6 +41,11 @@ def observed(parsed: DataFrame, name: str = "parse") -> tuple[DataFrame, Observa
     return parsed.observe(seen, F.count("*").alias("lines"), F.sum((F.col("kind") == "miss").cast("long")).alias("misses"), F.sum(F.size("parameters").cast("long")).alias("parameters")), seen
 
 
+def traced(parsed: DataFrame, trace: dict) -> DataFrame:
+    """parsed with trace_id and parse_duration_ms of its run."""
+    return parsed.withColumn("trace_id", F.lit(trace["traceId"])).withColumn("parse_duration_ms", F.lit(trace["parseDurationMs"]))
+
+
 def run_all(logs: DataFrame, truth: DataFrame, config: MinerConfig | None = None) -> DataFrame:
     """dataset and the metrics of evaluate() for each data set of logs (dataset, log_order, content) and truth (dataset, ...).
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+from itertools import islice
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,11 +25,25 @@ def clean_lines(lines: DataFrame, trim: bool = False) -> DataFrame:
     return lines.where(bare != "").select(text.alias("value"))
 
 
+def line_count(lines: DataFrame) -> DataFrame:
+    """One row: n, how many lines there are."""
+    return lines.agg(F.count("*").alias("n"))
+
+
 def stream_lines(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of the lines of files dropped into a folder."""
     return clean_lines(spark.readStream.text(folder))
 
 
+def read_handle(spark: SparkSession, handle: Iterable[str], folder: str, most: int = 100_000) -> DataFrame:
+    """The lines of an open text stream such as sys.stdin, as files of `most` lines in a shared folder; no more are held at a time."""
+    lines = iter(handle)
+    spark.createDataFrame([], "value string").write.mode("append").text(folder)  # the folder is there even if no line is
+    while part := [(x.rstrip("\r\n"),) for x in islice(lines, most)]:
+        spark.createDataFrame(part, "value string").coalesce(1).write.mode("append").text(folder)
+    return clean_lines(spark.read.text(folder))
+
+
 def datasets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(x,) for x in DATASETS], "name string")
 
@@ -44,7 +62,10 @@ def labelled_line(line: Column) -> Column:
 def read_labelled(spark: SparkSession, path: str) -> DataFrame:
     """log_order, log_id, content, template, event_id of a labelled CSV; a header line with an event id column is skipped."""
     lines = spark.read.text(path).where(F.trim("value") != "")
-    rows = lines.withColumn("log_order", F.monotonically_increasing_id()).where(~((F.col("log_order") == 0) & F.rlike("value", F.lit("[eE]ventId"))))
+    head = lines.first()
+    if head is not None and re.search("[eE]ventId", head[0]):
+        lines = lines.where(F.col("value") != head[0])  # the header of every file
+    rows = lines.withColumn("log_order", F.monotonically_increasing_id())
     return rows.select("log_order", labelled_line(F.col("value")).alias("r")).where(F.col("r").isNotNull()).select("log_order", "r.*")
 
 
@@ -67,6 +88,6 @@ def read_structured(spark: SparkSession, path: str) -> DataFrame:
     if head is None:
         return spark.createDataFrame([], "log_order long, content string, template string, event_id string")
     names = [x.strip().strip('"').lstrip("﻿") for x in head[0].split(",")]
-    rows = lines.withColumn("log_order", F.monotonically_increasing_id()).where("log_order > 0").where(F.trim("value") != "")
+    rows = lines.withColumn("log_order", F.monotonically_increasing_id()).where((F.col("value") != head[0]) & (F.trim("value") != ""))  # the header of every file
     rows = rows.withColumn("f", repaired_fields(F.col("value"), names))
     return rows.select("log_order", F.col("f")["Content"].alias("content"), F.col("f")[names[-1]].alias("template"), (F.col("f")["EventId"] if "EventId" in names else F.lit("")).alias("event_id"))

@@ -16,6 +16,30 @@ def load_templates(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+class TemplateStore:
+    """One table of templates under a folder. Before open() nothing can be saved and nothing is found."""
+
+    def __init__(self) -> None:
+        self.path: str | None = None
+
+    def open(self, folder: str) -> TemplateStore:
+        self.path = f"{folder.rstrip('/')}/templates"
+        return self
+
+    def save(self, templates: DataFrame) -> None:
+        if self.path is None:
+            raise RuntimeError("open the store first")
+        save_templates(templates, self.path)
+
+    def load(self, spark: SparkSession) -> DataFrame | None:
+        """The saved templates; None before open() and where nothing was saved."""
+        if self.path is None:
+            return None
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_SUCCESS")
+        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        return load_templates(spark, self.path) if found else None
+
+
 def to_snapshot(templates: DataFrame) -> DataFrame:
     """One row: the templates as a JSON snapshot {"clusters": [{cluster_id, log_template_tokens, size}]}, by id. For template tables, not for logs."""
     each = F.struct(F.col("template_id").alias("cluster_id"), F.col("tokens").alias("log_template_tokens"), "size")

@@ -17,38 +17,58 @@ from grainmill.operators import drain
 def mine_stream(logs: DataFrame, config: MinerConfig | None = None) -> DataFrame:
     """log_order, cluster, template, kind of a stream (log_order, content), exact in log_order inside each micro-batch.
 
-    The state is kept by token count (the first level of the tree), which holds for any routing; it is the clusters'
-    templates, not the lines.
+    The state is kept by what the tree asks first and no later line can change: the token count and, with binning, the number
+    of masked tokens; for the Jaccard engine the first token. It is the clusters' templates, not the lines. Below that
+    lines are routed as they come. What needs one sequence over all lines (max_clusters) or all lines before the first one
+    (adjacent_fusion, merging) cannot be done on a stream and is refused.
     """
     config = config or MinerConfig()
+    for name in ("adjacent_fusion", "cluster_merge", "ael_similarity"):
+        if getattr(config, name):
+            raise ValueError(f"{name} needs all lines at once; mine tables with it")
+    if config.max_clusters is not None:
+        raise ValueError("max_clusters needs one sequence over all lines; mine tables with it")
     rows = logs.select("log_order", T.tokens(T.prepare(F.col("content"), config)).alias("tokens"))
-    rows = rows.select("log_order", F.array_join("tokens", " ").alias("text"), F.size("tokens").alias("n_tokens"))
+    jaccard = config.engine == "jaccard"
+    size = F.lit(0) if jaccard else F.size("tokens")
+    if jaccard:
+        part = F.coalesce(F.get("tokens", F.lit(0)), F.lit(""))
+    else:
+        part = F.size(F.filter("tokens", T.is_masked)).cast("string") if config.param_binning else F.lit("")
+    rows = rows.select("log_order", F.array_join("tokens", " ").alias("text"), size.alias("n_tokens"), part.alias("part"))
+    levels = 0 if jaccard else config.depth - 3
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        branches: dict[str, drain.Branch] = {}
-        order: list[str] = []
+        branches: dict[tuple[str, ...], drain.Branch] = {}
+        kids: dict[tuple[str, ...], list[str]] = {}  # of an inner node: the prefixes that have branches of their own
         if state.exists:
-            for name, firsts, templates in json.loads(state.get[0]):
-                branch = branches[name] = drain.Branch()
+            leaves, inner = json.loads(state.get[0])
+            for path, firsts, templates in leaves:
+                branches[tuple(path)] = branch = drain.Branch()
                 branch.restore(firsts, templates)
-                order.append(name)
+            kids = {tuple(path): names for path, names in inner}
         frame = pd.concat(list(frames)).sort_values("log_order")
         out = []
         for at, text in zip(frame["log_order"], frame["text"], strict=True):
-            head = text.split(" ", 1)[0] if config.depth > 3 else ""
-            name = drain.WILD if any(c.isdigit() for c in head) else head
-            if name not in branches:
-                if name != drain.WILD and sum(x != drain.WILD for x in order) >= config.max_children:
-                    name = drain.WILD
-                if name not in branches:
-                    branches[name] = drain.Branch()
-                    order.append(name)
-            i, fresh = branches[name].add(int(at), text, config)
-            out.append((int(at), branches[name].firsts[i], branches[name].shown[i], "miss" if fresh else "match"))
-        state.update((json.dumps([(n, branches[n].firsts, branches[n].templates) for n in order]),))
+            words = text.split(" ", levels) if levels else []
+            path: tuple[str, ...] = ()
+            for k in range(levels):
+                name = words[k] if k < len(words) and words[k] else drain.WILD
+                name = drain.WILD if any(c.isdigit() for c in name) else name
+                own = kids.setdefault(path, [])
+                if name != drain.WILD and name not in own:
+                    if len(own) < config.max_children:
+                        own.append(name)
+                    else:
+                        name = drain.WILD
+                path += (name,)
+            branch = branches.setdefault(path, drain.Branch())
+            i, fresh = branch.add(int(at), text, config)
+            out.append((int(at), branch.firsts[i], branch.shown[i], "miss" if fresh else "match"))
+        state.update((json.dumps([[(p, b.firsts, b.templates) for p, b in branches.items()], list(kids.items())]),))
         yield pd.DataFrame(out, columns=["log_order", "cluster", "template", "kind"])
 
-    return rows.groupBy("n_tokens").applyInPandasWithState(step, "log_order long, cluster long, template string, kind string", "clusters string", "append", "NoTimeout")
+    return rows.groupBy("n_tokens", "part").applyInPandasWithState(step, drain.MINED, "clusters string", "append", "NoTimeout")
 
 
 def feed_misses(logs: DataFrame, handle: Callable[[DataFrame, int], None], config: ControlConfig | None = None, trigger: dict | None = None):
