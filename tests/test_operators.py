@@ -1,13 +1,17 @@
 """The miner against a sequential one, and the other operators against known values."""
 
 import random
+import re
+from collections import Counter
+from itertools import pairwise
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from grainmill.config import ControlConfig, MinerConfig, PipelineConfig, from_dict, to_dict, to_env
-from grainmill.operators import drain, evaluate, lookup, refine, tuning, vectors
+from grainmill.functions import postprocess
+from grainmill.operators import drain, evaluate, graph, lookup, refine, tuning, vectors
 from grainmill.plans import control, reports
 from grainmill.plans.pipeline import LogPipeline
 from grainmill.sources import readers, state
@@ -265,3 +269,148 @@ def test_observed_and_embedded(spark):
     assert sorted(r.vector[0] for r in control.embed(logs(spark, ["a", "bbb"]), Lengths()).collect()) == [1.0, 3.0]
     assert control.read_reply(None, "x <TEMPLATE> a <*> </TEMPLATE>") == {"template": "a <*>", "variables": [], "confidence": 0.5}
     assert control.read_reply({"template": "t"}, "")["confidence"] == 0.7
+
+
+# --- settings that take effect, and rules said once more ---------------------------------------------------------------------
+def fused_plainly(lines):
+    """Pairs that follow each other in 90 % of at least ten cases, made one from left to right."""
+    tokens = [x.split() for x in lines]
+    alone = Counter(t for row in tokens for t in row)
+    pairs = Counter(p for row in tokens for p in pairwise(row))
+    fixed = {p for p, n in pairs.items() if n >= 10 and n >= 0.9 * alone[p[0]] and not p[0].startswith("<") and not p[1].startswith("<")}
+    out = []
+    for row in tokens:
+        got, i = [], 0
+        while i < len(row):
+            joined = i + 1 < len(row) and (row[i], row[i + 1]) in fixed
+            got.append("_".join(row[i : i + 2]) if joined else row[i])
+            i += 2 if joined else 1
+        out.append(" ".join(got))
+    return out
+
+
+def test_fusion_is_part_of_the_training(spark):
+    rng = random.Random(3)
+    lines = [f"session opened for user {rng.choice('abc')} on tty{rng.randrange(3)} now done ok" for _ in range(60)] + ["for user user for user"]
+    config = MinerConfig(masks="none", adjacent_fusion=True)
+    plain = sequential(fused_plainly(lines), config)
+    got = sorted((r.log_order, r.cluster, r.template, r.kind) for r in drain.mine(logs(spark, lines), config).collect())
+    assert got == plain and got != sequential(lines, config)
+    out = {r.log_order: r for r in drain.train(logs(spark, lines), config).collect()}
+    assert [out[i].template for i in range(len(lines))] == [t for _, _, t, _ in plain]
+    assert all(len(r.tokens) == len(r.template.split()) for r in out.values())
+    pipeline = LogPipeline(spark, PipelineConfig(miner=config))
+    pipeline.parse(logs(spark, lines).withColumnRenamed("content", "line"))
+    found = pipeline.match(logs(spark, [lines[0]]).withColumnRenamed("content", "line")).first()
+    assert found.template_id is not None
+
+
+@pytest.mark.parametrize("flags", [{"cluster_merge": True}, {"ael_similarity": True, "max_diff_ratio": 0.4}])
+def test_merging_is_part_of_the_training(spark, flags):
+    lines = ["alpha one two three four", "beta one two three four", "beta one two three five", "gamma x y z w", "other"] * 2
+    apart = MinerConfig(masks="none", sim_th=0.9)
+    config = MinerConfig(masks="none", sim_th=0.9, **flags)
+    before, after = (drain.trained(logs(spark, lines), c, "final") for c in (apart, config))
+    assert {r.template for r in before[1].collect()} == set(lines)
+    merged = {r.template_id: (r.template, r.size) for r in after[1].collect()}
+    assert merged == {1: ("<*> one two three <*>", 6), 4: ("gamma x y z w", 2), 5: ("other", 2)}
+    assert {(r.log_order % 5, r.template_id, r.template) for r in after[0].collect()} == {(i, max(k for k in merged if k <= i + 1 and (k == 1) == (i < 3)), merged[1][0] if i < 3 else lines[i]) for i in range(5)}
+    pipeline = LogPipeline(spark, PipelineConfig(miner=config))
+    pipeline.parse(logs(spark, lines).withColumnRenamed("content", "line"))
+    assert pipeline.stats()["templateCount"] == 3
+
+
+def test_bounded_mining_keeps_affixes(spark):
+    lines = ["sent b10x now", "sent b20x now", "sent b30x now"]
+    out = drain.mine(logs(spark, lines), MinerConfig(masks="none", affix_preserving=True, max_clusters=5)).orderBy("log_order").collect()
+    assert out[-1].template == "sent b<*>0x now"
+
+
+def test_lookups_of_long_lines(spark):
+    """Templates that differ after a thousand tokens are told apart; the exact one wins."""
+    head = ["a"] * 1500
+    templates = spark.createDataFrame([(1, [*head, "x", "y"]), (2, [*head, "x", "<*>"])], "template_id long, tokens array<string>")
+    lines = spark.createDataFrame([(0, [*head, "x", "y"]), (1, [*head, "x", "z"]), (2, [*head, "q", "z"]), (3, head)], "log_order long, tokens array<string>")
+    assert {r.log_order: r.template_id for r in lookup.trie_lookup(lines, templates).collect()} == {0: 1, 1: 2, 2: None, 3: None}
+
+
+def streamed(spark, tmp_path, lines, config):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for lo in range(0, len(lines), 100):  # three micro-batches
+        spark.createDataFrame([(lo + i, x) for i, x in enumerate(lines[lo : lo + 100])], "log_order long, content string").coalesce(1).write.mode("append").parquet(source)
+        found = mining.mine_stream(spark.readStream.schema("log_order long, content string").parquet(source), config)
+        found.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "seen")).trigger(availableNow=True).start(out).awaitTermination()
+    return sorted((r.log_order, r.cluster, r.template, r.kind) for r in spark.read.parquet(out).collect())
+
+
+@pytest.mark.parametrize(
+    "config",
+    [MinerConfig(masks="none", depth=5, max_children=2), MinerConfig(masks="none", engine="jaccard"), MinerConfig(param_binning=True), MinerConfig(masks="none", affix_preserving=True)],
+)
+def test_streams_honour_the_settings(spark, tmp_path, config):
+    lines = stream(4)
+    tables = sorted((r.log_order, r.cluster, r.template, r.kind) for r in drain.mine(logs(spark, lines), config).collect())
+    assert streamed(spark, tmp_path, lines, config) == tables
+
+
+@pytest.mark.parametrize("config", [MinerConfig(max_clusters=3), MinerConfig(adjacent_fusion=True), MinerConfig(cluster_merge=True), MinerConfig(ael_similarity=True)])
+def test_streams_refuse_what_they_cannot_do(spark, tmp_path, config):
+    with pytest.raises(ValueError, match="all lines"):
+        mining.mine_stream(spark.readStream.schema("log_order long, content string").parquet(str(tmp_path)), config)
+
+
+def checked_plainly(template, lines):
+    for line in lines:
+        for word in [w for w in re.sub("<[^>]*>", " ", template).split() if len(w) > 1]:
+            if word not in line:
+                template = template.replace(word, "<*>")
+    return template
+
+
+def test_constants_are_checked_line_by_line(spark):
+    """Words that overlap: what one line takes away changes what later lines are asked for."""
+    rng = random.Random(7)
+    words = ["user", "username", "name", "users", "use", "ab", "abc", "cab", "x"]
+    drafts, rows = [], []
+    for k in range(25):
+        draft = " ".join(rng.choices([*words, "<*>"], k=6))
+        lines = [" ".join(rng.choices(words, k=rng.randrange(4, 12))) for _ in range(rng.randrange(1, 9))]
+        drafts.append((k, draft))
+        rows += [(k, i, x) for i, x in enumerate(lines)]
+    drafts.append((99, "no lines"))
+    got = refine.checked(spark.createDataFrame(drafts, "template_id long, draft string"), spark.createDataFrame(rows, "template_id long, log_order long, content string").repartition(4))
+    assert {r.template_id: r.draft for r in got.collect()} == {k: checked_plainly(d, [x for j, _, x in rows if j == k]) for k, d in drafts}
+
+
+def test_hostnames_as_cut_from_the_text(spark):
+    """The rule against a reading character by character."""
+    whole = re.compile(r"(?i)\b[\w.-]+\.[a-z]{2,}\b(?!@)", re.ASCII)
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(["a", "b.c", ".com", "-", "1", " ", "@", "/", "x9.org", "..", "Z"]) for _ in range(rng.randrange(1, 12))) for _ in range(400)]
+    want = [whole.sub(lambda m: m[0] if m[0][0].isdigit() else "<HOSTNAME>", t) for t in texts]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    assert [r.h for r in df.select("i", postprocess.type_hostnames(F.col("t")).alias("h")).orderBy("i").collect()] == want
+
+
+def test_components_of_core(spark):
+    links = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 101), (7, 7)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == {**dict.fromkeys(range(31), 0), 100: 100, 101: 100, 102: 100}
+
+
+def test_handles_and_stores(spark, tmp_path):
+    lines = readers.read_handle(spark, iter(["one\r\n", "  \n", "two\n", "three"]), str(tmp_path / "in"), most=2)
+    assert sorted(r.value for r in lines.collect()) == ["one", "three", "two"]
+    assert readers.read_handle(spark, iter([]), str(tmp_path / "none")).count() == 0
+    store = state.TemplateStore()
+    with pytest.raises(RuntimeError, match="open"):
+        store.save(lines)
+    assert store.load(spark) is None and store.open(str(tmp_path / "s")).load(spark) is None
+
+
+def test_settings_of_a_running_pipeline(spark):
+    pipeline = LogPipeline(spark)
+    pipeline.parse(logs(spark, ["job 17 done", "job 18 done"]).withColumnRenamed("content", "line"))
+    pipeline.reconfigure({"miner": {"masks": "none"}, "adapter": "syslog"})
+    assert (pipeline.config.miner.masks, pipeline.config.adapter, pipeline.stats()["templateCount"]) == ("none", "syslog", 1)
+    assert set(pipeline.trace) == {"traceId", "parseDurationMs"} and pipeline.trace["parseDurationMs"] > 0
