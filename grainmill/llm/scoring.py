@@ -3,17 +3,17 @@
 Both score the same thing: the text lower-cased (A-Z) as its words, one space after each, and one newline as its end; so
 white space and case cost neither anything. The documents whose crc32(id) mod 7 is not 2 train, all are scored.
 
-Training counts n-grams of `depth` + 1 bytes and words, combined in each task before they are shuffled, over all of the
-training text. The tree keeps every context seen at least `least` times, so it grows with the text; what rarer ones saw
-enters the context one byte shorter. It is fitted in groups of the contexts that end in the same two bytes, each a
-subtree: up, over the two levels above on the driver (257 contexts), and down again. The rows, 256 floats a context,
-are a table in the shared folder.
-
-For scoring they are dealt by their last three bytes into shards of about `per_shard` contexts, each one broadcast: beside
-those it has the contexts of two bytes and fewer, 65,793 at most, so its size doesn't grow. A task gathers the n-grams of
-ROUND bytes of text, deals them likewise and loads one shard after the other, holding one at a time. The base needs
-every word's count: the `common` most frequent words are broadcast (16 bytes each), the others are joined by shuffling
-their occurrences only.
+The n-grams of `depth` + 1 bytes and the words are counted over all texts, combined in each task before they are shuffled;
+those of held-out documents count 0. The tree keeps every context seen at least `least` times, so it grows with the
+text; what rarer ones saw enters the context one byte shorter. It is fitted in groups of the contexts that end in the same
+two bytes, each a subtree: up, over the two levels above on the driver (257 contexts), and down again, where each distinct
+n-gram of the group gets its probability. So the model comes out as a table of distinct n-grams, 12 bytes each, and no
+more of the tree than a group's is ever held.
+
+For scoring that table is dealt into shards of about `per_shard` n-grams, sorted and broadcast one by one. A task gathers
+the n-grams of ROUND bytes of text, sorts them and loads one shard after the other, holding one at a time. A table of
+more than `broadcast_grams` is joined by shuffling the documents' n-grams instead. The base needs every word's count: the
+`common` most frequent words are broadcast (16 bytes each), the others are joined by shuffling their occurrences only.
 
 Words are known by 64-bit hashes. Nulls: a null text is an empty one (its end alone); a null id counts as 'null' for the
 split. Repeated rows each train and each get a row. Without training rows all probabilities come from empty counts. An
@@ -31,12 +31,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import LOWER, SPACE, Block, Spans, arrays, blocks, mix, signed, tally, words
+from .blocks import LOWER, SPACE, Block, Spans, arrays, blocks, signed, tally, words
 from .common import id_text, materialize
-from .context_tree import Level, Lookup, Places, climb, descend
+from .context_tree import Level, Places, climb, descend
 
 END = np.uint64(0)  # the end's hash; a word's is never 0 but by chance of 2**-64
-ROUND = 8 << 20  # bytes of text scored together, against one shard of the tree after the other
+ROUND = 4 << 20  # bytes of text scored together, against one shard of the tree after the other
 FLUSH = 2_000_000  # distinct n-grams or words held by a task before they are sent on
 
 
@@ -87,24 +87,28 @@ def _sums(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBa
             k = keys[lo : lo + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(signed(k)), pa.array(n[lo : lo + 100_000].astype(np.int64))], ["kind", "key", "n"])
 
-    for batch in batches:
-        for block in blocks(batch.column("text"), 1 << 20):
-            data, first, tokens, _ = split(block)
-            for kind, part in enumerate((tally(tokens), tally(grams(data, first, depth)))):
-                held[kind].append(part)
-                if len(held[kind]) >= 16:
-                    held[kind] = [merged(kind)]
-                if len(held[kind]) == 1 and len(held[kind][0][0]) > FLUSH:
-                    yield from out(kind)
-                    held[kind] = []
+    for whole in batches:
+        for held_out in (False, True):
+            batch = whole.filter(pc.equal(whole.column("held_out"), held_out))
+            for block in blocks(batch.column("text"), 1 << 20):
+                data, first, tokens, _ = split(block)
+                for kind, (keys, n) in enumerate((tally(tokens), tally(grams(data, first, depth)))):
+                    if held_out and not kind:
+                        continue
+                    held[kind].append((keys, n * (not held_out)))
+                    if len(held[kind]) >= 16:
+                        held[kind] = [merged(kind)]
+                    if len(held[kind]) == 1 and len(held[kind][0][0]) > FLUSH:
+                        yield from out(kind)
+                        held[kind] = []
     for kind in (0, 1):
         if held[kind]:
             yield from out(kind)
 
 
 def train_counts(docs: DataFrame, depth: int) -> DataFrame:
-    """(kind, key, n) over the training documents: words by hash (0) and byte n-grams by code (1)."""
-    sums = docs.where(~F.col("held_out")).select("text").mapInArrow(lambda it: _sums(it, depth), "kind int, key long, n long")
+    """(kind, key, n): words by hash (0) and byte n-grams by code (1) with their occurrences in the training documents; n-grams of held-out ones alone with 0."""
+    sums = docs.select("text", "held_out").mapInArrow(lambda it: _sums(it, depth), "kind int, key long, n long")
     return materialize(sums.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
 
 
@@ -123,7 +127,7 @@ def most_frequent(rows: DataFrame, count: str, most: int) -> DataFrame:
 def contexts_of(counts: DataFrame, depth: int, least: int) -> DataFrame:
     """(d, context, codes, ns): the contexts of 0 to `depth` bytes seen `least` times (those of one byte or none all), with the counts after them."""
     each = [F.struct(F.lit(d).alias("d"), F.col("key").bitwiseAND((1 << 8 * (d + 1)) - 1).alias("code")) for d in range(depth + 1)]
-    levels = counts.where("kind = 1").select(F.explode(F.array(*each)).alias("x"), "n").groupBy("x.d", "x.code").agg(F.sum("n").alias("n"))
+    levels = counts.where("kind = 1 AND n > 0").select(F.explode(F.array(*each)).alias("x"), "n").groupBy("x.d", "x.code").agg(F.sum("n").alias("n"))
     found = levels.groupBy("d", F.shiftright("code", 8).alias("context")).agg(F.sum("n").alias("seen"), F.collect_list(F.struct("code", "n")).alias("x"))
     kept = found.where((F.col("d") < TOP) | (F.col("seen") >= least))
     return materialize(kept.select("d", "context", F.col("x.code").alias("codes"), F.col("x.n").alias("ns")), "contexts")
@@ -153,8 +157,8 @@ def _matrix(column: pa.ChunkedArray, kind: type, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
-def fit_tree(counts: DataFrame, depth: int, least: int) -> DataFrame:
-    """(d, context, logs): the tree's rows, logs the 256 floats of a context. Only the root's, the one-byte contexts' counts and the sums below these pass through the driver."""
+def probabilities(counts: DataFrame, depth: int, least: int) -> DataFrame:
+    """(code, logp): log10 of the probability of the last byte of every distinct n-gram. Only the root's and the one-byte contexts' counts and the sums below these pass through the driver."""
     if not TOP <= depth <= 6:
         raise ValueError(f"depth must be {TOP} to 6")
     spark = counts.sparkSession
@@ -179,81 +183,88 @@ def fit_tree(counts: DataFrame, depth: int, least: int) -> DataFrame:
     below[at], seen[at] = _matrix(sums.column("below"), np.float64, 255), _matrix(sums.column("seen"), np.float64, 256)
     shares, _, _ = climb(top, 0, below, seen)
     done = list(descend(top, shares, 0))
-    keys, state = top[1].keys, done[1][2]
-    handed = spark.sparkContext.broadcast((keys, state))
-
-    def table_of(levels: list[Level], first: int, tables: list[np.ndarray]) -> pa.Table:
-        d = np.repeat(np.arange(first, first + len(levels)), [len(x.keys) for x in levels])
-        return pa.table({"d": pa.array(d.astype(np.int32)), "context": pa.array(signed(np.concatenate([x.keys for x in levels]))), "logs": _blobs(np.concatenate(tables))})
-
-    def down(rows: pa.Table) -> pa.Table:
-        levels = _levels(rows, TOP, depth)
-        shares, _, _ = climb(levels, TOP)
-        keys, state = handed.value
-        parent = np.searchsorted(keys, levels[0].keys & np.uint64(255))
-        return table_of(levels, TOP, [t for _, t, _ in descend(levels, shares, TOP, tuple(x[parent] for x in state))])
-
-    shape = "d int, context long, logs binary"
-    first = spark.createDataFrame(table_of(top, 0, [t for _, t, _ in done]), shape)
-    return materialize(groups.groupBy("suffix").applyInArrow(down, shape).unionByName(first), "tree")
-
-
-def _unit(contexts: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each context of three bytes or more."""
-    return (mix((contexts & np.uint64(0xFFFFFF)) + np.uint64(1)) % np.uint64(shards)).astype(np.uint16)
+    handed = spark.sparkContext.broadcast((done[0][1], top[1].keys, done[1][1], done[1][2]))
+
+    def down(kept: pa.Table, grams_: pa.Table) -> pa.Table:
+        root, keys, table, state = handed.value
+        codes = grams_.column("code").to_numpy().view(np.uint64)
+        byte, before = (codes & np.uint64(255)).astype(np.int64), codes >> np.uint64(8)
+        out = root[0, byte]
+
+        def use(keys: np.ndarray, table: np.ndarray, d: int) -> None:
+            if not len(keys):
+                return
+            context = before & np.uint64((1 << 8 * d) - 1)
+            at = np.minimum(np.searchsorted(keys, context), len(keys) - 1)
+            hit = keys[at] == context
+            out[hit] = table[at[hit], byte[hit]]
+
+        use(keys, table, 1)
+        if kept.num_rows:
+            levels = _levels(kept, TOP, depth)
+            shares, _, _ = climb(levels, TOP)
+            above = np.searchsorted(keys, levels[0].keys & np.uint64(255))
+            for k, rows, _ in descend(levels, shares, TOP, tuple(x[above] for x in state)):
+                use(levels[k].keys, rows, TOP + k)
+        return pa.table({"code": grams_.column("code"), "logp": pa.array(out.astype(np.float32))})
+
+    every = counts.where("kind = 1").select(F.col("key").alias("code"), F.shiftright("key", 8).bitwiseAND((1 << 8 * TOP) - 1).alias("suffix"))
+    return materialize(groups.groupBy("suffix").cogroup(every.groupBy("suffix")).applyInArrow(down, "code long, logp float"), "model")
+
+
+def shards_of(model: DataFrame, per_shard: int, most: int) -> tuple[np.ndarray, list] | None:
+    """The model as broadcast, sorted arrays (codes, logp), and the least code of each but the first; one shard in the driver's memory at a time. None if it has more than `most` n-grams."""
+    n = model.count()
+    if n > most:
+        return None
+    shards = max(1, -(-n // per_shard))
+    bounds = sorted({int(x) for x in model.approxQuantile("code", [k / shards for k in range(1, shards)], 0.1 / shards)}) if shards > 1 else []
+    out = []
+    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
+        part = model if low is None else model.where(F.col("code") >= low)
+        rows = (part if high is None else part.where(F.col("code") < high)).toArrow()
+        codes = rows.column("code").to_numpy().view(np.uint64)
+        order = np.argsort(codes)
+        out.append(model.sparkSession.sparkContext.broadcast((codes[order], rows.column("logp").to_numpy()[order])))
+        del rows
+    return np.array(bounds, np.uint64), out
 
 
-def shards_of(tree: DataFrame, depth: int, per_shard: int) -> list:
-    """The tree as broadcast lookups, one shard of it in the driver's memory at a time."""
-    spark = tree.sparkSession
-    deep = tree.where(F.col("d") > TOP).count()
-    shards = max(1, -(-deep // per_shard))
+def _looked_up(codes: np.ndarray, bounds: np.ndarray, shards: list) -> np.ndarray:
+    """logp of each code, from one shard after the other."""
+    distinct, back = np.unique(codes, return_inverse=True)
+    edge = [0, *np.searchsorted(distinct, bounds).tolist(), len(distinct)]
+    found = np.empty(len(distinct))
+    for k, shard in enumerate(shards):
+        keys, logp = shard.value
+        found[edge[k] : edge[k + 1]] = logp[np.searchsorted(keys, distinct[edge[k] : edge[k + 1]])]
+        if len(shards) > 1:
+            del keys, logp
+            shard.__dict__.pop("_value", None)  # loaded again from its file in the next round
+    return found[back]
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            of = _unit(batch.column("context").to_numpy().view(np.uint64), shards).astype(np.int32)
-            of[batch.column("d").to_numpy() <= TOP] = -1
-            yield batch.append_column("shard", pa.array(of))
 
-    dealt = tree.mapInArrow(number, "d int, context long, logs binary, shard int")
-    dealt = materialize(dealt.repartition("shard"), "shards") if shards > 1 else dealt
-    out = []
-    for s in range(shards):
-        rows = dealt.where((F.col("shard") == s) | (F.col("shard") == -1)).select("d", "context", "logs").toArrow()
-        d, context = rows.column("d").to_numpy(), rows.column("context").to_numpy().view(np.uint64)
-        out.append(spark.sparkContext.broadcast(Lookup(d, context, _matrix(rows.column("logs"), np.float32, 256), depth)))
-        out[-1].unpersist()  # the driver's copy is in its file
-        del rows
-    return out
+_OUT = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "rare", "score", "size", "codes"]
 
 
-def _score(batches: Iterator[pa.RecordBatch], shards: list, depth: int, words_known: tuple[Places, np.ndarray], log_total: float) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model: tuple[np.ndarray, list] | None, depth: int, words_known: tuple[Places, np.ndarray], log_total: float) -> Iterator[pa.RecordBatch]:
+    """Rows of _OUT; codes are the n-grams of those documents that are still to be joined with the model (None)."""
     places, known = words_known
     logs = np.log10(known + 1.0) - log_total
     held: list[tuple[list[pa.Array], np.ndarray, np.ndarray]] = []
 
     def scored() -> Iterator[pa.RecordBatch]:
-        codes = np.concatenate([c for _, c, _ in held])
-        order, edge = slice(None), [0, len(codes)]
-        if len(shards) > 1:
-            of = _unit(codes >> np.uint64(8), len(shards))
-            order = np.argsort(of, kind="stable")
-            edge = np.searchsorted(of[order], np.arange(len(shards) + 1)).tolist()
-        dealt = codes[order]
-        part = np.empty(len(codes))
-        for k, shard in enumerate(shards):
-            part[edge[k] : edge[k + 1]] = shard.value.log10(dealt[edge[k] : edge[k + 1]])
-            if len(shards) > 1:
-                shard.__dict__.pop("_value", None)  # loaded again from its file in the next round
-        score = np.empty(len(codes))
-        score[order] = part
+        score = _looked_up(np.concatenate([c for _, c, _ in held]), *model) if model else None
         lo = 0
         for columns, codes, first in held:
-            total = np.concatenate(([0.0], np.cumsum(score[lo : lo + len(codes)])))
-            value, size = np.diff(total[first]), np.diff(first)
-            lo += len(codes)
-            bits = value / (-np.log10(2) * size)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(value), pa.array(bits)], ["row", "doc_id", "held_out", "n_tokens", "known", "base", "rare", "score", "bits_per_byte"])
+            size = pa.array(np.diff(first))
+            if model:
+                total = np.concatenate(([0.0], np.cumsum(score[lo : lo + len(codes)])))
+                lo += len(codes)
+                rest = [pa.array(np.diff(total[first])), size, arrays(np.zeros(0, np.int64), np.zeros(len(first), np.int64), pa.int64())]
+            else:
+                rest = [pa.array(np.zeros(len(first) - 1)), size, arrays(signed(codes), first, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, *rest], _OUT)
         held.clear()
 
     size = 0
@@ -276,27 +287,30 @@ def _score(batches: Iterator[pa.RecordBatch], shards: list, depth: int, words_kn
         yield from scored()
 
 
-def score_documents(docs: DataFrame, depth: int = 5, least: int = 16, common: int = 262_144, per_shard: int = 32_768) -> DataFrame:
+def score_documents(docs: DataFrame, depth: int = 5, least: int = 16, common: int = 262_144, per_shard: int = 4_000_000, broadcast_grams: int = 100_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), bits_per_byte of what is modelled."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", (F.crc32(id_text().cast("binary")) % 7 == 2).alias("held_out"))
     counts = train_counts(docs, depth)
-    shards = shards_of(fit_tree(counts, depth, least), depth, per_shard)
-    vocabulary = counts.where(F.col("kind") == 0).select("key", "n")
+    table = probabilities(counts, depth, least)
+    model = shards_of(table, per_shard, broadcast_grams)
+    vocabulary = counts.where("kind = 0").select("key", "n")
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     log_total = float(np.log10(total + distinct + 1))
     head = most_frequent(vocabulary, "n", common).toArrow()  # `common` rows at most
     shared = spark.sparkContext.broadcast((Places(head.column("key").to_numpy().view(np.uint64)), head.column("n").to_numpy()))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.withColumn("row", F.monotonically_increasing_id())
-    scored = rows.mapInArrow(
-        lambda it: _score(it, shards, depth, shared.value, log_total), f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, rare array<long>, score double, bits_per_byte double"
-    )
-    scored = materialize(scored, "scored")
+    shape = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, rare array<long>, score double, size long, codes array<long>"
+    scored = materialize(rows.mapInArrow(lambda it: _score(it, model, depth, shared.value, log_total), shape), "scored")
     rare = scored.select("row", F.explode("rare").alias("key")).join(vocabulary, "key", "left")
     rare = rare.groupBy("row").agg(F.count("n").alias("rare_known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1.0) - log_total).alias("rare_base"))
-    out = scored.drop("rare").join(rare, "row", "left")
+    out = scored.drop("rare", "codes").join(rare, "row", "left")
+    if model is None:
+        each = scored.select("row", F.explode("codes").alias("code")).groupBy("row", "code").agg(F.count("*").alias("times"))
+        sums = each.join(table, "code").groupBy("row").agg(F.sum(F.col("times") * F.col("logp").cast("double")).alias("joined"))
+        out = out.join(sums, "row", "left").withColumn("score", F.coalesce("joined", "score"))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), "score", "bits_per_byte",
+        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), "score", (F.col("score") / (-np.log10(2.0) * F.col("size"))).alias("bits_per_byte"),
     )

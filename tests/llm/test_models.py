@@ -160,8 +160,8 @@ def test_context_tree_against_recursion():
         assert (10 ** every.astype(float)).sum() == pytest.approx(1, abs=1e-5)
 
 
-@pytest.mark.parametrize(("least", "per_shard"), [(1, 10**6), (3, 10**6), (3, 7)])
-def test_scores_against_recursion(spark, least, per_shard):
+@pytest.mark.parametrize(("least", "per_shard", "most"), [(1, 10**6, 10**6), (3, 10**6, 10**6), (3, 7, 10**6), (3, 10**6, 0)])
+def test_scores_against_recursion(spark, least, per_shard, most):
     """The whole way: training, fitting by groups, pruning, shards; each document's score and code length."""
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice(["Ab", "ra", "cad", "abra", "é"]) for _ in range(rng.randrange(0, 9)))) for i in range(40)] + [(None, None), (99, " \t")]
@@ -170,7 +170,7 @@ def test_scores_against_recursion(spark, least, per_shard):
     pairs = lambda t: [((b"\n" * depth + t)[k : k + depth], t[k]) for k in range(len(t))]
     held = lambda i: zlib.crc32(("null" if i is None else str(i)).encode()) % 7 == 2
     plain = plain_tree([x for i, t in rows if not held(i) for x in pairs(model(t))], depth, least)
-    out = {r.doc_id: r for r in scoring.score_documents(frame(spark, rows), depth=depth, least=least, per_shard=per_shard).collect()}
+    out = {r.doc_id: r for r in scoring.score_documents(frame(spark, rows), depth=depth, least=least, per_shard=per_shard, broadcast_grams=most).collect()}
     assert len(out) == len(rows)
     for i, t in rows:
         want = sum(plain(c, b) for c, b in pairs(model(t)))
@@ -185,8 +185,8 @@ def test_the_tree_grows_with_the_text(spark):
     sizes = []
     for n in (100, 400):
         rows = [(i, " ".join([word(), word()] * 9)) for i in range(n)]
-        docs = scoring.train_counts(frame(spark, rows).withColumn("held_out", F.lit(False)), 4)
-        sizes.append(scoring.fit_tree(docs, 4, 8).count())
+        counts = scoring.train_counts(frame(spark, rows).withColumn("held_out", F.lit(False)), 4)
+        sizes.append(scoring.contexts_of(counts, 4, 8).count())
     assert sizes[1] > 3 * sizes[0]
 
 
