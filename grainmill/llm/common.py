@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import gc
-import re
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grainmill.plans.tables import discard, materialize
+
+__all__ = ["WORD", "discard", "hex_unit", "id_text", "materialize", "table", "unit", "unused", "without"]
+
 #: Words of the contracts: maximal runs of bytes other than space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,38 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir. Where that is unset, a folder of our own if
-    everything runs in one process (tests); on a cluster that is an error, since executors don't share local folders."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.match(r"local(\[|\Z)", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="grainmill-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: it cuts the lineage, and a lost executor costs one read."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/grainmill-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    gc.collect()  # Spark drops the shuffle files of what was written when the driver, Python first, collects its garbage
-    spark.sparkContext._jvm.System.gc()
-    out = spark.read.schema(df.schema).parquet(path)
-    out._grainmill_path = path
-    return out
-
-
-def discard(table: DataFrame) -> None:
-    """Delete the files of a materialized table that nothing reads any more."""
-    spark = table.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._grainmill_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def unused(df: DataFrame, name: str) -> str:
     """The name, made longer until no column of df has it."""
     have = {c.lower() for c in df.columns}

@@ -1,38 +1,5 @@
-"""Connected components of a table of links, by alternating large and small stars."""
+"""Connected components, as the library has them."""
 
-from __future__ import annotations
+from grainmill.operators.graph import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import discard, materialize
-
-
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
-
-
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component) for the nodes of links (u, v), component the least node that can be reached.
-
-    Every round links the nodes to the least of their neighbourhoods, by an aggregation and a join; rounds grow with the
-    logarithm of the longest path. Each one is written to the shared folder, so a lost executor costs one round.
-    """
-    edges = materialize(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    state = _state(edges)
-    for _ in range(most_rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
-        spent, edges = edges, materialize(small.distinct(), "links")
-        discard(spent)
-        now = _state(edges)
-        if now == state:
-            break
-        state = now
-    else:
-        raise RuntimeError("components did not settle")
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+__all__ = ["components"]

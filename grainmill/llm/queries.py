@@ -68,4 +68,4 @@ def op7_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES[op7_wrapper_induction.__name__] = op7_wrapper_induction
 
-ORACLES |= {"op1_minhash_near_dedup": near_dedup.components_sql(), "op6_doubling_substring_dedup": substring_dedup.removed_sql()}
+ORACLES |= {"op1_minhash_near_dedup": near_dedup.components_sql(), "op6_doubling_substring_dedup": substring_dedup.removed_sql(), "op8_suffix_array_dedup": suffix_dedup.removed_sql()}

@@ -213,3 +213,17 @@ def remove_repeats(docs: DataFrame, length: int = 100, texts: bool = True) -> Da
     per_doc = gone.groupBy("__doc").agg(F.collect_list("at").alias("ats"), F.collect_list("stop").alias("stops"))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary, removed array<long>" * texts
     return packed(docs).join(per_doc, "__doc", "left").mapInArrow(lambda it: _cut(it, length, texts), schema)
+
+
+def removed_sql(length: int = 100) -> str:
+    """The counts and digests of remove_repeats() in DuckDB's SQL, over all strings."""
+    return f"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+      p AS (SELECT doc_id, unnest(range(0, len(h) // 2 - {length - 1})) AS pos, h FROM d WHERE len(h) >= {2 * length}),
+      k AS (SELECT doc_id, pos, md5_number(substr(h, 2 * pos + 1, {2 * length})) AS key FROM p),
+      late AS (SELECT doc_id, pos FROM k QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id, pos) > 1),
+      edge AS (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM late),
+      run AS (SELECT doc_id, pos, sum((before IS NULL OR pos > before + {length})::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM edge),
+      span AS (SELECT doc_id, run, min(pos) AS lo, max(pos) + {length} AS hi FROM run GROUP BY ALL),
+      kept AS (SELECT doc_id, lo, lag(hi, 1, 0) OVER (PARTITION BY doc_id ORDER BY lo) AS start, hi FROM span),
+      parts AS (SELECT k.doc_id, string_agg(substr(h, 2 * start + 1, 2 * (lo - start)), '' ORDER BY lo) || substr(any_value(h), 2 * max(hi) + 1) AS rest, sum(hi - lo) AS gone, count(*) AS n FROM kept k JOIN d USING (doc_id) GROUP BY k.doc_id)
+      SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256 FROM d LEFT JOIN parts USING (doc_id)"""
