@@ -11,6 +11,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark's setting to delete a query's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir. Where that is unset, a folder of our own if everything runs in one process (tests); on
     a cluster that is an error, since executors don't share local folders."""
@@ -25,10 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, tag: str = "table") -> DataFrame:
-    """df written to the shared folder and read back: it cuts the lineage, and a lost executor costs one read."""
+    """df written to the shared folder and read back: it cuts the lineage, and a lost executor costs one read.
+
+    The shuffle files of what was written are deleted with it, not when the driver next collects its garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/grainmill-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._grainmill_path = path
     return out
