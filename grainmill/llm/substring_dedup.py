@@ -1,10 +1,13 @@
 """Operator 6: exact removal of repeated word windows, found by level-wise doubling.
 
-A window of `words` words can repeat only if the windows of half that length in it repeat. So the first level counts
-windows of half the length, sampled (each full window by its anchor, see repeats.py), over all documents; only windows
-repeated there are extended to twice the length, where every one of them is looked up. (Windows still longer are covered
-by these and remove nothing more, so the doubling stops there.) Each word covered by a window whose words also start
-earlier - in a smaller doc_id, or further ahead in the same document - goes.
+A window can repeat only if the windows of half its length in it repeat. So the ladder begins with windows of `start`
+words, counts them over all documents, extends those that are repeated to twice the length, counts these, and so on up
+to `length`; it ends early where no candidate survives. On the rungs below `length` windows are sampled: each window of
+the next rung by its anchor (see repeats.py), so that 2 / (words + 2) of them are counted and none of the next rung is
+missed; at `length` itself every window under a repeated anchor is looked up. Windows still longer are covered by these
+and remove nothing more. Each word covered by a window whose words also start earlier - in a smaller doc_id, or further
+ahead in the same document - goes. A rung of few words brings more rows than it spares later ones: by default the
+ladder has two, of half and of the whole length.
 
 Repeats inside a document are found by the task that holds it; between documents only each one's first occurrence
 counts, and what is looked up is the least document of each window. A window under an anchor of more than 256
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import Spans, arrays, blocks, chain, signed, words
-from .common import WORD, materialize
+from .common import WORD, discard, materialize
 from .repeats import anchors, first_of_owner, flat, lookup, packed, repeated_anchors, salt_of, unpacked, with_row_ids
 
 
@@ -37,20 +40,41 @@ def _hashed(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return Spans(text).hash(starts, ends), np.repeat(np.arange(len(offsets) - 1), np.diff(first))
 
 
-def _first_level(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(h, __doc): the distinct anchors of half the length of each document."""
-    half = length // 2
+def _first_rung(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(h, __doc): the distinct sampled windows of `size` words of each document."""
     for batch in batches:
         ids = batch.column("__doc").to_numpy()
         for block in blocks(batch.column("text")):
             hashes, owner = _hashed(block.data, block.offsets)
-            parts = chain(hashes, half)
-            place, _, _ = anchors(parts, owner, half, length)
+            parts = chain(hashes, size)
+            place, _, _ = anchors(parts, owner, size, 2 * size)
             h, doc = parts[place], owner[place]
             once = first_of_owner(doc, h)
             yield pa.RecordBatch.from_arrays([pa.array(signed(h[once])), pa.array(ids[block.lo + doc[once]])], ["h", "__doc"])
 
 
+def _next_rung(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """From the texts and their repeated windows of `size` words: (h, __doc), the sampled windows of twice as many that such a one stands for."""
+    for batch in batches:
+        ids = batch.column("__doc").to_numpy()
+        for block in unpacked(batch):
+            hashes, owner = _hashed(block.data, block.offsets)
+            parts = chain(hashes, size)
+            place, low, high = anchors(parts, owner, size, 2 * size)
+            hs, of = flat(batch.column("hs"), block.lo, block.hi)
+            kept = lookup(owner[place], parts[place], of, hs.view(np.uint64)) >= 0
+            alive = np.zeros(len(owner) + 1, np.int64)  # windows of twice the length, by their starts
+            np.add.at(alive, low[kept], 1)
+            np.add.at(alive, high[kept] + 1, -1)
+            alive = np.cumsum(alive) > 0
+            longer = chain(hashes, 2 * size)
+            place, _, _ = anchors(longer, owner, 2 * size, 4 * size)
+            place = place[alive[place]]
+            h, doc = longer[place], owner[place]
+            once = first_of_owner(doc, h)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(h[once])), pa.array(ids[block.lo + doc[once]])], ["h", "__doc"])
+
+
 def _extend(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """From the texts and their repeated anchors: (w, __doc, at, n), each document's first occurrence of the full windows under such an anchor."""
     half = length // 2
@@ -125,16 +149,29 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, texts: bool) -> Iterato
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "removed"][: len(columns)])
 
 
-def remove_repeats(docs: DataFrame, length: int = 20, texts: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and, with texts, kept_text and removed (first word and end of each removed run, one after the other)."""
-    if length < 4 or length % 2:
-        raise ValueError("the window must have an even number of words, 4 or more")
+def remove_repeats(docs: DataFrame, length: int = 20, start: int | None = None, texts: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and, with texts, kept_text and removed (first word and end of each removed run, one after the other).
+
+    start: words of the ladder's first rung, length / 2 by default; length must be twice, four times, ... that.
+    """
+    size = start or length // 2
+    rungs = [size * 2**k for k in range(length.bit_length())]
+    if size < 2 or length not in rungs[1:]:
+        raise ValueError("the window must have twice, four times, ... the words of the first rung, and that 2 or more")
     docs = with_row_ids(docs)
-    found = docs.select("__doc", "text").mapInArrow(lambda it: _first_level(it, length), "h long, __doc long")
-    repeated = materialize(repeated_anchors(found), "level1")
-    per_doc = repeated.groupBy("__doc").agg(F.collect_list("h").alias("hs"), F.collect_list("n").alias("ns"))
+    found = docs.select("__doc", "text").mapInArrow(lambda it: _first_rung(it, rungs[0]), "h long, __doc long")
+    for k in range(rungs.index(length)):
+        repeated = materialize(repeated_anchors(found), "rung")
+        if k:
+            discard(spent)
+        spent = repeated
+        per_doc = repeated.groupBy("__doc").agg(F.collect_list("h").alias("hs"), F.collect_list("n").alias("ns"))
+        if rungs[k + 1] == length or not repeated.limit(1).count():
+            break
+        found = packed(docs).join(per_doc, "__doc").mapInArrow(lambda it, size=rungs[k]: _next_rung(it, size), "h long, __doc long")
     candidates = packed(docs).join(per_doc, "__doc").mapInArrow(lambda it: _extend(it, length), "w long, __doc long, at int, n long")
     gone = _settle(candidates).groupBy("__doc").agg(F.collect_list("at").alias("ats"))
+    discard(spent)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string, removed array<long>" * texts
     return packed(docs).join(gone, "__doc", "left").mapInArrow(lambda it: _cut(it, length, texts), schema)
 

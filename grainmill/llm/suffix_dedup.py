@@ -34,6 +34,7 @@ from .suffix_tree import maximal_repeats
 
 PART = 32
 CHUNK = 1 << 19
+PIECE = 1 << 26  # bytes of segments sent on together
 
 
 def _anchored(block: Block, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -67,11 +68,13 @@ def _segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
             use = once & (found >= 0)
             h, doc, low, high, n = h[use], doc[use], low[use], high[use], ns[found[use]]
             sizes = high + length - low
-            first = np.concatenate(([0], np.cumsum(sizes)))
-            text = block.data[np.repeat(low - first[:-1], sizes) + np.arange(first[-1])]
-            segment = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(first.astype(np.int32)), pa.py_buffer(text)])
-            columns = [pa.array(signed(h)), pa.array(n), pa.array(ids[block.lo + doc]), pa.array((low - block.offsets[doc]).astype(np.int32)), segment]
-            yield pa.RecordBatch.from_arrays(columns, ["h", "n", "__doc", "at", "segment"])
+            edges = np.flatnonzero(np.diff(np.cumsum(sizes) // PIECE, prepend=-1)) if len(h) else [0]  # a giant document's segments come piece by piece
+            for lo, hi in zip(edges, [*edges[1:], len(h)], strict=True):
+                first = np.concatenate(([0], np.cumsum(sizes[lo:hi])))
+                text = block.data[np.repeat(low[lo:hi] - first[:-1], sizes[lo:hi]) + np.arange(first[-1])]
+                segment = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(first.astype(np.int32)), pa.py_buffer(text)])
+                columns = [pa.array(signed(h[lo:hi])), pa.array(n[lo:hi]), pa.array(ids[block.lo + doc[lo:hi]]), pa.array((low[lo:hi] - block.offsets[doc[lo:hi]]).astype(np.int32)), segment]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "n", "__doc", "at", "segment"])
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

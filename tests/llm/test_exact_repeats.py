@@ -132,3 +132,31 @@ def test_maximal_repeats():
 def strings_at(strings, offsets, place, n):
     i = max(k for k in range(len(strings)) if offsets[k] <= place)
     return strings[i][place - offsets[i] : place - offsets[i] + n]
+
+
+@pytest.mark.parametrize(("length", "start"), [(20, 5), (20, 10), (40, 5), (16, 2), (12, 3)])
+def test_ladders(spark, length, start):
+    """Any number of rungs gives the same result, on texts whose repeats end at every rung."""
+    rng = random.Random(length)
+    rows = corpus(3) + [(100 + k, " ".join(f"l{(k // 4, i)}".replace(" ", "") for i in range(3 + 3 * (k // 4)))) for k in range(60)]
+    rng.shuffle(rows)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(frame(spark, rows), length=length, start=start).collect()}
+    assert got == plain_words(rows, length)
+
+
+def test_ladders_that_do_not_lead_there(spark):
+    for length, start in ((20, 3), (20, 20), (20, 1), (15, 10)):
+        with pytest.raises(ValueError, match="first rung"):
+            substring_dedup.remove_repeats(frame(spark, []), length=length, start=start)
+
+
+def test_very_long_texts(spark, monkeypatch):
+    """Texts of 40,000 words, one of them twice and one in one line without end; segments in many pieces."""
+    monkeypatch.setattr(suffix_dedup, "PIECE", 1 << 12)
+    rng = random.Random(9)
+    long = " ".join(f"v{rng.randrange(5000)}" for _ in range(40_000))
+    rows = [(1, long), (2, "start " + long + " end"), (3, "y" * 60_000), (4, long[1000:5000]), (5, "tail " * 9000)]
+    words = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(frame(spark, rows)).collect()}
+    assert words == plain_words(rows, 20)
+    data = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(frame(spark, rows)).collect()}
+    assert data == plain_bytes(rows, 100)
