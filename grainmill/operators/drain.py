@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 from grainmill.config import MinerConfig
 from grainmill.functions import text as T
 from grainmill.operators.graph import components
-from grainmill.plans.tables import materialize
+from grainmill.plans.tables import materialize, spread
 
 WILD = "<*>"
+BROADCAST_BRANCHES = 100_000
 
 
 def route(token: Column) -> Column:
@@ -49,7 +50,9 @@ def keyed(logs: DataFrame, config: MinerConfig, pairs: DataFrame | None = None)
         first = want.groupBy("n_tokens", "branch", "__want").agg(F.min("log_order").alias("__first"))
         rank = F.row_number().over(Window.partitionBy("n_tokens", "branch").orderBy("__first"))
         real = first.where(F.col("__want") != WILD).withColumn("__rank", rank).where(F.col("__rank") <= config.max_children)
-        real = real.select(F.col("n_tokens").alias("__n"), F.col("branch").alias("__b"), F.col("__want").alias("__w"))
+        real = materialize(real.select(F.col("n_tokens").alias("__n"), F.col("branch").alias("__b"), F.col("__want").alias("__w")), "branches")
+        if real.count() <= BROADCAST_BRANCHES:  # else both sides are shuffled
+            real = F.broadcast(real)
         same = (F.col("n_tokens") == F.col("__n")) & (F.col("branch") == F.col("__b")) & (F.col("__want") == F.col("__w"))
         rows = want.join(real, same, "left").withColumn("branch", F.concat_ws("\t", "branch", F.coalesce("__w", F.lit(WILD)))).drop("__want", "__n", "__b", "__w")
     return rows
@@ -184,6 +187,7 @@ def mine(logs: DataFrame, config: MinerConfig | None = None, carry: tuple[str, .
     With adjacent_fusion the pairs of tokens are learned from the lines unless given.
     """
     config = config or MinerConfig()
+    logs = spread(logs.select("log_order", "content"))
     if config.adjacent_fusion and pairs is None:
         pairs = learned_pairs(logs, config)
     rows = keyed(logs, config, pairs)
@@ -296,7 +300,7 @@ def parameters(template: Column, tokens: Column) -> Column:
 def match(logs: DataFrame, templates: DataFrame, config: MinerConfig | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """log_order, template_id, template: the best template that fits each line (fewest variables, then least id), nulls without one. pairs: those fused in the training."""
     config = config or MinerConfig()
-    rows = logs.select("log_order", T.tokens(T.prepare(F.col("content"), config)).alias("tokens"))
+    rows = spread(logs).select("log_order", T.tokens(T.prepare(F.col("content"), config)).alias("tokens"))
     rows = rows if pairs is None else fuse(rows, pairs)
     probes = rows.select("log_order", "tokens", F.size("tokens").alias("n"), F.explode(F.array_distinct(F.array(F.coalesce(F.get("tokens", F.lit(0)), F.lit("")), F.lit(WILD)))).alias("head"))
     table = templates.select("template_id", "template", F.col("tokens").alias("pattern"), F.size("tokens").alias("n"), F.coalesce(F.get("tokens", F.lit(0)), F.lit("")).alias("head"))

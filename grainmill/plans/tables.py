@@ -28,6 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores if it is read from fewer partitions than there are (a table of one small file); else as it is.
+
+    For work that costs more than moving its input. What a shuffle has dealt already stays.
+    """
+    plan, cores = df._jdf.queryExecution(), df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in plan.executedPlan().toString() or plan.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def materialize(df: DataFrame, tag: str = "table") -> DataFrame:
     """df written to the shared folder and read back: it cuts the lineage, and a lost executor costs one read.
 
