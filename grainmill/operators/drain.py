@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from grainmill.config import MinerConfig
 from grainmill.functions import text as T
 from grainmill.operators.graph import components
-from grainmill.plans.tables import materialize, spread
+from grainmill.plans.tables import discard, materialize, spread
 
 WILD = "<*>"
 BROADCAST_BRANCHES = 100_000
@@ -33,19 +33,36 @@ def route(token: Column) -> Column:
     return F.when(token.isNull() | F.rlike(token, F.lit(r"\d")), F.lit(WILD)).otherwise(token)
 
 
-def keyed(logs: DataFrame, config: MinerConfig, pairs: DataFrame | None = None) -> DataFrame:
-    """logs (log_order, content) with text (prepared, one space between tokens), tokens, n_tokens and branch. pairs: fusable_pairs() of them, if tokens are to be fused."""
+def crowded(rows: DataFrame, config: MinerConfig) -> bool:
+    """Whether some node of the tree would have more than max_children branches of its own. rows: n_tokens and branch, every prefix routed to itself."""
+    paths = rows.select("n_tokens", "branch").distinct().select("n_tokens", F.split("branch", "\t").alias("path"))
+    levels = config.depth - 3
+    kids = [F.struct(F.array_join(F.slice("path", 1, k + 1), "\t").alias("node"), F.get("path", F.lit(k + 1)).alias("kid")) for k in range(levels)]
+    each = paths.select("n_tokens", F.explode(F.array(*kids)).alias("x")).where(F.col("x.kid") != WILD)
+    most = each.groupBy("n_tokens", "x.node").agg(F.count_distinct("x.kid").alias("kids")).agg(F.max("kids")).first()[0]
+    return (most or 0) > config.max_children
+
+
+def keyed(logs: DataFrame, config: MinerConfig, pairs: DataFrame | None = None, free: bool | None = None) -> DataFrame:
+    """logs (log_order, content) with text (prepared, one space between tokens), tokens, n_tokens and branch.
+
+    pairs: fusable_pairs() of them, if tokens are to be fused. free: whether every prefix may have a branch of its own; if not
+    given, the lines are asked.
+    """
     rows = logs.select("log_order", "content", T.tokens(T.prepare(F.col("content"), config)).alias("tokens"))
     if pairs is not None:
         rows = fuse(rows, pairs)
     rows = rows.withColumn("text", F.array_join("tokens", " ")).withColumn("n_tokens", F.size("tokens"))
-    depth = config.depth - 3
     if config.engine == "jaccard":
         return rows.withColumn("branch", F.coalesce(F.get("tokens", F.lit(0)), F.lit(""))).withColumn("n_tokens", F.lit(0))
-    rows = rows.withColumn("branch", F.lit(""))
-    if config.param_binning:
-        rows = rows.withColumn("branch", F.size(F.filter("tokens", T.is_masked)).cast("string"))
-    for level in range(depth):
+    rows = rows.withColumn("branch", F.size(F.filter("tokens", T.is_masked)).cast("string") if config.param_binning else F.lit(""))
+    levels = config.depth - 3
+    if not levels:
+        return rows
+    own = rows.withColumn("branch", F.concat_ws("\t", "branch", *[route(F.get("tokens", F.lit(k))) for k in range(levels)]))
+    if free or (free is None and not crowded(own, config)):
+        return own
+    for level in range(levels):
         want = rows.withColumn("__want", route(F.get("tokens", F.lit(level))))
         first = want.groupBy("n_tokens", "branch", "__want").agg(F.min("log_order").alias("__first"))
         rank = F.row_number().over(Window.partitionBy("n_tokens", "branch").orderBy("__first"))
@@ -181,20 +198,22 @@ def mine_batches(batches: Iterator[pa.RecordBatch], config: MinerConfig) -> Iter
         yield pa.RecordBatch.from_arrays([batch.column("log_order"), pa.array(at), out, kinds, *(batch.column(c) for c in carried)], ["log_order", "cluster", "template", "kind", *carried])
 
 
-def mine(logs: DataFrame, config: MinerConfig | None = None, carry: tuple[str, ...] = (), pairs: DataFrame | None = None) -> DataFrame:
-    """log_order, cluster (its first line's order), template (as of the line), kind: 'miss' for a line that makes a cluster; and the columns `carry` of the keyed lines.
+def mine(logs: DataFrame, config: MinerConfig | None = None, carry: bool = False, pairs: DataFrame | None = None, free: bool | None = None) -> DataFrame:
+    """log_order, cluster (its first line's order), template (as of the line), kind: 'miss' for a line that makes a cluster; with `carry` content, size and route (n_tokens and branch) too.
 
-    With adjacent_fusion the pairs of tokens are learned from the lines unless given.
+    With adjacent_fusion the pairs of tokens are learned from the lines unless given. free: as for keyed().
     """
     config = config or MinerConfig()
     logs = spread(logs.select("log_order", "content"))
     if config.adjacent_fusion and pairs is None:
         pairs = learned_pairs(logs, config)
-    rows = keyed(logs, config, pairs)
-    shape = ", ".join([MINED, *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in carry)])
+    rows = keyed(logs, config, pairs, free)
+    more = (F.col("content"), F.col("n_tokens").alias("size"), F.col("branch").alias("route")) if carry else ()
+    rows = rows.select("log_order", "text", "n_tokens", "branch", *more)
+    shape = MINED + ", content string, size int, route string" * carry
     if config.max_clusters is not None:
-        return mine_bounded(rows.select("log_order", "text", "n_tokens", "branch", *carry), config, shape)
-    dealt = rows.select("log_order", "text", "n_tokens", "branch", *carry).repartition("n_tokens", "branch").sortWithinPartitions("n_tokens", "branch", "log_order")
+        return mine_bounded(rows, config, shape)
+    dealt = rows.repartition("n_tokens", "branch").sortWithinPartitions("n_tokens", "branch", "log_order")
     return dealt.mapInArrow(lambda it: mine_batches(it, config), shape)
 
 
@@ -265,7 +284,10 @@ def trained(logs: DataFrame, config: MinerConfig | None = None, emit: str = "onl
     config = config or MinerConfig()
     if config.adjacent_fusion and pairs is None:
         pairs = learned_pairs(logs, config)
-    mined = materialize(mine(logs, config, ("content",), pairs), "mined")
+    mined = materialize(mine(logs, config, True, pairs, True), "mined")
+    if config.engine == "drain" and config.depth > 3 and crowded(mined.select(F.col("size").alias("n_tokens"), F.col("route").alias("branch")), config):
+        discard(mined)  # some prefixes must share a branch after all
+        mined = materialize(mine(logs, config, True, pairs, False), "mined")
     templates = templates_of(mined)
     ids = templates.select("cluster", "template_id")
     if merges(config):

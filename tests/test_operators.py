@@ -414,3 +414,11 @@ def test_settings_of_a_running_pipeline(spark):
     pipeline.reconfigure({"miner": {"masks": "none"}, "adapter": "syslog"})
     assert (pipeline.config.miner.masks, pipeline.config.adapter, pipeline.stats()["templateCount"]) == ("none", "syslog", 1)
     assert set(pipeline.trace) == {"traceId", "parseDurationMs"} and pipeline.trace["parseDurationMs"] > 0
+
+
+@pytest.mark.parametrize("config", [MinerConfig(masks="none", max_children=2), MinerConfig(masks="none", depth=5, max_children=2), MinerConfig(masks="none", depth=5), MinerConfig(masks="none", depth=3)])
+def test_training_of_crowded_trees(spark, config):
+    lines = stream(5)
+    plain = sequential(lines, config)
+    out = {r.log_order: r for r in drain.train(logs(spark, lines), config).collect()}
+    assert [(out[i].template, out[i].kind) for i in range(len(lines))] == [(t, kind) for _, _, t, kind in plain]
