@@ -113,3 +113,25 @@ def test_similarities(spark):
 def test_collapse(spark):
     assert value(spark, lambda c: T.collapse(c, [(r"\d+", "N")]), "a 1 b 2") == "a N b 2"
     assert value(spark, lambda c: T.collapse(c, [(r"\d+", "N")], True), "a 1 b 2") == "a N b N"
+
+
+MASKED = {
+    "default": [
+        ("Connection from 192.168.1.1 closed", "Connection from <IP> closed"), ("id 550e8400-e29b-41d4-a716-446655440000 ok", "id <UUID> ok"), ("mail to bob.smith+x@example.com now", "mail to <EMAIL> now"),
+        ("at 0xDEADBEEF now", "at <HEX> now"), ("took 3.5 s for 12 of 7", "took <NUM> s for <NUM> of <NUM>"), ("user42 stays, v2 too", "user42 stays, v2 too"), ("-5 and 1.2.3", "-<NUM> and <NUM>.<NUM>"), ("", ""), ("no numbers", "no numbers"),
+    ],
+    "extended": [
+        ("got blk_-1608999687919862906 done", "got <BLOCK_ID> done"), ("to node1.example.com:8080 ok", "to <HOST_PORT> ok"), ("open /var/log/app.log now", "open <PATH> now"), ("sshd[1234]: x", "sshd<SYSLOG_NUM>: x"), ("10.0.0.1 and 5", "<IP> and <NUM>"),
+    ],
+    "enhanced": [
+        ("from node.example.org now", "from <HOSTNAME> now"), ("hash deadbeefcafe ok", "hash <HEX> ok"), ("hash 0123456789abcdef0123456789abcdef", "hash <HEX>"), ("short abc1 ok", "short abc1 ok"),
+    ],
+    "none": [("10.0.0.1 and 5", "10.0.0.1 and 5")],
+}
+
+
+@pytest.mark.parametrize("name", sorted(MASKED))
+def test_masks_on_known_lines(spark, name):
+    rows = spark.createDataFrame(MASKED[name], "line string, want string")
+    got = rows.select("line", "want", T.mask(F.col("line"), T.MASKS[name]).alias("got")).collect()
+    assert [(r.line, r.got) for r in got] == [(r.line, r.want) for r in got]
