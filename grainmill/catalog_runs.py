@@ -508,3 +508,16 @@ def weekly_replay(spark, sf_dir):
     c = found["config"]
     row = (round(c["sim_th"], 9), c["depth"], c["max_children"], c["param_binning"], c["engine"], round(found["score"], 9), found["changed"], found["evaluations"])
     return spark.createDataFrame([row], "sim_th double, depth long, max_children long, param_binning boolean, engine string, score double, changed boolean, evaluations long")
+
+
+# --- runs over data sets -------------------------------------------------------------------------------------------------------------
+def _dataset_sql(part: int) -> str:
+    """The metrics of one half of the lines: what the miner must make of them against the truth."""
+    mined = _clusters_sql().replace("FROM events", f"FROM events WHERE event_id % 2 = {part}")
+    parsed = f"p AS (SELECT log_order AS id, template_id::VARCHAR AS e, template AS t FROM (WITH {mined} SELECT log_order, template_id, template FROM l JOIN t USING (g)))"
+    truth = f"g AS (SELECT event_id AS id, {catalog._SHAPE} AS e, {_GTEXT} AS t FROM events WHERE event_id % 2 = {part})"
+    sides = f"{parsed}, {truth}, {catalog._SIDES[catalog._SIDES.index('j AS ') :]}"
+    return f"SELECT 'd{part}' AS dataset, * FROM ({ORACLES['evaluate_all'].replace(catalog._SIDES, sides)})"
+
+
+ORACLES["run_all_datasets"] = f"{_dataset_sql(0)} UNION ALL {_dataset_sql(1)}"

@@ -422,3 +422,30 @@ def test_training_of_crowded_trees(spark, config):
     plain = sequential(lines, config)
     out = {r.log_order: r for r in drain.train(logs(spark, lines), config).collect()}
     assert [(out[i].template, out[i].kind) for i in range(len(lines))] == [(t, kind) for _, _, t, kind in plain]
+
+
+def test_samples_are_compared_piece_by_piece(spark):
+    """Constant: borders, and what the other sample has further on, unless it looks like a value that the template lacks."""
+    values, borders = {"10", "true", "7:30", "0x1f00f"}, set(" ,=:;()")
+    words = ["open", "file", "user", "name", *values, *borders]
+
+    def plain(one, other, template):
+        out, rest = [], list(other)
+        for piece in one:
+            if piece == "true":
+                out.append("<*>")
+            elif piece in borders:
+                out.append(piece)
+                rest = list(other)
+            elif piece in rest:
+                rest = rest[rest.index(piece) + 1 :]
+                out.append("<*>" if piece in values and piece not in template else piece)
+            else:
+                out.append("<*>")
+        return "".join(out)
+
+    rng = random.Random(2)
+    rows = [(i, rng.choices(words, k=rng.randrange(9)), rng.choices(words, k=rng.randrange(9)), " ".join(rng.choices(words, k=3))) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, a array<string>, b array<string>, t string")
+    got = df.select("i", refine.compared(F.col("a"), F.col("b"), F.col("t")).alias("x")).orderBy("i").collect()
+    assert [r.x for r in got] == [plain(a, b, t) for _, a, b, t in rows]
