@@ -57,9 +57,14 @@ _HEADING = re.compile(r"h[1-6]\Z")
 
 
 @lru_cache(maxsize=100_000)
-def evidence(label: str) -> str:
-    """What a label says of its element: 'tag' for no text by tag or role, 'comment' or 'class' for no text by a name, '' for nothing."""
+def facts(label: str) -> tuple[str, bool, str]:
+    """Of a label: its tag, whether it is an article or main element, its evidence()."""
     tag = re.match(r"[^.#@]*", label)[0]
+    return tag, tag in ("article", "main") or label.endswith("@main"), evidence(label, tag)
+
+
+def evidence(label: str, tag: str) -> str:
+    """What a label says of its element: 'tag' for no text by tag or role, 'comment' or 'class' for no text by a name, '' for nothing."""
     roles = re.findall(r"@([^.#@]*)", label)
     if tag in NOT_TEXT_TAGS or any(w in NOT_TEXT_WORDS for r in roles for w in _WORD.findall(r)):
         return "tag"
@@ -75,9 +80,7 @@ class Page:
         self.root, blocks = dom.read(html)
         slots = dom.number(self.root)
         n = len(slots)
-        tags = [re.match(r"[^.#@]*", slot.label)[0] for slot in slots]
-        main = [t in ("article", "main") or s.label.endswith("@main") for t, s in zip(tags, slots, strict=True)]
-        says = [evidence(slot.label) for slot in slots]
+        tags, main, says = zip(*(facts(slot.label) for slot in slots), strict=True)
         shut, article, header = [False] * n, [False] * n, [False] * n
         for slot in slots:  # parents come before their kids
             i = slot.number
@@ -177,12 +180,17 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     align = Aligner()
+    hosts: dict[str, tuple[str, set]] = {}  # a host's wrapper and template, read once
     for batch in batches:
         out = []
-        for wrapper, constant, html in zip(batch.column("wrapper"), batch.column("constant"), batch.column("html"), strict=True):
+        for i, (host, html) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html"), strict=True)):
+            if host not in hosts:
+                if len(hosts) > 1000:
+                    hosts.clear()
+                hosts[host] = batch.column("wrapper")[i].as_py(), {(x["slot"], x["text"]) for x in batch.column("constant")[i].as_py() or ()}
+            wrapper, template = hosts[host]
             page = Page(html.as_py() or "")
-            template = {(x["slot"], x["text"]) for x in constant.as_py() or ()}
-            at = align(page, wrapper.as_py()) if template else {}
+            at = align(page, wrapper) if template else {}
             blocks = [(s, t) for s, t in page.blocks if not page.shut[s]]
             own = [t for s, t in blocks if not template or (at.get(s), text_hash(t)) not in template]
             out.append("\n".join(own or [t for _, t in blocks]))
@@ -208,4 +216,4 @@ def extract_text(pages: DataFrame, share: float = 0.9, least: int = 3) -> DataFr
     constant = counts.where("text <> 0").join(have, ["host", "slot"]).where(F.col("n") >= share * F.col("pages"))
     constant = constant.groupBy("host").agg(F.collect_list(F.struct("slot", "text")).alias("constant"))
     known = materialize(wrappers.join(constant, "host", "left"), "wrapped")
-    return pages.join(known, "host").select("page_id", "url", "html", "wrapper", "constant").mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")
+    return pages.join(known, "host").select("page_id", "url", "html", "host", "wrapper", "constant").mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")
