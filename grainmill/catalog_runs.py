@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from grainmill import catalog
-from grainmill.catalog import LINE, ORACLES, SQL_TEMPLATES, WORDS, logs, query, sql_logs, subs, templates
+from grainmill.catalog import LINE, ORACLES, QUERIES, SQL_TEMPLATES, WORDS, logs, query, sql_logs, subs, templates
 from grainmill.config import MinerConfig, PipelineConfig
 from grainmill.functions import anonymize
 from grainmill.operators import drain, lookup, tuning, vectors
@@ -521,3 +521,11 @@ def _dataset_sql(part: int) -> str:
 
 
 ORACLES["run_all_datasets"] = f"{_dataset_sql(0)} UNION ALL {_dataset_sql(1)}"
+
+
+_REPORT = ORACLES["benchmark_report"]
+
+
+@query(f"WITH r AS ({_REPORT}), c AS (SELECT dataset, '<tr><td>' || dataset || '</td>' || printf('<td>%.2f</td><td>%.2f</td><td>%.2f</td><td>%.2f</td>', ga, fga, pta, fta) || '</tr>' AS row FROM r) SELECT '<html><head><title>Runs</title></head><body><h1>Runs</h1><table><tr><th>dataset</th><th>GA</th><th>FGA</th><th>PTA</th><th>FTA</th></tr>' || (SELECT string_agg(row, '' ORDER BY dataset) FROM c) || '<tr><td>mean</td>' || printf('<td>%.2f</td><td>%.2f</td><td>%.2f</td><td>%.2f</td>', avg(ga), avg(fga), avg(pta), avg(fta)) || '</tr></table></body></html>' AS html FROM r")
+def benchmark_page(spark, sf_dir):
+    return reports.page(QUERIES["benchmark_report"](spark, sf_dir), "Runs")

@@ -8,6 +8,7 @@ samples and line numbers, and asks.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from typing import Protocol
 
 import numpy as np
@@ -131,6 +132,29 @@ def embed(rows: DataFrame, embedder: Embedder, text: str = "content") -> DataFra
     return rows.mapInPandas(run, schema)
 
 
+#: Kinds of services whose models can be asked.
+SERVICES = ("ollama", "openai", "deepseek", "anthropic", "custom")
+
+
+class ChatProvider:
+    """A provider behind a chat model. send(messages) makes the call, which is the caller's: it returns {"structured", "text", "usage"}, each of them optional."""
+
+    def __init__(self, service: str, model: str, send: Callable[[list[dict]], dict]):
+        if not model or not model.strip():
+            raise ValueError("the model must have a name")
+        if service not in SERVICES:
+            raise ValueError(f"no such service: {service!r}; there are {', '.join(SERVICES)}")
+        self.name, self.send = f"{service}/{model}", send
+
+    def extract(self, samples: list[str]) -> dict:
+        """The reply about some lines; without lines an empty one of no confidence, and no call."""
+        if not samples:
+            return {"template": "", "variables": [], "confidence": 0.0, "usage": {}, "model": self.name}
+        lines = "\n".join(f"[{i}] {x}" for i, x in enumerate(samples, 1))
+        got = self.send([{"role": "system", "content": prompts.SYSTEM}, {"role": "user", "content": lines + prompts.ASK}])
+        return {**read_reply(got.get("structured"), got.get("text") or ""), "usage": got.get("usage") or {}, "model": self.name}
+
+
 def read_reply(structured: dict | None, text: str) -> dict:
     """A model's reply: the structured one (confidence 0.7 unless given), else the text's tags (0.5)."""
     if structured and structured.get("template"):

@@ -35,6 +35,17 @@ def report(lines: DataFrame) -> DataFrame:
     return last.select("dataset", "r.*").orderBy("dataset")
 
 
+def page(results: DataFrame, title: str) -> DataFrame:
+    """One row: html, a page with a table of report()'s rows (one for each data set, so they are few) and their means."""
+    scores = ("ga", "fga", "pta", "fta")
+    cell = lambda c: F.format_string("<td>%.2f</td>", c)
+    row = F.concat(F.lit("<tr><td>"), "dataset", F.lit("</td>"), *[cell(F.col(c)) for c in scores], F.lit("</tr>"))
+    one = results.agg(F.array_sort(F.collect_list(F.struct("dataset", row.alias("row")))).alias("rows"), *[F.avg(c).alias(c) for c in scores])
+    head = f"<html><head><title>{title}</title></head><body><h1>{title}</h1><table><tr><th>dataset</th>" + "".join(f"<th>{c.upper()}</th>" for c in scores) + "</tr>"
+    means = F.concat(F.lit("<tr><td>mean</td>"), *[F.coalesce(cell(F.col(c)), F.lit("<td></td>")) for c in scores], F.lit("</tr></table></body></html>"))
+    return one.select(F.concat(F.lit(head), F.array_join(F.col("rows")["row"], ""), means).alias("html"))
+
+
 def observed(parsed: DataFrame, name: str = "parse") -> tuple[DataFrame, Observation]:
     """parsed with counters that its next action fills: lines, misses and variables, without another pass."""
     seen = Observation(name)

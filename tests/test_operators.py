@@ -449,3 +449,21 @@ def test_samples_are_compared_piece_by_piece(spark):
     df = spark.createDataFrame(rows, "i int, a array<string>, b array<string>, t string")
     got = df.select("i", refine.compared(F.col("a"), F.col("b"), F.col("t")).alias("x")).orderBy("i").collect()
     assert [r.x for r in got] == [plain(a, b, t) for _, a, b, t in rows]
+
+
+def test_chat_providers():
+    asked = []
+
+    def send(messages):
+        asked.append(messages)
+        return {"structured": {"template": "a <*>", "confidence": 0.9}, "usage": {"promptTokens": 5}} if len(asked) == 1 else {"text": "so <TEMPLATE>b <*></TEMPLATE>"}
+
+    provider = control.ChatProvider("custom", "m1", send)
+    assert provider.extract([])["confidence"] == 0 and not asked
+    first, second = provider.extract(["a 1", "a 2"]), provider.extract(["b 1"])
+    assert (first["template"], first["confidence"], first["model"], first["usage"]) == ("a <*>", 0.9, "custom/m1", {"promptTokens": 5})
+    assert (second["template"], second["confidence"]) == ("b <*>", 0.5)
+    assert [m["role"] for m in asked[0]] == ["system", "user"] and asked[0][1]["content"].startswith("[1] a 1\n[2] a 2\n")
+    for service, model in (("other", "m"), ("custom", " "), ("custom", "")):
+        with pytest.raises(ValueError, match="service|model"):
+            control.ChatProvider(service, model, send)
