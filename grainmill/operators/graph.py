@@ -33,11 +33,11 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     Rounds grow with the logarithm of the longest path; each is a table of its own and the one before it is deleted. They end
     when the links are stars, which one aggregation tells, so no round is spent on finding that nothing changes.
     """
-    edges = materialize(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    edges = materialize(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links", cleanup=False)
     for _ in range(most_rounds):
         if _settled(edges):
             least = edges.select("v").distinct()
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(least.select(F.col("v").alias("node"), F.col("v").alias("component")))
-        spent, edges = edges, materialize(_star(_star(edges, True), False), "links")
+        spent, edges = edges, materialize(_star(_star(edges, True), False), "links", cleanup=False)
         discard(spent)
     raise RuntimeError("components did not settle")

@@ -39,15 +39,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores)
 
 
-def materialize(df: DataFrame, tag: str = "table") -> DataFrame:
+def materialize(df: DataFrame, tag: str = "table", cleanup: bool = True) -> DataFrame:
     """df written to the shared folder and read back: it cuts the lineage, and a lost executor costs one read.
 
-    The shuffle files of what was written are deleted with it, not when the driver next collects its garbage.
+    The shuffle files of what was written are deleted with it, not when the driver next collects its garbage; for small
+    tables, many of them one after the other, that costs more than it frees (cleanup=False).
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/grainmill-{tag}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    spark.conf.set(CLEANUP, str(cleanup).lower())
     try:
         df.write.parquet(path)
     finally:
