@@ -243,7 +243,7 @@ class _Search:
         """Count the collisions of new pairs, check those above the threshold on the texts and keep the links; the share of the pairs that are links."""
         if self.tried is not None:
             pairs = pairs.join(self.tried, ["u", "v"], "left_anti")
-        pairs = materialize(pairs, "pairs")
+        pairs = materialize(pairs, "pairs", cleanup=False)
         self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
         side = lambda x: self.live.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("pairs").alias(f"p_{x}"))
         good = pairs.join(side("u"), "u").join(side("v"), "v")
@@ -251,7 +251,7 @@ class _Search:
         text = lambda x: self.texts.select(F.col("rep").alias(x), F.col("size").alias(f"size_{x}"), F.col("z").alias(f"z{x}"))
         size, percent = self.size, self.percent
         found = good.join(text("u"), "u").join(text("v"), "v").mapInArrow(lambda it: _confirm(it, size, percent), "u long, v long")
-        found = materialize(found, "found")
+        found = materialize(found, "found", cleanup=False)
         self.links = found if self.links is None else self.links.unionByName(found)
         return found.count() / max(1, pairs.count())
 
@@ -269,7 +269,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, coordi
     classes = signed_docs.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("__doc").alias("rep"), *[F.first(c).alias(c) for c in ("signature", "less1", "less2")])
     classes = materialize(classes, "classes")
     search = _Search(classes, packed(docs), shingle, percent, matches)
-    search.links = materialize(small_links(classes, percent), "small")
+    search.links = materialize(small_links(classes, percent), "small", cleanup=False)
     found = None
     lists = search.labelled(None)
     for turn in range(rounds):
