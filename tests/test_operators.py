@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from grainmill.config import ControlConfig, MinerConfig, PipelineConfig, from_dict, to_dict, to_env
 from grainmill.functions import postprocess
+from grainmill.functions.similarity import cosine
 from grainmill.operators import drain, evaluate, graph, lookup, refine, tuning, vectors
 from grainmill.plans import control, reports
 from grainmill.plans.pipeline import LogPipeline
@@ -467,3 +468,18 @@ def test_chat_providers():
     for service, model in (("other", "m"), ("custom", " "), ("custom", "")):
         with pytest.raises(ValueError, match="service|model"):
             control.ChatProvider(service, model, send)
+
+
+def test_cosine_search_meets_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(1100, 3)))]
+    rows += [(1100, [0.0, 0.0, 0.0]), (1101, None), (1102, [1.0, None]), (1103, [])]
+    points = spark.createDataFrame(rows, "id long, vector array<float>").repartition(2)
+    asked = points.where("id % 20 = 0 OR id > 1099")
+    pairs = vectors.cosine_search(asked, points, 6)
+    got = {(r.i, r.j): r.score for r in pairs.collect()}
+    plain = asked.select(F.col("id").alias("i"), F.col("vector").alias("u")).crossJoin(points.select(F.col("id").alias("j"), F.col("vector").alias("v")))
+    want = {(r.i, r.j): r.score for r in plain.select("i", "j", F.round(cosine(F.col("u"), F.col("v")), 6).alias("score")).where("i > 1099 OR j > 1000").collect()}
+    assert len(got) == asked.count() * 1104
+    for pair, score in want.items():
+        assert (got[pair] is None) == (score is None) and (score is None or abs(got[pair] - score) < 2e-6), pair
