@@ -2,11 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 WILD = "<*>"
+#: Templates up to which a table of them is sent to all tasks; more are joined by a shuffle.
+FEW = 10_000
+
+
+def few_packed(table: DataFrame, keys: list[str], row: Column) -> DataFrame | None:
+    """The rows of a table of templates as an array (__rows) for each of its keys; None if there are more than FEW."""
+    if table.limit(FEW + 1).count() > FEW:
+        return None
+    return table.groupBy(*keys).agg(F.collect_list(row).alias("__rows"))  # FEW rows at most
+
+
+def with_packed(lines: DataFrame, packed: DataFrame, keys: list[str]) -> DataFrame:
+    """lines (with the keys, the last of them head) with __met: the templates of their head and those that begin with <*>, each once."""
+    exact = packed.withColumnRenamed("__rows", "__exact")
+    open_ = packed.where(F.col("head") == WILD).drop("head").withColumnRenamed("__rows", "__open")
+    others = [k for k in keys if k != "head"]
+    met = lines.join(F.broadcast(exact), keys, "left")
+    met = met.join(F.broadcast(open_), others, "left") if others else met.join(F.broadcast(open_), F.lit(True), "left")
+    none = F.array_repeat(F.coalesce(F.get("__exact", F.lit(0)), F.get("__open", F.lit(0))), 0)
+    some = F.when(F.col("head") == WILD, F.col("__open")).otherwise(F.concat(F.coalesce("__exact", none), F.coalesce("__open", none)))
+    return met.withColumn("__met", some)
 
 
 def trie_lookup(lines: DataFrame, templates: DataFrame) -> DataFrame:
@@ -18,12 +39,23 @@ def trie_lookup(lines: DataFrame, templates: DataFrame) -> DataFrame:
     templates that fit so far (they compare as arrays, and 2 stands where one fits no more), so a template is found only if
     its signature agrees with that at every place.
     """
-    table = templates.select("template_id", F.col("tokens").alias("pattern"), F.coalesce(F.get("tokens", F.lit(0)), F.lit("")).alias("head"))
-    heads = F.explode(F.array_distinct(F.array(F.coalesce(F.get("tokens", F.lit(0)), F.lit("")), F.lit(WILD)))).alias("head")
-    step = F.zip_with("tokens", F.slice("pattern", F.lit(1), F.greatest(F.size("tokens"), F.lit(1))), lambda x, p: F.when(x == p, 0).when(x.isNotNull() & (p == WILD), 1).otherwise(2))
-    end = F.array_position("path", 2)  # where the walk leaves the template
-    signed = lines.select("log_order", "tokens", heads).join(table, "head").withColumn("path", step)
-    signed = signed.withColumn("path", F.when(end > 0, F.slice("path", F.lit(1), end.cast("int"))).otherwise(F.col("path")))
+    head = F.coalesce(F.get("tokens", F.lit(0)), F.lit(""))
+    table = templates.select("template_id", F.col("tokens").alias("pattern"), head.alias("head"))
+
+    def walked(tokens: Column, pattern: Column) -> Column:
+        path = F.zip_with(tokens, F.slice(pattern, F.lit(1), F.greatest(F.size(tokens), F.lit(1))), lambda x, p: F.when(x == p, 0).when(x.isNotNull() & (p == WILD), 1).otherwise(2))
+        end = F.array_position(path, 2)  # where the walk leaves the template
+        return F.when(end > 0, F.slice(path, F.lit(1), end.cast("int"))).otherwise(path)
+
+    packed = few_packed(table, ["head"], F.struct("template_id", "pattern"))
+    if packed is not None:  # a line's templates are beside it, so no line is moved
+        met = with_packed(lines.select("log_order", "tokens", head.alias("head")), packed, ["head"])
+        walks = met.select("log_order", "tokens", F.transform("__met", lambda t: F.struct(walked(F.col("tokens"), t["pattern"]).alias("path"), t["template_id"].alias("template_id"), F.size(t["pattern"]).alias("n"))).alias("walks"))
+        walks = walks.withColumn("best", F.array_min(F.transform("walks", lambda w: w["path"])))
+        whole = F.filter("walks", lambda w: (w["n"] == F.size("tokens")) & ~F.array_contains(w["path"], 2) & (w["path"] == F.col("best")))
+        return walks.select("log_order", F.array_max(F.transform(whole, lambda w: w["template_id"])).alias("template_id"))
+    heads = F.explode(F.array_distinct(F.array(head, F.lit(WILD)))).alias("head")
+    signed = lines.select("log_order", "tokens", heads).join(table, "head").withColumn("path", walked(F.col("tokens"), F.col("pattern")))
     walks = signed.groupBy("log_order").agg(F.min("path").alias("best"))
     whole = signed.join(walks, "log_order").where((F.size("pattern") == F.size("tokens")) & ~F.array_contains("path", 2) & (F.col("path") == F.col("best")))
     found = whole.groupBy("log_order").agg(F.max("template_id").alias("template_id"))

@@ -517,3 +517,38 @@ def test_equal_numbers_make_no_cluster_where_affixes_are_kept(spark):
     lines = ["sent bytes0x by error", "sent bytes0x by view", "sent bytes1x by view", "sent bytes2x by error", "sent bytes1x by click", "sent bytes4x by click"]
     found = drain.templates_of(drain.mine(logs(spark, lines), config)).collect()
     assert {r.template: r.size for r in found} == {f"sent bytes<*>x by {x}": 2 for x in ("error", "view", "click")}
+
+
+def exchanged(df):
+    """Whether lines are dealt anew by their order or their tokens: shuffles in a plan beside those of a few templates."""
+    return [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [log_order" in x or "Window" in x]
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_lookups_leave_the_lines_where_they_are(spark, monkeypatch, few):
+    monkeypatch.setattr(lookup, "FEW", few)
+    rng = random.Random(11)
+    words = lambda most: [rng.choice(["a", "b", "<*>"]) for _ in range(rng.randrange(0, most))]
+    known = [(i, words(4)) for i in range(40)]
+    templates = spark.createDataFrame([(i, " ".join(t), t) for i, t in known], "template_id long, template string, tokens array<string>")
+    lines = [" ".join(w for w in words(5)) for _ in range(150)]
+    found = drain.match(logs(spark, lines), templates, MinerConfig(masks="none"))
+    want = {}
+    for order, line in enumerate(lines):
+        fits = [(t.count("<*>"), i) for i, t in known if len(t) == len(line.split()) and all(p in ("<*>", x) for p, x in zip(t, line.split()))]
+        want[order] = min(fits)[1] if fits else None
+    assert {r.log_order: r.template_id for r in found.collect()} == want
+    tokens = logs(spark, lines).select("log_order", F.filter(F.split("content", " "), lambda x: x != "").alias("tokens"))
+    walked = lookup.trie_lookup(tokens, templates)
+
+    def walk(line):
+        left = known
+        for k, x in enumerate(line):
+            for step in (x, "<*>"):
+                if some := [(i, t) for i, t in left if len(t) > k and t[k] == step]:
+                    break
+            left = some
+        return max((i for i, t in left if len(t) == len(line)), default=None)
+
+    assert {r.log_order: r.template_id for r in walked.collect()} == {order: walk(line.split()) for order, line in enumerate(lines)}
+    assert bool(exchanged(found)) == bool(exchanged(walked)) == (few == 0)
