@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from grainmill import catalog
@@ -59,10 +60,16 @@ def file_drop_stream(spark, sf_dir):
     return spark.read.schema("value string").parquet(out)
 
 
+def _packs(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_pylist()], pa.list_(pa.string()))], ["lines"])
+
+
 @query(f"SELECT value FROM (SELECT {_PRINTED} AS value FROM events) WHERE trim(value) <> ''")
 def handle_lines(spark, sf_dir):
     """What a process is fed on standard input, here from the table's rows."""
-    handle = (f"{r.content}\r\n" for r in logs(spark, sf_dir, _PRINTED).select("content").toLocalIterator())
+    packs = logs(spark, sf_dir, _PRINTED).where("content IS NOT NULL").select("content").mapInArrow(_packs, "lines array<string>")  # a row of many lines costs the driver little more than one of one
+    handle = (f"{line}\r\n" for r in packs.toLocalIterator() for line in r.lines)
     return readers.read_handle(spark, handle, _folder(spark, "stdin"), most=5000)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterable
 from itertools import islice
 
@@ -38,9 +39,15 @@ def stream_lines(spark: SparkSession, folder: str) -> DataFrame:
 def read_handle(spark: SparkSession, handle: Iterable[str], folder: str, most: int = 100_000) -> DataFrame:
     """The lines of an open text stream such as sys.stdin, as files of `most` lines in a shared folder; no more are held at a time."""
     lines = iter(handle)
-    spark.createDataFrame([], "value string").write.mode("append").text(folder)  # the folder is there even if no line is
-    while part := [(x.rstrip("\r\n"),) for x in islice(lines, most)]:
-        spark.createDataFrame(part, "value string").coalesce(1).write.mode("append").text(folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path(folder))  # the folder is there even if no line is
+    while part := [x.rstrip("\r\n") for x in islice(lines, most)]:  # written by the driver, which has the lines: no query for each file
+        out = files.create(path(f"{folder.rstrip('/')}/part-{uuid.uuid4().hex}.txt"))
+        try:
+            out.write(bytearray(("\n".join(part) + "\n").encode()))
+        finally:
+            out.close()
     return clean_lines(spark.read.text(folder))
 
 

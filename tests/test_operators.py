@@ -6,6 +6,7 @@ from collections import Counter
 from itertools import pairwise
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -552,3 +553,16 @@ def test_lookups_leave_the_lines_where_they_are(spark, monkeypatch, few):
 
     assert {r.log_order: r.template_id for r in walked.collect()} == {order: walk(line.split()) for order, line in enumerate(lines)}
     assert bool(exchanged(found)) == bool(exchanged(walked)) == (few == 0)
+
+
+def test_handles_start_no_query_for_a_file(spark, tmp_path):
+    spark.sparkContext.setJobGroup("handle", "read_handle")
+    lines = readers.read_handle(spark, (f"line {i}\r\n" for i in range(95)), str(tmp_path / "in"), most=10)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("handle")
+    assert len(list((tmp_path / "in").glob("*.txt"))) == 10
+    assert sorted(r.value for r in lines.collect()) == sorted(f"line {i}" for i in range(95))
+
+
+def test_a_micro_batch_is_answered_in_pieces():
+    frames = [pd.DataFrame({"log_order": [5, 1, 9], "text": ["a", "b", "a"]}), pd.DataFrame({"log_order": [3, 2], "text": ["c", "a"]})]
+    assert [(at.tolist(), texts) for at, texts in mining.in_order(iter(frames), 2)] == [([1, 2], ["b", "a"]), ([3, 5], ["c", "a"]), ([9], ["a"])]
