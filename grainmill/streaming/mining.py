@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,13 +15,29 @@ from grainmill.config import ControlConfig, MinerConfig
 from grainmill.functions import text as T
 from grainmill.operators import drain
 
+#: Lines of a stream that are answered at a time.
+CHUNK = 50_000
+
+
+def in_order(frames: Iterator[pd.DataFrame], size: int = CHUNK) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """log_order and text of the frames' lines, sorted by log_order, `size` lines at a time. All lines are held as numbers, their distinct texts once."""
+    orders, texts = [], []
+    for frame in frames:
+        orders.append(frame["log_order"].to_numpy(np.int64))
+        texts.append(pa.array(frame["text"], pa.string()).dictionary_encode())
+    at, known = np.concatenate(orders), pa.chunked_array(texts).unify_dictionaries()
+    distinct, codes, places = known.chunk(0).dictionary, np.concatenate([c.indices.to_numpy() for c in known.chunks]), np.argsort(at, kind="stable")
+    for lo in range(0, len(places), size):
+        part = places[lo : lo + size]
+        yield at[part], distinct.take(pa.array(codes[part])).to_pylist()
+
 
 def mine_stream(logs: DataFrame, config: MinerConfig | None = None) -> DataFrame:
     """log_order, cluster, template, kind of a stream (log_order, content), exact in log_order inside each micro-batch.
 
     The state is kept by what the tree asks first and no later line can change: the token count and, with binning, the number
     of masked tokens; for the Jaccard engine the first token. It is the clusters' templates, not the lines. Below that
-    lines are routed as they come. What needs one sequence over all lines (max_clusters) or all lines before the first one
+    lines are routed as they come. A micro-batch's lines of one key are held as numbers and distinct texts. What needs one sequence over all lines (max_clusters) or all lines before the first one
     (adjacent_fusion, merging) cannot be done on a stream and is refused.
     """
     config = config or MinerConfig()
@@ -47,26 +65,26 @@ def mine_stream(logs: DataFrame, config: MinerConfig | None = None) -> DataFrame
                 branches[tuple(path)] = branch = drain.Branch()
                 branch.restore(firsts, templates)
             kids = {tuple(path): names for path, names in inner}
-        frame = pd.concat(list(frames)).sort_values("log_order")
-        out = []
-        for at, text in zip(frame["log_order"], frame["text"], strict=True):
-            words = text.split(" ", levels) if levels else []
-            path: tuple[str, ...] = ()
-            for k in range(levels):
-                name = words[k] if k < len(words) and words[k] else drain.WILD
-                name = drain.WILD if any(c.isdigit() for c in name) else name
-                own = kids.setdefault(path, [])
-                if name != drain.WILD and name not in own:
-                    if len(own) < config.max_children:
-                        own.append(name)
-                    else:
-                        name = drain.WILD
-                path += (name,)
-            branch = branches.setdefault(path, drain.Branch())
-            i, fresh = branch.add(int(at), text, config)
-            out.append((int(at), branch.firsts[i], branch.shown[i], "miss" if fresh else "match"))
+        for orders, texts in in_order(frames):
+            out = []
+            for at, text in zip(orders, texts, strict=True):
+                words = text.split(" ", levels) if levels else []
+                path: tuple[str, ...] = ()
+                for k in range(levels):
+                    name = words[k] if k < len(words) and words[k] else drain.WILD
+                    name = drain.WILD if any(c.isdigit() for c in name) else name
+                    own = kids.setdefault(path, [])
+                    if name != drain.WILD and name not in own:
+                        if len(own) < config.max_children:
+                            own.append(name)
+                        else:
+                            name = drain.WILD
+                    path += (name,)
+                branch = branches.setdefault(path, drain.Branch())
+                i, fresh = branch.add(int(at), text, config)
+                out.append((int(at), branch.firsts[i], branch.shown[i], "miss" if fresh else "match"))
+            yield pd.DataFrame(out, columns=["log_order", "cluster", "template", "kind"])
         state.update((json.dumps([[(p, b.firsts, b.templates) for p, b in branches.items()], list(kids.items())]),))
-        yield pd.DataFrame(out, columns=["log_order", "cluster", "template", "kind"])
 
     return rows.groupBy("n_tokens", "part").applyInPandasWithState(step, drain.MINED, "clusters string", "append", "NoTimeout")
 
