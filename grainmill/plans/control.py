@@ -8,7 +8,8 @@ samples and line numbers, and asks.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import chain, pairwise
 from typing import Protocol
 
 import numpy as np
@@ -20,6 +21,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from grainmill.config import ControlConfig
 from grainmill.operators import vectors
 from grainmill.plans import prompts
+from grainmill.plans.tables import materialize, numbered
 from grainmill.streaming import mining
 
 #: Patterns of the tags in a model's templates.
@@ -71,10 +73,9 @@ def reflect(provider: Provider, samples: list[str], rounds: int = 3) -> dict:
     return provider.extract(rest)
 
 
-def _groups(frame: pd.DataFrame, config: ControlConfig) -> pd.DataFrame:
-    """The groups of one batch: batch, label, lines (orders), samples; by TF-IDF and density, noise left out."""
-    frame = frame.sort_values("log_order")
-    orders, contents, tokens = frame["log_order"].tolist(), frame["content"].tolist(), [list(t) if t is not None else [] for t in frame["tokens"]]
+def _groups(batch: int, orders: list, contents: list, tokens: list, config: ControlConfig) -> list[tuple]:
+    """The groups of one batch's lines in their order: batch, label, lines (orders), samples; by TF-IDF and density, noise left out."""
+    tokens = [list(t) if t is not None else [] for t in tokens]
     terms = {t: i for i, t in enumerate(sorted({t for row in tokens for t in row}))}
     counts = np.zeros((len(tokens), max(1, len(terms))))
     for i, row in enumerate(tokens):
@@ -86,8 +87,56 @@ def _groups(frame: pd.DataFrame, config: ControlConfig) -> pd.DataFrame:
     for label in dict.fromkeys(labels[labels >= 0].tolist()):
         mine = np.flatnonzero(labels == label)
         picked = mine[vectors.dpp_order(x[mine], config.samples)] if config.sampling == "dpp" and len(mine) > config.samples else mine[: config.samples]
-        out.append((frame["batch"].iloc[0], label, [orders[i] for i in mine], [contents[i] for i in picked]))
-    return pd.DataFrame(out, columns=["batch", "label", "lines", "samples"])
+        out.append((batch, label, [orders[i] for i in mine], [contents[i] for i in picked]))
+    return out
+
+
+def grouped(misses: DataFrame, config: ControlConfig) -> DataFrame:
+    """batch, label, lines, samples of the groups of all misses. Without times a batch is max_batch lines, dealt by their numbers in a distributed sort; times close batches in one sequence."""
+    if "ts" in misses.columns:
+        dealt = mining.batches(misses.select("log_order", "ts"), config)
+        rows = misses.select("log_order", "content", "tokens").join(dealt, "log_order")
+    else:
+        rows = numbered(misses.select("log_order", "content", "tokens"), ["log_order"], "batch").withColumn("batch", F.floor(F.col("batch") / config.max_batch))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None  # the last batch of a frame may go on in the next
+        for frame in chain(frames, [None]):
+            last = frame is None
+            frame = rest if last else frame if rest is None else pd.concat([rest, frame])
+            if frame is None or not len(frame):
+                continue
+            batch, columns, out = frame["batch"].to_numpy(), [frame[c].tolist() for c in ("log_order", "content", "tokens")], []
+            edges = [0, *(np.flatnonzero(batch[1:] != batch[:-1]) + 1).tolist(), *([len(batch)] if last else [])]
+            for lo, hi in pairwise(edges):
+                out += _groups(int(batch[lo]), *(c[lo:hi] for c in columns), config)
+            rest = frame.iloc[edges[-1] :]
+            yield pd.DataFrame(out, columns=["batch", "label", "lines", "samples"])
+
+    dealt = rows.select("batch", "log_order", "content", "tokens").repartition("batch").sortWithinPartitions("batch", "log_order")
+    return dealt.mapInPandas(run, "batch long, label int, lines array<long>, samples array<string>")
+
+
+def answer(lines: list[str], local: Provider, remote: Provider | None, config: ControlConfig) -> dict:
+    """The reply about a group's samples: template, tokens, confidence, model, usage."""
+    words = [w for x in lines for w in re.split(r"\s+", x)]
+    value = 0.4 * len(set(words)) / len(words) + 0.3 * min(sum(map(len, lines)) / len(lines) / 200, 1) + 0.3 * min(len(lines) / 10, 1)
+    provider = remote if remote is not None and value >= 0.7 else local
+    reply = reflect(provider, lines, config.max_iterations)
+    return {"template": reply["template"], "tokens": reply["template"].split(), "confidence": float(reply.get("confidence", 0.5)), "model": reply.get("model", provider.name), "usage": reply.get("usage", {})}
+
+
+def control_groups(misses: DataFrame, local: Provider, remote: Provider | None = None, config: ControlConfig | None = None) -> DataFrame:
+    """control_batch() as a table, for providers that can be sent to the executors and asked there: n (the place among its records), template, confidence, lines (how many)."""
+    config = config or ControlConfig()
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            replies = [answer(list(x), local, remote, config) for x in frame["samples"]]
+            yield pd.DataFrame({"batch": frame["batch"], "first": [x[0] for x in frame["lines"]], "template": [r["template"] for r in replies], "confidence": [r["confidence"] for r in replies], "lines": [len(x) for x in frame["lines"]]})
+
+    replies = materialize(grouped(misses, config).mapInPandas(ask, "batch long, first long, template string, confidence double, lines long"), "replies")
+    return numbered(replies, ["batch", "first"], "n").select("n", "template", "confidence", "lines")
 
 
 def control_batch(misses: DataFrame, local: Provider, remote: Provider | None = None, config: ControlConfig | None = None) -> list[dict]:
@@ -100,19 +149,8 @@ def control_batch(misses: DataFrame, local: Provider, remote: Provider | None =
     config = config or ControlConfig()
     if not config.enabled:
         return []
-    ts = F.col("ts") if "ts" in misses.columns else F.lit(0).cast("long")
-    dealt = mining.batches(misses.select("log_order", ts.alias("ts")), config)
-    rows = misses.select("log_order", "content", "tokens").join(dealt, "log_order")
-    groups = rows.groupBy("batch").applyInPandas(lambda frame: _groups(frame, config), "batch long, label int, lines array<long>, samples array<string>")
-    out = []
-    for group in sorted(groups.collect(), key=lambda r: (r["batch"], r["lines"][0])):
-        lines = group["samples"]
-        words = [w for x in lines for w in re.split(r"\s+", x)]
-        value = 0.4 * len(set(words)) / len(words) + 0.3 * min(sum(map(len, lines)) / len(lines) / 200, 1) + 0.3 * min(len(lines) / 10, 1)
-        provider = remote if remote is not None and value >= 0.7 else local
-        reply = reflect(provider, lines, config.max_iterations)
-        out.append({"template": reply["template"], "tokens": reply["template"].split(), "confidence": float(reply.get("confidence", 0.5)), "model": reply.get("model", provider.name), "usage": reply.get("usage", {}), "lines": group["lines"]})
-    return out
+    groups = sorted(grouped(misses, config).collect(), key=lambda r: (r["batch"], r["lines"][0]))
+    return [{**answer(group["samples"], local, remote, config), "lines": group["lines"]} for group in groups]
 
 
 class Embedder(Protocol):

@@ -566,3 +566,11 @@ def test_handles_start_no_query_for_a_file(spark, tmp_path):
 def test_a_micro_batch_is_answered_in_pieces():
     frames = [pd.DataFrame({"log_order": [5, 1, 9], "text": ["a", "b", "a"]}), pd.DataFrame({"log_order": [3, 2], "text": ["c", "a"]})]
     assert [(at.tolist(), texts) for at, texts in mining.in_order(iter(frames), 2)] == [([1, 2], ["b", "a"]), ([3, 5], ["c", "a"]), ([9], ["a"])]
+
+
+def test_groups_are_asked_about_where_they_are(spark):
+    misses = logs(spark, stream(9, 230)).withColumn("tokens", F.split("content", " "))
+    found = control.control_batch(misses, control.PatternProvider())
+    table = control.control_groups(misses, control.PatternProvider()).orderBy("n").collect()
+    assert [tuple(r) for r in table] == [(i, x["template"], x["confidence"], len(x["lines"])) for i, x in enumerate(found)]
+    assert {order // 50 for x in found for order in x["lines"]} == set(range(5))
